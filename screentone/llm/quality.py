@@ -19,7 +19,7 @@ RULES = [
     ("n_words", ">", 1_000_000.0),
     ("mean_word_chars", "<", 1.5),
     ("mean_word_chars", ">", 25.0),
-    ("symbol_ratio", ">", 0.25),
+    ("symbol_ratio", ">", 0.08),
     ("repeat_ratio", ">", 0.20),
     ("dup_line_ratio", ">", 0.50),
     ("upper_ratio", ">", 0.60),
