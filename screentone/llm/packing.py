@@ -11,6 +11,7 @@ length, so no task ever holds all pieces.
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 
@@ -104,67 +105,104 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def price(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """The unbounded knapsack of one sequence: indices of the lengths in a pattern of highest price."""
+def price(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack: for each room, the highest price that fits and the length it ends with."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        best[c], took[c] = best[c - 1], -1
-        if n:
+        best[c] = best[c - 1]
+        if n := upto[c]:
             v = best[c - lengths[:n]] + prices[:n]
-            j = int(np.argmax(v))
+            j = n - 1 - int(v[::-1].argmax())
             if v[j] > best[c]:
                 best[c], took[c] = v[j], j
-    out, c = [], capacity
+    return best, took
+
+
+def _pattern(took: np.ndarray, lengths: np.ndarray, first: int, capacity: int) -> np.ndarray:
+    """How often each length stands in the best pattern that holds the given one."""
+    use = np.zeros(len(lengths), dtype=np.int64)
+    use[first] = 1
+    c = capacity - int(lengths[first])
     while c > 0:
-        if took[c] < 0:
+        j = took[c]
+        if j < 0:
             c -= 1
         else:
-            out.append(int(took[c]))
-            c -= int(lengths[took[c]])
-    return out
-
-
-def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> dict[tuple[int, ...], float]:
-    """Fractional number of sequences for each pattern, covering all counts.
-
-    Multiplicative weights for the covering LP: each round adds the pattern of highest price, as often as
-    its scarcest length asks for (a width-reduced step), and lowers the price of what it covers.
+            use[j] += 1
+            c -= int(lengths[j])
+    return use
+
+
+def configuration_lp(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600, block: int = 24, step: float = 0.25, rate: float = 0.3, power: float = 2.5
+) -> dict[tuple[int, ...], float]:
+    """Times of each pattern, covering the counts but for a few pieces of each length.
+
+    Multiplicative weights: a length's price is a power of its share of a sequence (short lengths fill
+    gaps that no other can, so they come last), times exp(rate * how far its uncovered part lies above
+    the mean). Each round draws a block of lengths in proportion to what is uncovered, prices by the
+    knapsack within it, and takes the best pattern with each length of the block, if it fills the
+    sequence. A pattern runs for `step` of what its scarcest length still needs, so coverage stays
+    proportional. The draw has a fixed seed.
     """
+    rng = np.random.default_rng(0)
     need = counts.astype(float)
     left = need.copy()
-    prices = lengths / capacity
     found: dict[tuple[int, ...], float] = {}
+    idle = 0
     for _ in range(rounds):
-        live = left > 0.5
-        if not live.any():
-            break
-        idx = np.nonzero(live)[0]
-        pattern = [int(idx[j]) for j in price(prices[idx], lengths[idx], capacity)]
-        if not pattern:
+        live = np.nonzero(left >= 2)[0]
+        if not len(live) or idle >= 20:
             break
-        use = np.bincount(pattern, minlength=len(lengths))
-        on = use > 0
-        times = max(1.0, np.floor((left[on] / use[on]).min()))
-        if (left[on] < use[on]).any():
-            # more of one length than there is: the best fit of the rest takes over for it
-            scarce = on & (left < use)
-            left[scarce] = 0
-            continue
-        left = left - use * times
-        key = tuple(sorted(pattern, reverse=True))
-        found[key] = found.get(key, 0.0) + times
-        # lengths that are mostly covered become cheap, so scarce and long ones lead the next pattern
-        share = np.where(need > 0, left / np.maximum(need, 1), 0)
-        prices = lengths / capacity * np.exp(0.05 * (share - share[left > 0.5].mean() if (left > 0.5).any() else 0))
+        p = left[live]
+        idx = np.sort(rng.choice(live, size=min(block, len(live)), replace=False, p=p / p.sum()))
+        share = left[idx] / need[idx]
+        prices = (lengths[idx] / capacity) ** power * np.exp(rate * (share - left.sum() / need.sum()))
+        best, took = price(prices, lengths[idx], capacity)
+        value = prices + best[capacity - lengths[idx]]
+        before = left.sum()
+        for k in range(len(idx) - 1, -1, -1):
+            use = _pattern(took, lengths[idx], k, capacity)
+            if (use * lengths[idx]).sum() < capacity:
+                continue
+            on = use > 0
+            times = np.floor(step * float((left[idx][on] / use[on]).min()))
+            if times < 1:
+                times = 1.0 if (left[idx][on] >= 2 * use[on]).all() else 0.0
+            if times:
+                left[idx] -= use * times
+                key = tuple(np.repeat(idx[on], use[on])[::-1].tolist())
+                found[key] = found.get(key, 0.0) + times
+        idle = idle + 1 if left.sum() == before else 0
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """Best fit of the remaining pieces, long ones first: sequences as tuples of length indices."""
+    rooms: list[tuple[int, int]] = []
+    held: list[list[int]] = []
+    for j in range(len(lengths) - 1, -1, -1):
+        n = int(lengths[j])
+        for _ in range(int(counts[j])):
+            at = bisect.bisect_left(rooms, (n, -1))
+            if at < len(rooms):
+                room, k = rooms.pop(at)
+            else:
+                room, k = capacity, len(held)
+                held.append([])
+            held[k].append(j)
+            if room > n:
+                bisect.insort(rooms, (room - n, k))
+    return [tuple(x) for x in held]
+
+
+def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 600) -> list[tuple[tuple[int, ...], int]]:
     """(pattern of lengths, number of sequences), using every piece of the histogram exactly once.
 
-    Work depends on the number of different lengths and patterns, not on the number of pieces.
+    Rounding: each pattern of the LP runs a whole number of times; the pieces of each length that then
+    remain go by best fit, in proportion, so the work doesn't grow with the corpus.
     """
     rest = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
@@ -179,46 +217,17 @@ def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 400) ->
             if whole > 0:
                 counts -= use * whole
                 out.append((tuple(int(lengths[j]) for j in key), whole))
-        # best fit of what remains: the fullest pattern first, by the knapsack with the counts left
         while counts.any():
-            top = int(np.nonzero(counts)[0][-1])
-            pattern, room, used = [top], capacity - int(lengths[top]), np.zeros(len(lengths), dtype=np.int64)
-            used[top] = 1
-            for j in _fill(lengths, counts - used, room):
-                pattern.append(j)
-                used[j] += 1
-            whole = int((counts[used > 0] // used[used > 0]).min())
-            counts -= used * whole
-            out.append((tuple(int(lengths[j]) for j in sorted(pattern, reverse=True)), whole))
-    return out
-
-
-def _fill(lengths: np.ndarray, counts: np.ndarray, room: int) -> list[int]:
-    """Indices of available lengths that fill `room` as far as possible, long ones first."""
-    # reach[r]: the sums up to r that can be made; from the longest length down, each as often as it is there
-    came = np.full(room + 1, -1, dtype=np.int64)
-    used = np.zeros(room + 1, dtype=np.int64)
-    came[0] = -2
-    for j in range(len(lengths) - 1, -1, -1):
-        n, c = int(lengths[j]), int(counts[j])
-        if c <= 0 or n > room:
-            continue
-        used[:] = 0
-        if c == 1:
-            new = np.nonzero((came[: room + 1 - n] != -1) & (came[n:] == -1))[0] + n
-            came[new] = j
-        else:
-            for r in range(n, room + 1):
-                if came[r] == -1 and came[r - n] != -1 and used[r - n] < c:
-                    came[r] = j
-                    used[r] = used[r - n] + 1
-        if came[room] != -1:
-            break
-    r = int(np.nonzero(came != -1)[0][-1])
-    out = []
-    while r > 0:
-        out.append(int(came[r]))
-        r -= int(lengths[came[r]])
+            # a bounded number of pieces at a time: the rest in proportion, each sequence `scale` times
+            scale = max(1, int(counts.sum()) // (32 * len(lengths)))
+            while not (counts // scale).any():
+                scale //= 2
+            part = counts // scale
+            counts = counts - part * scale
+            kept: dict[tuple[int, ...], int] = {}
+            for key in _best_fit(lengths, part, capacity):
+                kept[key] = kept.get(key, 0) + scale
+            out += [(tuple(int(lengths[j]) for j in key), n) for key, n in kept.items()]
     return out
 
 
@@ -242,7 +251,7 @@ def _layout(done: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int,
     return {n: np.array(r, dtype=np.int64) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, rounds: int = 400, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, rounds: int = 600, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents with sequence_id and offset (gapless from 0 in each sequence).
 
     Null and empty texts are documents of end_id alone. Null doc_ids and repeated rows are packed
