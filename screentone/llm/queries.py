@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screentone.llm import decontamination, langid, licenses, packing, quality, secrets, sharding, simhash, toxicity
+from screentone.llm import chat, decontamination, langid, licenses, packing, quality, secrets, sharding, simhash, toxicity
 from screentone.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,5 +53,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_language_id, op4_sharding, op5_license_scan, op6_decontamination, op8_quality, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_language_id, op4_sharding, op5_license_scan, op6_decontamination, op7_chat_format, op8_quality, op9_toxicity, op10_packing)}
 SQL: dict[str, str] = {}
