@@ -136,7 +136,7 @@ def _pattern(took: np.ndarray, lengths: np.ndarray, first: int, capacity: int) -
 
 
 def configuration_lp(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600, block: int = 24, step: float = 0.25, rate: float = 0.3, power: float = 2.5
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600, block: int = 16, step: float = 0.25, rate: float = 0.3, power: float = 20.0
 ) -> dict[tuple[int, ...], float]:
     """Times of each pattern, covering the counts but for a few pieces of each length.
 
