@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from screentone.functions import formulas as X
 
-BY = Window.partitionBy("poly_id").orderBy("seq")
-WHOLE = BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-UPTO = BY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _by():
+    return Window.partitionBy("poly_id").orderBy("seq")
+
+
+def _whole():
+    return _by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _upto():
+    return _by().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 
 TOKEN = "([MLCQZ][^MLCQZ]*)"
 NUMBER = r"(-?[0-9]+\.?[0-9]*)"
@@ -107,7 +118,7 @@ def smooth_seam(segments: DataFrame) -> DataFrame:
 
 
 def length(points: DataFrame) -> DataFrame:
-    p = points.withColumns({"dx": F.col("x") - F.lag("x").over(BY), "dy": F.col("y") - F.lag("y").over(BY)})
+    p = points.withColumns({"dx": F.col("x") - F.lag("x").over(_by()), "dy": F.col("y") - F.lag("y").over(_by())})
     return p.groupBy("poly_id").agg(F.coalesce(F.sum(F.expr(_length("dx", "dy"))), F.lit(0.0)).alias("length"))
 
 
@@ -120,11 +131,11 @@ def resample(points: DataFrame, n: int) -> DataFrame:
 
     Targets meet the one step that holds them by an interval join with an equi-key on the polyline.
     """
-    p = points.withColumns({"px": F.lag("x").over(BY), "py": F.lag("y").over(BY)})
-    p = p.withColumn("step", F.coalesce(F.expr(_length("x - px", "y - py")), F.lit(0.0))).withColumn("cum", F.sum("step").over(UPTO))
+    p = points.withColumns({"px": F.lag("x").over(_by()), "py": F.lag("y").over(_by())})
+    p = p.withColumn("step", F.coalesce(F.expr(_length("x - px", "y - py")), F.lit(0.0))).withColumn("cum", F.sum("step").over(_upto()))
     total = p.groupBy("poly_id").agg(F.max("cum").alias("total"))
     k = total.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("poly_id").alias("pid"), "k", F.expr(f"CASE WHEN k = {n - 1} THEN total ELSE total * k / {n - 1}e0 END").alias("target"))
-    s = p.withColumn("lo", F.coalesce(F.lag("cum").over(BY), F.lit(0.0))).filter("px IS NOT NULL")
+    s = p.withColumn("lo", F.coalesce(F.lag("cum").over(_by()), F.lit(0.0))).filter("px IS NOT NULL")
     at = (F.col("poly_id") == F.col("pid")) & (((F.col("target") > F.col("lo")) & (F.col("target") <= F.col("cum"))) | ((F.col("target") == 0) & (F.col("seq") == 2)))
     hit = s.join(k, at)
     f = "((target - lo) / greatest(step, 1e-12))"
@@ -133,7 +144,7 @@ def resample(points: DataFrame, n: int) -> DataFrame:
 
 def fit_baseline(points: DataFrame, out_w: str, out_h: str, rotation: str, offset_x: str, offset_y: str) -> DataFrame:
     """Polylines scaled so that their ends lie a full width of the turned artboard apart, and centred in it."""
-    p = points.withColumns({"fx": F.first("x").over(WHOLE), "fy": F.first("y").over(WHOLE), "tx": F.last("x").over(WHOLE), "ty": F.last("y").over(WHOLE)})
+    p = points.withColumns({"fx": F.first("x").over(_whole()), "fy": F.first("y").over(_whole()), "tx": F.last("x").over(_whole()), "ty": F.last("y").over(_whole())})
     want = f"(abs({out_w} * cos(radians({rotation}))) + abs({out_h} * sin(radians({rotation}))))"
     p = p.withColumn("scale", F.expr(f"{want} / greatest({_length('tx - fx', 'ty - fy')}, 1e-9)")).withColumns({"x": F.expr("(x - fx) * scale"), "y": F.expr("(y - fy) * scale")})
     every = Window.partitionBy("poly_id")
@@ -194,8 +205,8 @@ def split_active(points: DataFrame) -> DataFrame:
 
     Gaps and islands: the run number counts starts; an inner zero belongs to the runs on both sides.
     """
-    on, was, next_on = F.col("width") > 0, F.coalesce(F.lag("width").over(BY) > 0, F.lit(False)), F.coalesce(F.lead("width").over(BY) > 0, F.lit(False))
-    p = points.withColumns({"on": on, "was": was, "nxt": next_on}).withColumn("runs", F.sum(F.when(F.col("on") & ~F.col("was"), 1).otherwise(0)).over(UPTO))
+    on, was, next_on = F.col("width") > 0, F.coalesce(F.lag("width").over(_by()) > 0, F.lit(False)), F.coalesce(F.lead("width").over(_by()) > 0, F.lit(False))
+    p = points.withColumns({"on": on, "was": was, "nxt": next_on}).withColumn("runs", F.sum(F.when(F.col("on") & ~F.col("was"), 1).otherwise(0)).over(_upto()))
     runs = F.when(F.col("on"), F.array("runs")).otherwise(F.array_compact(F.array(F.when(F.col("was"), F.col("runs")), F.when(F.col("nxt"), F.col("runs") + 1))))
     return p.withColumn("run", F.explode(runs)).select("poly_id", "run", "seq", "x", "y", F.expr("greatest(0e0, width)").alias("width"))
 
@@ -205,7 +216,7 @@ def clip_polylines(points: DataFrame, out_w: float, out_h: float, margin: float)
 
     A new run starts where the step before was dropped or ended elsewhere.
     """
-    p = points.select("poly_id", "seq", "x", "y", "width", *[F.lead(c).over(BY).alias(f"n{c[0]}") for c in ("x", "y", "width")]).filter("nx IS NOT NULL")
+    p = points.select("poly_id", "seq", "x", "y", "width", *[F.lead(c).over(_by()).alias(f"n{c[0]}") for c in ("x", "y", "width")]).filter("nx IS NOT NULL")
     p = p.withColumns({"dx": F.expr("nx - x"), "dy": F.expr("ny - y"), "dw": F.expr("nw - width")})
     pairs = [("(-dx)", f"(x - {-margin!r})"), ("dx", f"({out_w + margin!r} - x)"), ("(-dy)", f"(y - {-margin!r})"), ("dy", f"({out_h + margin!r} - y)")]
     t0 = "greatest(0e0, " + ", ".join(f"CASE WHEN {a} < -1e-6 THEN {q} / {a} ELSE 0e0 END" for a, q in pairs) + ")"
@@ -214,8 +225,8 @@ def clip_polylines(points: DataFrame, out_w: float, out_h: float, margin: float)
     p = p.withColumns({"t0": F.expr(t0), "t1": F.expr(t1)}).filter(f"NOT ({out}) AND t0 <= t1")
     p = p.select("poly_id", "seq", *[F.expr(f"{c} + d{n} * t{i}").alias(f"{n}{i}") for i in (0, 1) for c, n in (("x", "x"), ("y", "y"), ("width", "w"))])
     same = F.expr("abs(px - x0) <= 1e-3 AND abs(py - y0) <= 1e-3 AND abs(pw - w0) <= 1e-3")
-    p = p.withColumns({"px": F.lag("x1").over(BY), "py": F.lag("y1").over(BY), "pw": F.lag("w1").over(BY)}).withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    return p.withColumn("run", F.sum("new").over(UPTO)).drop("px", "py", "pw", "new")
+    p = p.withColumns({"px": F.lag("x1").over(_by()), "py": F.lag("y1").over(_by()), "pw": F.lag("w1").over(_by())}).withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    return p.withColumn("run", F.sum("new").over(_upto())).drop("px", "py", "pw", "new")
 
 
 def _farthest(p: np.ndarray, lo: int, hi: int) -> tuple[int, float]:
@@ -255,16 +266,16 @@ def simplify(points: DataFrame, tolerance: float, keys: tuple[str, ...] = ("poly
 
 def offset_rails(points: DataFrame) -> DataFrame:
     """Both sides of an open polyline of varying width: poly_id, seq, lx, ly, rx, ry."""
-    p = points.withColumns({f"t{v}": F.coalesce(F.lead(v).over(BY), F.col(v)) - F.coalesce(F.lag(v).over(BY), F.col(v)) for v in "xy"}).withColumn("tl", F.expr(_length("tx", "ty")))
+    p = points.withColumns({f"t{v}": F.coalesce(F.lead(v).over(_by()), F.col(v)) - F.coalesce(F.lag(v).over(_by()), F.col(v)) for v in "xy"}).withColumn("tl", F.expr(_length("tx", "ty")))
     p = p.withColumns({"ux": F.expr("CASE WHEN tl <= 1e-9 THEN 1e0 ELSE tx / tl END"), "uy": F.expr("CASE WHEN tl <= 1e-9 THEN 0e0 ELSE ty / tl END")})
     return p.select("poly_id", "seq", *[F.expr(e).alias(n) for n, e in (("lx", "x - uy * (width / 2e0)"), ("ly", "y + ux * (width / 2e0)"), ("rx", "x + uy * (width / 2e0)"), ("ry", "y - ux * (width / 2e0)"))])
 
 
 def smooth_boundary(rail: DataFrame) -> DataFrame:
     """Cubics through the points of an open rail (poly_id, seq, x, y): handles along the tangents, a third of the step."""
-    p = rail.withColumns({f"t{v}": F.coalesce(F.lead(v).over(BY), F.col(v)) - F.coalesce(F.lag(v).over(BY), F.col(v)) for v in "xy"}).withColumn("tl", F.expr(_length("tx", "ty")))
+    p = rail.withColumns({f"t{v}": F.coalesce(F.lead(v).over(_by()), F.col(v)) - F.coalesce(F.lag(v).over(_by()), F.col(v)) for v in "xy"}).withColumn("tl", F.expr(_length("tx", "ty")))
     p = p.withColumns({"ux": F.expr("CASE WHEN tl <= 1e-9 THEN 1e0 ELSE tx / tl END"), "uy": F.expr("CASE WHEN tl <= 1e-9 THEN 0e0 ELSE ty / tl END")})
-    p = p.withColumns({n: F.lead(c).over(BY) for n, c in (("ex", "x"), ("ey", "y"), ("vx", "ux"), ("vy", "uy"))}).filter("ex IS NOT NULL")
+    p = p.withColumns({n: F.lead(c).over(_by()) for n, c in (("ex", "x"), ("ey", "y"), ("vx", "ux"), ("vy", "uy"))}).filter("ex IS NOT NULL")
     p = p.withColumn("h", F.expr(f"{_length('ex - x', 'ey - y')} / 3e0"))
     return p.select("poly_id", "seq", "x", "y", *[F.expr(e).alias(n) for n, e in (("c1x", "x + ux * h"), ("c1y", "y + uy * h"), ("c2x", "ex - vx * h"), ("c2y", "ey - vy * h"))], "ex", "ey")
 
@@ -324,6 +335,6 @@ def constrain_handles(nodes: DataFrame) -> DataFrame:
 
 def validate_polygons(points: DataFrame) -> DataFrame:
     """poly_id, n, area2, ok: closed polygons of three or more nodes with an area."""
-    nx, ny = F.coalesce(F.lead("x").over(BY), F.first("x").over(WHOLE)), F.coalesce(F.lead("y").over(BY), F.first("y").over(WHOLE))
+    nx, ny = F.coalesce(F.lead("x").over(_by()), F.first("x").over(_whole())), F.coalesce(F.lead("y").over(_by()), F.first("y").over(_whole()))
     p = points.withColumn("cross", F.col("x") * ny - nx * F.col("y"))
     return p.groupBy("poly_id").agg(F.count("*").alias("n"), F.sum("cross").alias("area2")).withColumn("ok", F.expr("n >= 3 AND abs(area2) > 1e-9"))
