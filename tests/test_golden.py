@@ -112,7 +112,7 @@ def poly(spark, points):
 
 
 def test_arc_length(spark):
-    wave = [(i, 20 * math.sin(i / 8), 1) for i in range(100)]
+    wave = [(i, 8 * math.sin(i / 12), 1) for i in range(100)]
     r = curves.resample(poly(spark, wave), 25).orderBy("k").collect()
     assert (r[0]["x"], r[0]["y"]) == pytest.approx(wave[0][:2]) and (r[-1]["x"], r[-1]["y"]) == pytest.approx(wave[-1][:2])
     gaps = [math.dist((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(r, r[1:])]
