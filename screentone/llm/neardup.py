@@ -45,7 +45,7 @@ def candidates(texts: DataFrame, count: int = 8, radius: int = 2, bucket: int =
     rows = texts.select("h", "copies", F.col("fps")[0].alias("fp"), F.explode(F.array(*keys)).alias("x")).select("h", "copies", "fp", "x.t", "x.k")
     sizes = stored(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
     few = (
-        rows.join(sizes.filter(F.col("n") <= bucket).select("t", "k"), ["t", "k"])
+        rows.select("h", "t", "k").join(sizes.filter(F.col("n") <= bucket).select("t", "k").hint("merge"), ["t", "k"])
         .groupBy("t", "k")
         .agg(F.sort_array(F.collect_list("h")).alias("v"))
         .select(F.explode(F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x AS a, y AS b))))")).alias("p"))
@@ -83,16 +83,17 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
                 keep.append(both >= similarity * (len(held) + len(other) - both) - 1e-9)
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    some = stored(texts.join(ends, "h", "left_semi"), "candidate-texts")
-    full = pairs.join(some.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
+    # merge joins at any size: what is compared grows with the corpus, so no plan counts on broadcasts
+    left, right = (texts.select(F.col("h").alias(k), F.col("text").alias(f"t{k}")).hint("merge") for k in "ab")
+    full = pairs.join(left, "a").join(right, "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int = 8, radius: int = 2, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, h (64-bit hash of the text), root (h of its group).
 
-    Equal texts share a group (null counts as empty); so do texts linked over near copies.
+    Equal texts share a group (null counts as empty); so do texts linked over near copies, and texts
+    without any word.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -107,7 +108,8 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
     rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>"), "word-fingerprints")
     texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first("fps").alias("fps")), "texts")
     pairs = stored(candidates(texts, count, radius, bucket), "candidates")
-    held = every.select("h", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi").dropDuplicates(["h"])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    held = stored(every.select("h", "text").join(ends.hint("merge"), "h", "left_semi").dropDuplicates(["h"]), "candidate-texts")
     links = similar(pairs, held, width, similarity)
     roots = connected_components(links)
     return rows.select("doc_id", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
@@ -116,7 +118,7 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int = 8, radius: int = 2, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal or near texts: the smallest doc_id's (null ones last).
 
-    All columns stay; a column named __h is not allowed. Null and empty texts are one group. Of
+    All columns stay; a column named __h is not allowed. Null and empty texts and those without words are one group. Of
     repeated rows one stays; of rows that share doc_id and text but differ elsewhere, any one.
     """
     found = stored(classes(docs, width, similarity, count, radius, bucket, id_col, text_col), "near-classes")
@@ -131,4 +133,5 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, count:
         lost = judged
         again = marked.join(twice, on(twice), "left_semi").dropDuplicates([id_col, "__h"])
         return marked.join(lost, on(lost), "left_anti").unionByName(again).drop("__h")
-    return marked.join(judged, on(judged), "left_anti").drop("__h")
+    lost = judged.hint("merge")
+    return marked.join(lost, on(judged), "left_anti").drop("__h")
