@@ -130,7 +130,7 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[SECRET]", id_col: st
     found = stored(parts(docs, id_col, text_col).filter("row_key IS NOT NULL").dropDuplicates(["row_key"]), "secret-parts")
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     cuts = found.join(link_parts(found, scope), "row_key", "left").select(F.col("row_key").alias("__key"), spans.alias("__spans")).filter("size(__spans) > 0")
-    d = docs.withColumn("__text", F.col(text_col).cast("string")).withColumn("__key", row_key(id_col, text_col)).join(cuts, "__key", "left")
+    d = docs.withColumn("__text", F.col(text_col).cast("string")).withColumn("__key", row_key(id_col, text_col)).join(cuts.hint("merge"), "__key", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
         "__spans",
