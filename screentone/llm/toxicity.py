@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screentone.llm.common import stored
 from screentone.llm.langid import held_out
 from screentone.llm.ngrams import Distinct, hashed
 
@@ -42,11 +43,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(y, "i")
 
 
-def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each hashed n-gram the documents that hold it (not toxic, toxic), over all rows.
+def class_counts(rows: DataFrame) -> DataFrame:
+    """(h, n0, n1): for each hashed n-gram the documents of either class that hold it, over all rows.
 
-    Tasks add up their own rows and send one row per hash they met; the result has 2^BITS entries.
-    The last entry counts the documents themselves.
+    Tasks add up their own rows and send one row per hash they met; the table has at most 2^BITS + 1
+    rows. The row h = 2^BITS counts the documents themselves.
     """
 
     def run(batches):
@@ -57,20 +58,18 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 n[y, distinct(hashed(t, SIZES, BITS))] += 1
                 n[y, -1] += 1
         at = np.flatnonzero(n.sum(axis=0))
-        if len(at):
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["h", "n0", "n1"])
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(n[0, part]), pa.array(n[1, part])], names=["h", "n0", "n1"])
 
     counted = rows.select("text", "y").mapInArrow(run, "h int, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counted.toArrow()
-    n0, n1 = np.zeros((1 << BITS) + 1, np.int64), np.zeros((1 << BITS) + 1, np.int64)
-    h = got.column("h").to_numpy()
-    n0[h], n1[h] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
-    return n0, n1
+    return stored(counted, "class-counts")
 
 
 def fit(x: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 250, penalty: float = 3e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on x * ratio, moved half way (in log odds) from the sample's balance to the prior."""
-    z = x.astype(np.float32) * ratio
+    z = x.astype(np.float32)
+    z *= ratio
     w, b = np.zeros(z.shape[1], np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -85,22 +84,23 @@ def fit(x: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, steps: in
     return w * ratio, b + 0.5 * (np.log(prior) - np.log(share / (1 - share)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int = 4096, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int = 3072, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Count over all training rows, then fit on about `sample` of them (half of each class, by hash).
 
     The `features` n-grams with the largest summed log ratio among those that at least `least`
     documents hold take part. Without rows of both classes the model scores the prior.
     """
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    n0, n1 = class_counts(rows)
-    docs0, docs1 = int(n0[-1]), int(n1[-1])
-    n0, n1 = n0[:-1], n1[:-1]
+    counts = class_counts(rows)
+    total = counts.filter(F.col("h") == 1 << BITS).first()
+    docs0, docs1 = (total["n0"], total["n1"]) if total else (0, 0)
     if not docs0 or not docs1:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -4.0 if not docs1 else 4.0)
-    ratio = np.log((n1 + 1) / (docs1 + 2)) - np.log((n0 + 1) / (docs0 + 2))
-    gain = np.where(n1 + n0 >= least, np.where(ratio > 0, n1, n0 * docs1 / docs0) * np.abs(ratio), 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:features])
-    kept = kept[gain[kept] > 0]
+    ratio = F.log((F.col("n1") + 1) / F.lit(docs1 + 2.0)) - F.log((F.col("n0") + 1) / F.lit(docs0 + 2.0))
+    gain = F.when(F.col("r") > 0, F.col("n1").cast("double")).otherwise(F.col("n0") * F.lit(docs1 / docs0)) * F.abs("r")
+    best = counts.filter((F.col("h") < 1 << BITS) & (F.col("n0") + F.col("n1") >= least)).withColumn("r", ratio).withColumn("gain", gain)
+    best = sorted((r["h"], r["r"]) for r in best.filter("gain > 0").orderBy(F.desc("gain"), "h").limit(features).collect())
+    kept, ratio = np.array([h for h, _ in best], dtype=np.int64), np.array([r for _, r in best], dtype=np.float32)
     chance = F.when(F.col("y") == 1, F.lit(min(1.0, sample / 2 / docs1))).otherwise(F.lit(min(1.0, sample / 2 / docs0)))
     drawn = rows.filter(F.shiftrightunsigned(F.xxhash64("i", F.lit(5)), 11) / F.lit(float(1 << 53)) < chance)
 
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int
     for k, (_, _, p) in enumerate(got):
         x[k, np.frombuffer(p, dtype=np.int32)] = 1
     y = np.array([g[1] for g in got], dtype=np.float32)
-    w, b = fit(x, y, ratio[kept].astype(np.float32), docs1 / docs0)
+    w, b = fit(x, y, ratio, docs1 / docs0)
     return Model(kept, w, b)
 
 
