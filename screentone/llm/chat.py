@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from screentone.llm.common import stored
 
-MARKS = r"^((?:[ \t]*>)+)"
+#: Marks at the start of a line, as one run of a character class: no recursion on long runs.
+MARKS = r"^([ \t]*>[> \t]*)"
 
 
 def _normal(c: Column) -> Column:
