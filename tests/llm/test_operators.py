@@ -370,7 +370,7 @@ def test_near_copies(docs, data, empty, bucket):
         by.setdefault(r[1] or "", []).append(r[0])
     sets = {t: set(simhash.shingle_hashes(t, 5).tolist()) for t in by}
     names = sorted(by)
-    root = brute.components(names, lambda a, b: a == b or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9))
+    root = brute.components(names, lambda a, b: a == b or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
     low = {}
     for t, k in zip(names, root):
         ids = [i for i in by[t] if i is not None]
@@ -398,3 +398,32 @@ def test_large_group_of_near_copies(spark):
 
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_quality_sql(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = c.sql(queries.SQL["op8_quality"])
+    got = queries.QUERIES["op8_quality"](spark, sf_dir)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_queries_give_their_columns(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    want = {
+        "op1": "doc_id n_assign n_access n_hex base_sha256 spans",
+        "op2": "doc_id fingerprint component_id",
+        "op3": "doc_id held_out lang_pred score ambiguous",
+        "op4": "doc_id size text_crc32 law shard slot grown_shard",
+        "op5": "doc_id n_words n_base first_word last_word base_labels labels score",
+        "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op9": "doc_id held_out score predicted",
+    }
+    for name, query in queries.QUERIES.items():
+        if columns := want.get(name.split("_")[0]):
+            got = query(spark, sf_dir)
+            assert got.columns == columns.split()
+            assert got.count() == n
