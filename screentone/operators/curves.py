@@ -163,7 +163,9 @@ def repeat_curves(points: DataFrame, out_w: float, out_h: float, spacing: float,
     sy = f"(y + copy * {spacing!r})"
     s, k = f"sin(radians({rotation}))", f"cos(radians({rotation}))"
     flat = f"abs({rotation}) <= 1e-4"
-    c = c.withColumns({"nx": F.expr(f"CASE WHEN {flat} THEN x ELSE {px} + (x - {px}) * {k} - ({sy} - {py}) * {s} END"), "ny": F.expr(f"CASE WHEN {flat} THEN {sy} ELSE {py} + (x - {px}) * {s} + ({sy} - {py}) * {k} END")})
+    # a pivot off the centre moves the copies across the grid, not along it
+    along = f"(({pivot_x} - ({pivot_x} * {k} - {pivot_y} * {s})) * {k} + ({pivot_y} - ({pivot_x} * {s} + {pivot_y} * {k})) * {s})"
+    c = c.withColumns({"nx": F.expr(f"CASE WHEN {flat} THEN x ELSE {px} + (x - {px}) * {k} - ({sy} - {py}) * {s} - {k} * {along} END"), "ny": F.expr(f"CASE WHEN {flat} THEN {sy} ELSE {py} + (x - {px}) * {s} + ({sy} - {py}) * {k} - {s} * {along} END")})
     box = c.groupBy("poly_id", "copy").agg(F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1"))
     edge = 2 * spacing
     box = box.filter(f"x1 >= {-edge!r} AND x0 <= {out_w + edge!r} AND y1 >= {-edge!r} AND y0 <= {out_h + edge!r}").select("poly_id", "copy")
@@ -194,6 +196,70 @@ def motif_counts(cfg: DataFrame) -> DataFrame:
     return cfg.withColumns({"tiles": F.expr(count(te, ss)), "stacks": F.expr(count(se, ts))})
 
 
+def chain_motif(points: DataFrame, cfg: DataFrame) -> DataFrame:
+    """Rows of chained motif tiles: poly_id, stack, tile, seq, x, y.
+
+    cfg (one row per motif) has tiles, stacks, stack_x, stack_y (the step between rows), stagger (of odd
+    rows, along the tiles), center_x, center_y and alternate (none, flip, rotate): odd (tile + stack)
+    copies are mirrored or turned, and reversed if they then run backwards. Each tile starts where
+    the one before ends, by a running sum of advances; shared points appear once.
+    """
+    ends = points.groupBy("poly_id").agg(F.min_by("x", "seq").alias("sx"), F.min_by("y", "seq").alias("sy"), F.max_by("x", "seq").alias("ex"), F.max_by("y", "seq").alias("ey"), F.count("*").alias("n"))
+    d = cfg.join(ends, "poly_id").withColumns({"ax": F.expr("ex - sx"), "ay": F.expr("ey - sy")}).withColumn("al", F.expr(_length("ax", "ay")))
+    d = d.withColumn("stack", F.explode(F.expr("sequence(0, stacks - 1)"))).withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
+    odd = "(tile + stack) % 2 = 1"
+    d = d.withColumns({"fx": F.expr(f"CASE WHEN {odd} AND alternate IN ('flip', 'rotate') THEN -1e0 ELSE 1e0 END"), "fy": F.expr(f"CASE WHEN {odd} AND alternate = 'rotate' THEN -1e0 ELSE 1e0 END")})
+    d = d.withColumn("back", F.expr("fx * ax * ax + fy * ay * ay < 0")).withColumns({"vx": F.expr("CASE WHEN back THEN -fx * ax ELSE fx * ax END"), "vy": F.expr("CASE WHEN back THEN -fy * ay ELSE fy * ay END")})
+    row = Window.partitionBy("poly_id", "stack").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    unit = {"x": "CASE WHEN al <= 1e-9 THEN 1e0 ELSE ax / al END", "y": "CASE WHEN al <= 1e-9 THEN 0e0 ELSE ay / al END"}
+    first = {v: f"center_{v} + (stack - (stacks - 1) / 2e0) * stack_{v} + ({unit[v]}) * CASE WHEN stack % 2 = 1 THEN stagger ELSE 0e0 END - (tiles - 1) / 2e0 * a{v}" for v in "xy"}
+    d = d.withColumns({f"o{v}": F.expr(first[v]) + F.coalesce(F.sum(f"v{v}").over(row), F.lit(0.0)) for v in "xy"})
+    p = d.join(points.select("poly_id", "seq", "x", "y"), "poly_id").withColumn("ord", F.expr("CASE WHEN back THEN n + 1 - seq ELSE seq END")).filter("tile = 0 OR ord > 1")
+    at = {v: f"o{v} + f{v} * {v} - f{v} * (CASE WHEN back THEN e{v} ELSE s{v} END)" for v in "xy"}
+    return p.select("poly_id", "stack", "tile", F.expr("tile * n + ord").alias("seq"), F.expr(at["x"]).alias("x"), F.expr(at["y"]).alias("y"))
+
+
+def node_types(points: DataFrame) -> DataFrame:
+    """poly_id, types: a letter for each node of the open outline, c for corners and s for smooth ones.
+
+    Ends where both sides meet (no width there) are one node.
+    """
+    e = points.groupBy("poly_id").agg(F.count("*").cast("int").alias("n"), (F.min_by("width", "seq") <= 1e-3).alias("s0"), (F.max_by("width", "seq") <= 1e-3).alias("e0")).filter("n >= 2")
+    mid = "repeat('s', n - 2)"
+    return e.select("poly_id", F.expr(f"concat('c', {mid}, 'c', CASE WHEN e0 THEN '' ELSE 'c' END, {mid}, CASE WHEN s0 THEN 's' ELSE 'c' END)").alias("types"))
+
+
+def curve_geometry(pixels: DataFrame, images: DataFrame, path: DataFrame, cells: float, out_w: float, out_h: float, rotation: str = "0e0", samples: int = 64, threshold: str = "0e0", min_mark: str = "0e0", max_mark: str = "100e0", tolerance: float = 0.15) -> DataFrame:
+    """Outlines of full-width curves over images, end to end: poly_id, part, ord, op, c1x .. y.
+
+    pixels are tone-bearing RGBA rows of images (image_id, src_w, src_h); path holds the segments of one
+    path. Sample by arc length, fit, repeat, take the width from the darkness under each point, split
+    into active runs, clip, simplify, outline. poly_id names image, copy, run and clipped run.
+    """
+    from screentone.operators import grid
+
+    aspect = out_w / out_h
+    cols, rows = (round(cells), max(1, round(cells / aspect))) if aspect >= 1 else (max(1, round(cells * aspect)), round(cells))
+    cw, ch = out_w / cols, out_h / rows
+    base = flatten(path, STEPS).withColumn("seq", F.row_number().over(Window.partitionBy("path_id").orderBy("seg", "k")).cast("long")).withColumnRenamed("path_id", "poly_id")
+    base = resample(base.select("poly_id", "seq", "x", "y"), samples).withColumnRenamed("k", "seq")
+    fitted = fit_baseline(base, f"{out_w!r}", f"{out_h!r}", rotation, "0e0", "0e0")
+    copies = repeat_curves(fitted.select("poly_id", "seq", "x", "y"), out_w, out_h, max(1.0, min(cw, ch)), rotation)
+    tones = grid.resample(pixels, images.withColumns({"cols": F.lit(cols), "rows": F.lit(rows)})).select("image_id", "col", "row", F.expr(X.darkness()).alias("value"))
+    p = copies.crossJoin(F.broadcast(images.select("image_id").distinct())).withColumn("point_id", F.struct("poly_id", "copy", "seq"))
+    at = p.select("image_id", "point_id", F.lit(cols).alias("cols"), F.lit(rows).alias("rows"), F.expr(f"x / {cw!r}").alias("u"), F.expr(f"y / {ch!r}").alias("v"))
+    wide = curve_width(grid.sample_bicubic(at, tones), threshold, f"{min(cw, ch)!r}", min_mark, max_mark, "100e0", "1e0")
+    p = p.join(wide.select("image_id", "point_id", "width"), ["image_id", "point_id"])
+    named = p.select(F.concat_ws("/", "image_id", "poly_id", "copy").alias("poly_id"), "seq", "x", "y", "width")
+    runs = split_active(named).select(F.concat_ws("/", "poly_id", "run").alias("poly_id"), "seq", "x", "y", "width")
+    margin = 1.5 * min(cw, ch) + 2
+    c = clip_polylines(runs, out_w, out_h, margin)
+    key = F.concat_ws("/", "poly_id", "run").alias("poly_id")
+    first = c.groupBy("poly_id", "run").agg(F.min(F.struct("seq", "x0", "y0", "w0")).alias("f")).select(key, (F.col("f.seq") * 2).alias("seq"), F.col("f.x0").alias("x"), F.col("f.y0").alias("y"), F.col("f.w0").alias("width"))
+    rest = c.select(key, (F.col("seq") * 2 + 1).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("w1").alias("width"))
+    return outline(simplify(first.unionByName(rest), tolerance))
+
+
 def curve_width(tones: DataFrame, threshold: str, cell: str, min_mark: str, max_mark: str, max_size: str, scale: str) -> DataFrame:
     """Adds width for a sampled tone `value`: nothing at or under the threshold."""
     lo = f"greatest({min_mark} / 100e0, 0e0)"
@@ -239,29 +305,47 @@ def _farthest(p: np.ndarray, lo: int, hi: int) -> tuple[int, float]:
     return lo + 1 + k, float(away[k])
 
 
+def _kept(p: np.ndarray, tolerance: float) -> np.ndarray:
+    keep = np.zeros(len(p), dtype=bool)
+    if len(p) <= 3:
+        return ~keep
+    keep[[0, -1]] = True
+    stack = [(0, len(p) - 1)]
+    while stack:
+        lo, hi = stack.pop()
+        if hi > lo + 1:
+            k, far = _farthest(p, lo, hi)
+            if far > tolerance:
+                keep[k] = True
+                stack += [(lo, k), (k, hi)]
+    return keep
+
+
 def simplify(points: DataFrame, tolerance: float, keys: tuple[str, ...] = ("poly_id",)) -> DataFrame:
-    """Douglas-Peucker in (x, y, width) on each polyline; a stack instead of recursion, so length doesn't matter."""
+    """Douglas-Peucker in (x, y, width) on each polyline; a stack instead of recursion, so length doesn't matter.
+
+    Polylines are dealt out by key and sorted within partitions; a task streams them one after
+    another and holds one polyline and one batch at a time.
+    """
     cols = [*keys, "seq", "x", "y", "width"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        p = pdf[["x", "y", "width"]].to_numpy(dtype=float)
-        keep = np.zeros(len(p), dtype=bool)
-        keep[[0, -1]] = True
-        stack = [(0, len(p) - 1)] if len(p) > 3 else []
-        if not stack:
-            keep[:] = True
-        while stack:
-            lo, hi = stack.pop()
-            if hi > lo + 1:
-                k, far = _farthest(p, lo, hi)
-                if far > tolerance:
-                    keep[k] = True
-                    stack += [(lo, k), (k, hi)]
-        return pdf[keep]
-
-    some = points.select(*cols)
-    return some.groupBy(*keys).applyInPandas(run, some.schema)
+    def run(frames):
+        held = None
+        for frame in frames:
+            pdf = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(pdf):
+                continue
+            new = (pdf[list(keys)] != pdf[list(keys)].shift()).any(axis=1).to_numpy()
+            at = np.append(np.flatnonzero(new), len(pdf))
+            xyz = pdf[["x", "y", "width"]].to_numpy(dtype=float)
+            keep = np.concatenate([_kept(xyz[i:j], tolerance) for i, j in zip(at[:-2], at[1:-1])] or [np.zeros(0, bool)])
+            yield pdf[: len(keep)][keep]
+            held = pdf[len(keep) :]
+        if held is not None and len(held):
+            yield held[_kept(held[["x", "y", "width"]].to_numpy(dtype=float), tolerance)]
+
+    some = points.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "seq")
+    return some.mapInPandas(run, some.schema)
 
 
 def offset_rails(points: DataFrame) -> DataFrame:

@@ -75,6 +75,27 @@ def f8_motif_counts(spark, sf):
     return curves.motif_counts(cfg).select("motif_id", "tiles", "stacks")
 
 
+_CHAIN = ["poly_id", "CAST(2 + poly_id % 3 AS INT) AS tiles", "CAST(1 + poly_id % 4 AS INT) AS stacks", "2e0 AS stack_x", "9e0 AS stack_y", "15e-1 AS stagger", "150e0 AS center_x", "100e0 AS center_y", "CASE poly_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'flip' ELSE 'rotate' END AS alternate"]
+
+
+def f9_chain_motif(spark, sf):
+    p = fx.poly_points(spark, sf).filter("seq <= 6")
+    c = curves.chain_motif(p, p.select("poly_id").distinct().selectExpr(*_CHAIN))
+    return c.select("poly_id", "stack", "tile", "seq", *[F.expr(R(v, 4)).alias(v) for v in "xy"])
+
+
+def f20_node_types(spark, sf):
+    return curves.node_types(fx.poly_points(spark, sf))
+
+
+def f21_curve_geometry(spark, sf):
+    """Every stage in turn; counts by outline are stable, coordinates are tested stage by stage."""
+    path = curves.path_segments(fx.path_strings(spark, sf).groupBy().agg(F.min_by("path_id", "path_id").alias("path_id"), F.min_by("d", "path_id").alias("d")))
+    images = fx.images(spark, sf).selectExpr("image_id", "8 AS src_w", "8 AS src_h")
+    p = fx.pixels(spark, sf).join(F.broadcast(images.select("image_id")), "image_id", "left_semi")
+    return curves.curve_geometry(p, images, path, 8.0, 120.0, 80.0)
+
+
 def f10_curve_width(spark, sf):
     t = sq._tones(spark, sf).filter("channel = 'k'")
     return _r(curves.curve_width(t, "1e-1", "5e0", "10e0", "120e0", "90e0", "11e-1"), ["image_id", "x", "y"], ["width"])
@@ -265,6 +286,30 @@ SQL = {
         bb="SELECT poly_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM poly_points GROUP BY 1",
     ),
     "f8_motif_counts": f"WITH m AS ({_MOTIF.format('part')}) SELECT motif_id, CASE WHEN {_deg} THEN 1 ELSE CAST(least(10000, greatest(1, ceil(greatest({_te} + footprint * {_ss} / abs({_det}), 0e0) * 2e0 + 1e0))) AS INT) END AS tiles, CASE WHEN {_deg} THEN 1 ELSE CAST(least(10000, greatest(1, ceil(greatest({_se} + footprint * {_ts} / abs({_det}), 0e0) * 2e0 + 1e0))) AS INT) END AS stacks FROM m",
+    "f9_chain_motif": fx.with_sql(
+        "poly_points",
+        "SELECT g.poly_id, stack, tile, CAST(tile * n + CASE WHEN back THEN n + 1 - seq ELSE seq END AS BIGINT) AS seq, "
+        + ", ".join(R(f"o{v} + f{v} * p.{v} - f{v} * (CASE WHEN back THEN e{v} ELSE s{v} END)", 4) + f" AS {v}" for v in "xy")
+        + " FROM g JOIN pp p ON p.poly_id = g.poly_id WHERE tile = 0 OR (CASE WHEN back THEN n + 1 - seq ELSE seq END) > 1",
+        pp="SELECT * FROM poly_points WHERE seq <= 6",
+        en="SELECT poly_id, arg_min(x, seq) AS sx, arg_min(y, seq) AS sy, arg_max(x, seq) AS ex, arg_max(y, seq) AS ey, count(*) AS n FROM pp GROUP BY 1",
+        cf=f"SELECT {', '.join(_CHAIN)} FROM (SELECT DISTINCT poly_id FROM pp)",
+        ti=f"SELECT *, ex - sx AS ax, ey - sy AS ay, {L('ex - sx', 'ey - sy')} AS al FROM cf JOIN en USING (poly_id), (SELECT CAST(unnest(range(5)) AS INT) AS stack), (SELECT CAST(unnest(range(5)) AS INT) AS tile) WHERE stack < stacks AND tile < tiles",
+        fl="SELECT *, CASE WHEN (tile + stack) % 2 = 1 AND alternate <> 'none' THEN -1e0 ELSE 1e0 END AS fx, CASE WHEN (tile + stack) % 2 = 1 AND alternate = 'rotate' THEN -1e0 ELSE 1e0 END AS fy FROM ti",
+        bk="SELECT *, fx * ax * ax + fy * ay * ay < 0 AS back FROM fl",
+        vv="SELECT *, CASE WHEN back THEN -fx * ax ELSE fx * ax END AS vx, CASE WHEN back THEN -fy * ay ELSE fy * ay END AS vy FROM bk",
+        g="SELECT *, "
+        + ", ".join(
+            f"center_{v} + (stack - (stacks - 1) / 2e0) * stack_{v} + (CASE WHEN al <= 1e-9 THEN {1 if v == 'x' else 0}e0 ELSE a{v} / al END) * CASE WHEN stack % 2 = 1 THEN stagger ELSE 0e0 END - (tiles - 1) / 2e0 * a{v} + coalesce(sum(v{v}) OVER (PARTITION BY poly_id, stack ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS o{v}"
+            for v in "xy"
+        )
+        + " FROM vv",
+    ),
+    "f20_node_types": fx.with_sql(
+        "poly_points",
+        "SELECT poly_id, concat('c', repeat('s', n - 2), 'c', CASE WHEN e0 THEN '' ELSE 'c' END, repeat('s', n - 2), CASE WHEN s0 THEN 's' ELSE 'c' END) AS types FROM q WHERE n >= 2",
+        q="SELECT poly_id, count(*) AS n, arg_min(width, seq) <= 1e-3 AS s0, arg_max(width, seq) <= 1e-3 AS e0 FROM poly_points GROUP BY 1",
+    ),
     "f10_curve_width": fx.with_sql(
         "pixels", f"SELECT image_id, x, y, {R('CASE WHEN v <= 0 THEN 0e0 ELSE 5e0 * (1e-1 + (12e-1 * 90e0 / 100e0 - 1e-1) * v) * 11e-1 END')} AS width FROM q", **sq.TONES, q=f"SELECT image_id, x, y, {X.threshold('value', '1e-1')} AS v FROM tones WHERE channel = 'k'"
     ),
@@ -363,4 +408,4 @@ SQL = {
         q="SELECT cv.*, floor(opacity * 255e0 + 5e-1) / 255e0 * coverage AS al, CAST(('0x' || substr(color, 2, 2)) AS INT) AS red, CAST(('0x' || substr(color, 4, 2)) AS INT) AS green, CAST(('0x' || substr(color, 6, 2)) AS INT) AS blue FROM cv JOIN channels USING (channel) WHERE enabled",
     ),
 }
-QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (f13_simplify, f16_outline, f17_outline_text)}
+QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (f13_simplify, f16_outline, f17_outline_text, f21_curve_geometry)}
