@@ -70,3 +70,34 @@ def blend_layers(coverage: DataFrame, layers: DataFrame) -> DataFrame:
     fold = lambda c: F.aggregate("m", F.lit(1.0), lambda acc, m: acc * (1.0 - m["alpha"] + m["alpha"] * m[c] / 255.0))
     out = {i: fold(c) for i, c in (("r", "red"), ("g", "green"), ("b", "blue"))}
     return g.select("image_id", "px", "py", *[v.alias(f"f{i}") for i, v in out.items()]).select("image_id", "px", "py", *[F.expr(X.byte(f"f{i} * 255e0")).alias(i) for i in "rgb"])
+
+
+def screen_layers(coverage: DataFrame, layers: DataFrame) -> DataFrame:
+    """Screen blend of the marks of light on black, in layer and mark order: image_id, px, py, r, g, b."""
+    c = coverage.join(F.broadcast(layers), "channel").withColumn("alpha", F.expr("floor(opacity * 255e0 + 5e-1) / 255e0 * coverage"))
+    g = c.groupBy("image_id", "px", "py").agg(F.sort_array(F.collect_list(F.struct("ord", "row", "col", "alpha", "red", "green", "blue"))).alias("m"))
+    fold = lambda c: F.aggregate("m", F.lit(0.0), lambda acc, m: acc + m["alpha"] * m[c] / 255.0 * (1.0 - acc))
+    out = {i: fold(c) for i, c in (("r", "red"), ("g", "green"), ("b", "blue"))}
+    return g.select("image_id", "px", "py", *[v.alias(f"f{i}") for i, v in out.items()]).select("image_id", "px", "py", *[F.expr(X.byte(f"f{i} * 255e0")).alias(i) for i in "rgb"])
+
+
+#: The lights of RGB screens (fixed values).
+LIGHTS = "(VALUES ('red', 0, 255, 0, 0), ('green', 1, 0, 255, 0), ('blue', 2, 0, 0, 255)) AS t(channel, ord, red, green, blue)"
+
+
+def render_documents(docs: DataFrame, pixels: DataFrame, layers: DataFrame, width: int, height: int, n: int = 1, most: int = 64_000_000) -> DataFrame:
+    """Rendered pixels of native documents of either output mode: image_id, x, y, r, g, b, a.
+
+    docs has the native settings and output_mode (cmyk: ink on white; rgb: light on black). Pixels
+    without a mark keep the base. Sizes over the cap are refused.
+    """
+    from screentone.operators import marks
+
+    if width * height > most:
+        raise ValueError(f"over {most} pixels")
+    ink = blend_layers(rasterize(marks.native_marks(pixels, docs.filter("output_mode = 'cmyk'")), width, height, n), layers)
+    lights = docs.sparkSession.sql(f"SELECT *, 1e0 AS opacity FROM {LIGHTS}")
+    light = screen_layers(rasterize(marks.native_rgb_marks(pixels, docs.filter("output_mode = 'rgb'")), width, height, n), lights)
+    every = docs.select("image_id", F.when(F.col("output_mode") == "rgb", 0).otherwise(255).alias("base")).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    d = every.join(ink.unionByName(light), ["image_id", "px", "py"], "left")
+    return d.select("image_id", F.col("px").alias("x"), F.col("py").alias("y"), *[F.coalesce(i, "base").alias(i) for i in "rgb"], F.lit(255).alias("a"))

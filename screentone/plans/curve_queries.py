@@ -93,7 +93,7 @@ def f21_curve_geometry(spark, sf):
     path = curves.path_segments(fx.path_strings(spark, sf).groupBy().agg(F.min_by("path_id", "path_id").alias("path_id"), F.min_by("d", "path_id").alias("d")))
     images = fx.images(spark, sf).selectExpr("image_id", "8 AS src_w", "8 AS src_h")
     p = fx.pixels(spark, sf).join(F.broadcast(images.select("image_id")), "image_id", "left_semi")
-    return curves.curve_geometry(p, images, path, 8.0, 120.0, 80.0)
+    return curves.curve_geometry(p, images, path, 8.0, 120.0, 80.0, samples=32)
 
 
 def f10_curve_width(spark, sf):
@@ -209,6 +209,12 @@ def g4_rasterize(spark, sf):
     return _coverage(spark, sf)
 
 
+def g6_render_documents(spark, sf):
+    """Both output modes end to end; single steps have SQL of their own."""
+    docs = sq._dims(spark, sf).withColumns({"treatment": F.lit("dots"), "output_mode": F.expr("CASE WHEN image_id % 2 = 0 THEN 'cmyk' ELSE 'rgb' END")})
+    return raster.render_documents(docs, fx.pixels(spark, sf), marks.layers(fx.channels(spark)), 8, 8)
+
+
 def g5_blend_layers(spark, sf):
     return raster.blend_layers(_coverage(spark, sf), marks.layers(fx.channels(spark)))
 
@@ -408,4 +414,4 @@ SQL = {
         q="SELECT cv.*, floor(opacity * 255e0 + 5e-1) / 255e0 * coverage AS al, CAST(('0x' || substr(color, 2, 2)) AS INT) AS red, CAST(('0x' || substr(color, 4, 2)) AS INT) AS green, CAST(('0x' || substr(color, 6, 2)) AS INT) AS blue FROM cv JOIN channels USING (channel) WHERE enabled",
     ),
 }
-QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (f13_simplify, f16_outline, f17_outline_text, f21_curve_geometry)}
+QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (f13_simplify, f16_outline, f17_outline_text, f21_curve_geometry, g6_render_documents)}

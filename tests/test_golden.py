@@ -215,3 +215,15 @@ def test_sanitize(spark):
     assert tuple(settings.sanitize_settings(d).first()) == (58.0, 160.0, 100.0, -180.0)
 
 
+
+
+def test_render_modes(spark):
+    d = "image_id int, width double, height double, detail double, coverage double, contrast double, angle double, treatment string, output_mode string"
+    docs = spark.createDataFrame([(0, 8.0, 8.0, 0.0, 160.0, 100.0, 0.0, "dots", "cmyk"), (1, 8.0, 8.0, 0.0, 160.0, 100.0, 0.0, "dots", "rgb"), (2, 8.0, 8.0, 0.0, 160.0, 100.0, 0.0, "dots", "cmyk")], d)
+    p = spark.createDataFrame([(i, x, y, v, v, v, 255) for i, v in ((0, 0), (1, 255), (2, 255)) for x in range(8) for y in range(8)], PIXEL)
+    layers = spark.createDataFrame([("k", 0, True, 20, 20, 24, 1.0)], "channel string, ord int, enabled boolean, red int, green int, blue int, opacity double")
+    r = raster.render_documents(docs, p, layers, 8, 8).groupBy("image_id").agg(F.min("r").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n")).orderBy("image_id").collect()
+    assert [x["n"] for x in r] == [64] * 3
+    assert r[0]["lo"] < 30 and r[1]["hi"] == 255 and (r[2]["lo"], r[2]["hi"]) == (255, 255)
+    with pytest.raises(ValueError):
+        raster.render_documents(docs, p, layers, 9000, 9000)
