@@ -68,8 +68,9 @@ def _deal(bounds: np.ndarray):
 def shard(docs: DataFrame, shards: int = 40, fine: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
-    size: UTF-8 bytes of the text (null: none) plus 16; shards differ by about one record's bytes.
-    Equal texts lie side by side: a group is cut only where a shard ends inside it. slot counts from
+    size: UTF-8 bytes of the text (null: none) plus 16; shards differ by about a fiftieth or one
+    record's bytes. Equal texts lie side by side: a group of at most a fiftieth of a shard stays
+    whole, a larger one is cut only where a shard ends inside it. slot counts from
     0 in each shard, in order of (text hash, doc_id hash, doc_id). Ties (rows equal in all of these)
     are interchangeable. Null doc_id: sorted first in its group. An empty table gives an empty
     result; other columns are ignored. Texts are read once and never shuffled.
@@ -89,13 +90,17 @@ def shard(docs: DataFrame, shards: int = 40, fine: int = 64, id_col: str = "doc_
     order = ["h", "sub", "doc_id", "size", "text_crc32"]
     inner = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("upto", F.sum("size").over(inner)).withColumn("rank", F.count("*").over(inner))
+    group = Window.partitionBy("part", "h")
+    placed = placed.withColumns({"g_start": F.min(F.col("upto") - F.col("size")).over(group), "g_size": F.sum("size").over(group)})
     placed = stored(placed, "shard-places")
     # at most shards * fine rows
     parts = placed.groupBy("part").agg(F.max("upto").alias("bytes"), F.max("rank").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("bytes").over(Window.partitionBy())
     offsets = parts.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("r0"), total.alias("total"))
-    middle = F.col("b0") + F.col("upto") - F.col("size") / 2
+    # a group of at most a fiftieth of a shard goes whole where its middle lies
+    small = F.col("g_size") * 50 * shards <= F.col("total")
+    middle = F.col("b0") + F.when(small, F.col("g_start") + F.col("g_size") / 2).otherwise(F.col("upto") - F.col("size") / 2)
     one = placed.join(F.broadcast(offsets), "part").select(
         "doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("total"))).cast("int").alias("shard"), (F.col("r0") + F.col("rank")).alias("at")
     )
