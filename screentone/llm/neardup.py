@@ -7,9 +7,9 @@ differ in about 4 bits. Several independent ones, each in the covering tables of
 nearly all such pairs into a common bucket, and hardly any unrelated texts. Candidates are verified
 on their whole texts.
 
-In buckets of up to `bucket` texts all pairs are candidates. In larger ones (thousands of copies of
-one text) every text is compared with two leaders, the text nearest to the bucket's bitwise majority
-and the one with most exact copies, in each of its buckets: linear, with no pairs of a group.
+Every text of a bucket is first compared with two leaders, the text nearest to the bucket's bitwise
+majority and the one with most exact copies: linear, however many copies of one text meet there. In
+buckets of up to `bucket` texts all pairs that the leaders left in different groups follow.
 """
 
 from __future__ import annotations
@@ -38,35 +38,38 @@ def word_fingerprints(text: str | None, count: int) -> list[int]:
     return out
 
 
-def candidates(texts: DataFrame, count: int = 8, radius: int = 2, bucket: int = 32) -> DataFrame:
-    """Candidate pairs (a, b) of texts (h, copies, fps), a < b, from the covering tables."""
+def bucket_rows(texts: DataFrame, count: int = 8, radius: int = 2) -> DataFrame:
+    """(t, k, n, h, copies, fp): the texts of every bucket that holds more than one, with its size n."""
     masks = covering_masks(radius)
     keys = [F.struct(F.lit(i * len(masks) + j).alias("t"), F.col("fps")[i].bitwiseAND(F.lit(_signed(m))).alias("k")) for i in range(count) for j, m in enumerate(masks)]
     rows = texts.select("h", "copies", F.col("fps")[0].alias("fp"), F.explode(F.array(*keys)).alias("x")).select("h", "copies", "fp", "x.t", "x.k")
-    sizes = stored(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
-    few = (
-        rows.select("h", "t", "k").join(sizes.filter(F.col("n") <= bucket).select("t", "k").hint("merge"), ["t", "k"])
-        .groupBy("t", "k")
-        .agg(F.sort_array(F.collect_list("h")).alias("v"))
-        .select(F.explode(F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x AS a, y AS b))))")).alias("p"))
-        .select("p.a", "p.b")
-    )
-    many = stored(rows.join(sizes.filter(F.col("n") > bucket).select("t", "k"), ["t", "k"]), "large-buckets")
+    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
+    # a merge join at any size: buckets grow with the corpus, so no plan counts on a broadcast
+    return rows.join(sizes.hint("merge"), ["t", "k"])
+
+
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: every text of a bucket with the bucket's two leaders, each pair once."""
     ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
-    votes = many.groupBy("t", "k").agg(F.count("*").alias("n"), *ones)
+    votes = rows.groupBy("t", "k").agg(F.count("*").alias("m"), *ones)
     middle = None
     for i in range(64):
-        bit = F.when(F.col(f"s{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long"))
+        bit = F.when(F.col(f"s{i}") * 2 > F.col("m"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long"))
         middle = bit if middle is None else middle.bitwiseOR(bit)
-    middle = votes.select("t", "k", middle.alias("middle"))
-    led = many.join(middle, ["t", "k"]).groupBy("t", "k").agg(
+    led = rows.join(votes.select("t", "k", middle.alias("middle")), ["t", "k"]).groupBy("t", "k").agg(
         F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("d"), "h")).alias("near"), F.min(F.struct((-F.col("copies")).alias("d"), "h")).alias("most")
     )
     # a text meets the same leaders in most of its buckets: each once
     led = led.select("t", "k", F.array("near.h", "most.h").alias("leaders"))
-    star = many.join(led, ["t", "k"]).groupBy("h").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("l")).select("h", F.explode("l").alias("o"))
-    star = star.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).filter("a < b")
-    return few.unionByName(star).distinct()
+    star = rows.join(led, ["t", "k"]).groupBy("h").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("l")).select("h", F.explode("l").alias("o"))
+    return star.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).filter("a < b").distinct()
+
+
+def remaining_pairs(rows: DataFrame, roots: DataFrame, bucket: int) -> DataFrame:
+    """(a, b), a < b: pairs of buckets of up to `bucket` texts whose groups still differ."""
+    some = rows.filter(F.col("n") <= bucket).select("t", "k", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    pairs = "flatten(transform(v, (x, i) -> transform(filter(slice(v, i + 2, size(v)), y -> y.root <> x.root), y -> struct(x.h AS a, y.h AS b))))"
+    return some.groupBy("t", "k").agg(F.sort_array(F.collect_list(F.struct("h", "root"))).alias("v")).select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -107,11 +110,12 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
     every = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>"), "word-fingerprints")
     texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first("fps").alias("fps")), "texts")
-    pairs = stored(candidates(texts, count, radius, bucket), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    held = stored(every.select("h", "text").join(ends.hint("merge"), "h", "left_semi").dropDuplicates(["h"]), "candidate-texts")
-    links = similar(pairs, held, width, similarity)
-    roots = connected_components(links)
+    met = stored(bucket_rows(texts, count, radius), "buckets")
+    held = every.select("h", "text").join(met.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
+    held = stored(held, "candidate-texts")
+    links = stored(similar(leader_pairs(met), held, width, similarity), "links")
+    more = similar(remaining_pairs(met, connected_components(links), bucket), held, width, similarity)
+    roots = connected_components(links.unionByName(more))
     return rows.select("doc_id", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 
