@@ -7,9 +7,10 @@ differ in about 4 bits. Several independent ones, each in the covering tables of
 nearly all such pairs into a common bucket, and hardly any unrelated texts. Candidates are verified
 on their whole texts.
 
-Every text of a bucket is first compared with two leaders, the text nearest to the bucket's bitwise
-majority and the one with most exact copies: linear, however many copies of one text meet there. In
-buckets of up to `bucket` texts all pairs that the leaders left in different groups follow.
+Buckets have two leaders: the text nearest to the bucket's bitwise majority and the one with most
+exact copies. Every text is first compared with the two leaders it meets most often; then with
+those other leaders of its buckets, and in buckets of up to `bucket` texts with all members, whose
+groups still differ. No pass makes all pairs of a large group.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def bucket_rows(texts: DataFrame, count: int = 8, radius: int = 2) -> DataFrame:
     return rows.join(sizes.hint("merge"), ["t", "k"])
 
 
-def leader_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: every text of a bucket with the bucket's two leaders, each pair once."""
+def bucket_leaders(rows: DataFrame) -> DataFrame:
+    """(t, k, leaders): the two leaders of every bucket."""
     ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
     votes = rows.groupBy("t", "k").agg(F.count("*").alias("m"), *ones)
     middle = None
@@ -59,10 +60,33 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
     led = rows.join(votes.select("t", "k", middle.alias("middle")), ["t", "k"]).groupBy("t", "k").agg(
         F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("d"), "h")).alias("near"), F.min(F.struct((-F.col("copies")).alias("d"), "h")).alias("most")
     )
-    # a text meets the same leaders in most of its buckets: each once
-    led = led.select("t", "k", F.array("near.h", "most.h").alias("leaders"))
-    star = rows.join(led, ["t", "k"]).groupBy("h").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("l")).select("h", F.explode("l").alias("o"))
-    return star.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).filter("a < b").distinct()
+    return led.select("t", "k", F.array("near.h", "most.h").alias("leaders"))
+
+
+def frequent_leaders(rows: DataFrame, led: DataFrame, most: int) -> DataFrame:
+    """(h, leaders): of the leaders of a text's buckets, the `most` it meets most often."""
+    met = rows.join(led, ["t", "k"]).groupBy("h").agg(F.flatten(F.collect_list("leaders")).alias("l"))
+    often = "transform(array_distinct(l), o -> struct(size(filter(l, x -> x = o)) AS n, o AS o))"
+    return met.select("h", F.expr(f"slice(transform(filter(sort_array({often}, false), x -> x.o <> h), x -> x.o), 1, {int(most)})").alias("leaders"))
+
+
+def as_pairs(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: each text of (h, leaders) with each of its leaders, every pair once."""
+    star = met.select("h", F.explode("leaders").alias("o"))
+    return star.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+
+
+def other_leaders(rows: DataFrame, led: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts with those leaders of their buckets whose groups still differ.
+
+    Groups are looked up once for each leader of a bucket and once for each text, before any pair is made.
+    """
+    groups = lambda k, r: roots.select(F.col("node").alias(k), F.col("root").alias(r))
+    named = led.select("t", "k", F.explode(F.array_distinct("leaders")).alias("o")).join(groups("o", "ro"), "o", "left")
+    named = named.groupBy("t", "k").agg(F.collect_list(F.struct("o", F.coalesce("ro", "o").alias("r"))).alias("leaders"))
+    met = rows.join(named, ["t", "k"]).groupBy("h").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("l"))
+    met = met.join(groups("h", "rh"), "h", "left").withColumn("rh", F.coalesce("rh", "h"))
+    return as_pairs(met.select("h", F.expr("transform(filter(l, x -> x.r <> rh), x -> x.o)").alias("leaders")))
 
 
 def remaining_pairs(rows: DataFrame, roots: DataFrame, bucket: int) -> DataFrame:
@@ -113,8 +137,12 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
     met = stored(bucket_rows(texts, count, radius), "buckets")
     held = every.select("h", "text").join(met.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
     held = stored(held, "candidate-texts")
-    links = stored(similar(leader_pairs(met), held, width, similarity), "links")
-    more = similar(remaining_pairs(met, connected_components(links), bucket), held, width, similarity)
+    # the leaders met most often first: most texts of a large group find it through one of them
+    led = stored(bucket_leaders(met), "leaders")
+    links = stored(similar(as_pairs(frequent_leaders(met, led, 2)), held, width, similarity), "links")
+    roots = stored(connected_components(links), "first-groups")
+    rest = other_leaders(met, led, roots)
+    more = similar(remaining_pairs(met, roots, bucket).unionByName(rest).distinct(), held, width, similarity)
     roots = connected_components(links.unionByName(more))
     return rows.select("doc_id", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
