@@ -15,10 +15,12 @@ groups still differ. No pass makes all pairs of a large group.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screentone.llm.common import connected_components, stored
@@ -96,6 +98,54 @@ def remaining_pairs(rows: DataFrame, roots: DataFrame, bucket: int) -> DataFrame
     return some.groupBy("t", "k").agg(F.sort_array(F.collect_list(F.struct("h", "root"))).alias("v")).select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").distinct()
 
 
+def common_shingles(texts: DataFrame, width: int, sample: int = 8000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that occur in three or more of about `sample` texts, drawn by hash.
+
+    They only order the shingles; the join is exact in any order.
+    """
+    share = min(1.0, sample / max(texts.count(), 1))
+    drawn = texts.filter(F.shiftrightunsigned(F.xxhash64("h", F.lit(11)), 11) / F.lit(float(1 << 53)) < share).dropDuplicates(["h"])
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, width)) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64))], names=["s"])
+
+    counts = drawn.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
+    got = counts.orderBy(F.desc("n"), "s").limit(most).toArrow()
+    s, n = got.column("s").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def shingle_prefix(text: str | None, width: int, similarity: float, often: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of distinct shingles of a text, and the first of them, rarest first, that its prefix holds."""
+    s = np.unique(shingle_hashes(text, width))
+    if not len(s):
+        return 0, s
+    most = len(s) - ceil(similarity * len(s) - 1e-9) + 1
+    if len(often):
+        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+        s = s[np.lexsort((s, np.where(often[at] == s, counts[at], 0)))]
+    return len(s), s[:most]
+
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs that the filters of the exact join leave, of texts whose groups still differ.
+
+    texts has h, size and prefix of each distinct text.
+    """
+    rows = texts.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "size", F.posexplode("prefix").alias("at", "s"))
+    same = Window.partitionBy("s")
+    some = rows.withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same)).filter("low <> high")
+    some = stored(some.select("s", "h", "root", "size", "at"), "postings")
+    x, y = (some.select("s", *[F.col(c).alias(c + k) for c in ("h", "root", "size", "at")]).hint("merge") for k in "xy")
+    alike = F.least("sizex", "sizey") >= similarity * F.greatest("sizex", "sizey") - 1e-6
+    enough = F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty")) >= similarity / (1 + similarity) * (F.col("sizex") + F.col("sizey")) - 1e-6
+    both = x.join(y, (x["s"] == y["s"]) & (F.col("rootx") != F.col("rooty")) & (F.col("hx") < F.col("hy")) & alike & enough)
+    return both.select(F.col("hx").alias("a"), F.col("hy").alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have at least the given Jaccard similarity, on whole texts."""
 
@@ -124,16 +174,21 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
+    every = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    often = docs.sparkSession.sparkContext.broadcast(common_shingles(every.select("h", "text"), width))
 
     def run(batches):
+        longs = pa.list_(pa.int64())
         for b in batches:
-            fps = [word_fingerprints(t, count) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            fps = [word_fingerprints(t, count) for t in texts]
             fps = np.array(fps, dtype=np.uint64).reshape(-1, count).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "h", "fps"])
+            first = [shingle_prefix(t, width, similarity, *often.value) for t in texts]
+            size, prefix = pa.array([n for n, _ in first], pa.int32()), pa.array([p.view(np.int64) for _, p in first], longs)
+            yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(list(fps), longs), size, prefix], names=["doc_id", "h", "fps", "size", "prefix"])
 
-    every = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>"), "word-fingerprints")
-    texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first("fps").alias("fps")), "texts")
+    rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>, size int, prefix array<long>"), "word-fingerprints")
+    texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first(F.struct("fps", "size", "prefix")).alias("x")).select("h", "copies", "x.*"), "texts")
     met = stored(bucket_rows(texts, count, radius), "buckets")
     held = every.select("h", "text").join(met.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
     held = stored(held, "candidate-texts")
@@ -143,7 +198,13 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
     roots = stored(connected_components(links), "first-groups")
     rest = other_leaders(met, led, roots)
     more = similar(remaining_pairs(met, roots, bucket).unionByName(rest).distinct(), held, width, similarity)
-    roots = connected_components(links.unionByName(more))
+    links = stored(links.unionByName(more), "links")
+    roots = connected_components(links)
+    # then everything else that can be alike
+    pairs = stored(prefix_pairs(texts, roots, similarity), "prefix-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    held = every.select("h", "text").join(ends.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
+    roots = connected_components(links.unionByName(similar(pairs, held, width, similarity)))
     return rows.select("doc_id", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 
