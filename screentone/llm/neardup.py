@@ -133,17 +133,19 @@ def shingle_prefix(text: str | None, width: int, similarity: float, often: np.nd
 def prefix_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: all pairs that the filters of the exact join leave, of texts whose groups still differ.
 
-    texts has h, size and prefix of each distinct text.
+    texts has h, size and prefix of each distinct text. One side of the join leaves out each shingle's
+    most usual group, so that a large group is never paired with itself.
     """
     rows = texts.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "size", F.posexplode("prefix").alias("at", "s"))
     same = Window.partitionBy("s")
     some = rows.withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same)).filter("low <> high")
-    some = stored(some.select("s", "h", "root", "size", "at"), "postings")
-    x, y = (some.select("s", *[F.col(c).alias(c + k) for c in ("h", "root", "size", "at")]).hint("merge") for k in "xy")
+    some = stored(some.withColumn("usual", F.col("root") == F.mode("root").over(same)).select("s", "h", "root", "size", "at", "usual"), "postings")
+    x, y = (some.select("s", *[F.col(c).alias(c + k) for c in ("h", "root", "size", "at", "usual")]).hint("merge") for k in "xy")
+    once = F.col("usualy") | (F.col("hx") < F.col("hy"))
     alike = F.least("sizex", "sizey") >= similarity * F.greatest("sizex", "sizey") - 1e-6
     enough = F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty")) >= similarity / (1 + similarity) * (F.col("sizex") + F.col("sizey")) - 1e-6
-    both = x.join(y, (x["s"] == y["s"]) & (F.col("rootx") != F.col("rooty")) & (F.col("hx") < F.col("hy")) & alike & enough)
-    return both.select(F.col("hx").alias("a"), F.col("hy").alias("b")).distinct()
+    both = x.filter("NOT usualx").join(y, (x["s"] == y["s"]) & (F.col("rootx") != F.col("rooty")) & once & alike & enough)
+    return both.select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:

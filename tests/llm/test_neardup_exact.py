@@ -26,3 +26,32 @@ def test_appended_and_cut_copies(spark):
         texts += [" ".join(w), " ".join(w + more), " ".join(w[:-n])]
     rng.shuffle(texts)
     assert kept(spark, texts) == want(texts)
+
+
+def test_near_copies_in_a_bucket_of_many(spark):
+    rng = random.Random(32)
+    words, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(100):
+        w = rng.sample(words, 150)
+        texts.append(" ".join(w))
+        at = rng.randrange(149)
+        w[at], w[at + 1] = w[at + 1], w[at]
+        texts.append(" ".join(w))
+    # one set of words: all fingerprints are equal, so all texts share every bucket
+    rng.shuffle(texts)
+    assert len(want(texts)) == 100 and kept(spark, texts) == want(texts)
+
+
+def test_pairs_of_shingles_with_a_usual_group(spark):
+    rng = random.Random(33)
+    base = [rng.sample(range(30), 20) for _ in range(6)]
+    sets = [rng.sample(range(30), 1) + rng.choice(base)[1:] for _ in range(60)]
+    sets = [s if len(set(s)) == 20 else base[0] for s in sets]
+    root = [h if rng.random() < 0.4 else rng.choice([0, 1]) for h in range(60)]
+    rows = [(h, 20, sorted(s)[:5]) for h, s in enumerate(sets)]
+    pairs = neardup.prefix_pairs(spark.createDataFrame(rows, "h long, size int, prefix array<long>"), spark.createDataFrame(list(enumerate(root)), "node long, root long"), 0.8)
+    alike = lambda a, b: root[a] != root[b] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and all(a < b and root[a] != root[b] for a, b in got)
+    want = {(a, b) for b in range(60) for a in range(b) if alike(a, b)}
+    assert want and want <= set(got)
