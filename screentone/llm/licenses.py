@@ -1,6 +1,7 @@
 """License scans: phrases at word level, and an exact set-similarity join of text blocks with templates.
 
-A block is a line, or a window of a long line. A template matches a block that holds at least
+Blocks are overlapping windows of words over the whole text, so that wrapped notices are whole in one,
+and lines besides. A template matches a block that holds at least
 `threshold` of its distinct tokens. Tokens are ordered by how many blocks of the whole corpus hold
 them, rarest first; a matching block must hold one of the template's first n - ceil(threshold*n) + 1
 tokens (prefix filter), have enough tokens at all (length filter), and have enough left from the
@@ -43,7 +44,7 @@ def _lines(text: str | None) -> list[list[bytes]]:
 
 
 def _blocks(line: list[bytes], width: int):
-    """The line, or windows of `width` words at half their distance if it is longer."""
+    """The words, or windows of `width` words at half their distance if there are more."""
     if len(line) <= width:
         yield set(line)
     else:
@@ -51,6 +52,14 @@ def _blocks(line: list[bytes], width: int):
             yield set(line[at : at + width])
 
 
+def _text_blocks(lines: list[list[bytes]], width: int):
+    """Windows over the whole text, then those of its lines where there are several."""
+    yield from _blocks([w for line in lines for w in line], width)
+    if len(lines) > 1:
+        for line in lines:
+            yield from _blocks(line, width)
+
+
 def tokens(template: str) -> set[bytes]:
     return {w for line in _lines(template) for w in line}
 
@@ -62,10 +71,9 @@ def block_counts(docs: DataFrame, vocabulary: set[bytes], width: int, text_col:
         n = dict.fromkeys(vocabulary, 0)
         for b in batches:
             for t in b.column(0).to_pylist():
-                for line in _lines(t):
-                    for block in _blocks(line, width):
-                        for w in block & vocabulary:
-                            n[w] += 1
+                for block in _text_blocks(_lines(t), width):
+                    for w in block & vocabulary:
+                        n[w] += 1
         yield pa.record_batch([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
 
     got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
@@ -116,6 +124,8 @@ def licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, width
     """
     kind = docs.schema[id_col].dataType.simpleString()
     vocabulary = set().union(*[tokens(t) for _, t in templates]) if templates else set()
+    # windows overlap by half, so any half window of words is whole in one
+    width = max([width, *(2 * sum(map(len, _lines(t))) for _, t in templates)])
     index = Index(templates, block_counts(docs, vocabulary, width, text_col), threshold)
     phrases = [(p.encode(), label) for p, label in PHRASES.items()]
 
@@ -132,10 +142,8 @@ def licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, width
                 at = flat.find(b" " + p + b" ", at + 1)
         labels, score = set(base), 1.0 if base else 0.0
         if not index.prefix.keys().isdisjoint(flat.split()):
-            for line in lines:
-                if index.prefix.keys().isdisjoint(line):
-                    continue
-                for block in _blocks(line, width):
+            for block in _text_blocks(lines, width):
+                if not index.prefix.keys().isdisjoint(block):
                     found = index.match(block)
                     # a notice names what it fits best: CC BY-NC also holds most of CC BY
                     top = max((m[:2] for m in found), default=None)
