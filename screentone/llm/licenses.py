@@ -35,6 +35,9 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+#: Words that name a license: a template that holds them matches only with all of them.
+NAMES = {"mit": "mit", "apache": "apache", "gpl": "general", "mpl": "mozilla", "cc-by": "cc by", "cc-by-nc": "cc by nc", "cc-by-sa": "cc by sa"}
+
 # A-Z to lower case; all other ASCII but digits and letters to a space; line feeds stay
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else 32 for b in range(256))
 
@@ -95,8 +98,19 @@ class Index:
                 self.prefix.setdefault(w, []).append((len(self.sets), at))
             self.sets.append((label, frozenset(t), need))
 
+    def named(self, block: set[bytes]) -> list[tuple[float, str]]:
+        """(containment, label) of the matched templates whose names are in the block.
+
+        One whose common tokens are a proper part of another one's is left out: CC BY-NC also holds CC BY.
+        """
+        held = [(share, label, t & block) for share, _, label, t in self._matches(block) if block.issuperset(t & set(NAMES.get(label, "").encode().split()))]
+        return [(share, label) for share, label, t in held if not any(t < other for *_, other in held)]
+
     def match(self, block: set[bytes]) -> list[tuple[float, int, str]]:
         """(containment, tokens in common, label) of every template the block matches."""
+        return [m[:3] for m in self._matches(block)]
+
+    def _matches(self, block: set[bytes]) -> list[tuple[float, int, str, frozenset[bytes]]]:
         first: dict[int, int] = {}
         for w in block & self.prefix.keys():
             for k, at in self.prefix[w]:
@@ -108,7 +122,7 @@ class Index:
                 continue
             both = len(t & block)
             if both >= need:
-                out.append((both / len(t), both, label))
+                out.append((both / len(t), both, label, t))
         return out
 
 
@@ -116,8 +130,8 @@ def licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, width
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of the phrases; first_word and last_word are their smallest and largest
-    start (null without one). labels adds, for each block, those of the matching template of highest
-    containment, then most common tokens (all of them on a tie); both are distinct, sorted and
+    start (null without one). labels adds, for each block, those of all matching templates that hold their
+    names, but one whose common tokens are a proper part of another one's; both are distinct, sorted and
     comma-joined, empty if there are none. score: 1 with a phrase, else the highest containment
     of a matching template, else 0. Null and empty texts have no words. Repeated rows get equal results; an empty table gives an
     empty result; other columns are ignored.
@@ -144,11 +158,9 @@ def licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, width
         if not index.prefix.keys().isdisjoint(flat.split()):
             for block in _text_blocks(lines, width):
                 if not index.prefix.keys().isdisjoint(block):
-                    found = index.match(block)
-                    # a notice names what it fits best: CC BY-NC also holds most of CC BY
-                    top = max((m[:2] for m in found), default=None)
-                    labels.update(label for *m, label in found if tuple(m) == top)
-                    score = max([score, *(m[0] for m in found)])
+                    found = index.named(block)
+                    labels.update(label for _, label in found)
+                    score = max([score, *(share for share, _ in found)])
         return n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

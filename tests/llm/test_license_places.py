@@ -18,3 +18,19 @@ def test_wrapped_notices(spark, mark):
     texts = ["\n".join(mark + x for x in textwrap.wrap(t, 60)) for _, t in long]
     texts += ["some words\n" * 17 + t + "\nmore words" * 40 for t in texts]
     assert labels(spark, texts) == [k for k, _ in long] * 2
+
+
+def test_every_notice_of_a_place(spark):
+    bsd = next(t for k, t in licenses.TEMPLATES if k == "bsd")
+    texts = [
+        f"Licensed under CC BY 4.0. {bsd}.",
+        "Licensed under CC BY-NC 4.0",
+        "Licensed under CC BY 4.0",
+        "Licensed under CC BY 4.0\nLicensed under CC BY-SA 4.0",
+        "released under the BSD License",
+        "released under the Columbia license",
+        "Educational Community License, Version 2.0",
+        "Licensed under the Educational Community License, Version 2.0",
+        "Released under the MIT License",
+    ]
+    assert labels(spark, texts) == ["bsd,cc-by", "cc-by-nc", "cc-by", "cc-by,cc-by-sa", "", "", "", "", "mit"]
