@@ -17,7 +17,7 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak kinds: parts that are reported only beside complementary ones.
-KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9a-z+/_=-]{0,40}[A-Z])[A-Za-z0-9+/_=-]{20,}"
+KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
 IDENT = r"(?<![A-Za-z0-9_])(?:user|username|account|client_id|login|key_id)\x20?[:=]\x20?[A-Za-z0-9._@-]{3,}"
 ENDPOINT = r"(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._:@/-]+"
 
@@ -69,7 +69,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = F.array_sort(F.concat(_spans("text", "assign", ASSIGN, "group"), _spans("text", "access", ACCESS), _spans("text", "hex", HEX)))
     weak = F.concat(_spans("text", "key", KEY), _spans("text", "ident", IDENT), _spans("text", "endpoint", ENDPOINT))
     d = d.select("doc_id", "text", base.alias("base"), weak.alias("weak"))
-    inside = "filter(weak, w -> NOT exists(base, b -> b.s < w.e AND w.s < b.e))"
+    inside = "filter(weak, w -> NOT exists(base, b -> b.s <= w.s AND w.e <= b.e))"
     key = F.when(F.size("weak") + F.size("base") > 0, row_key("doc_id", "text"))
     return d.select("doc_id", key.alias("row_key"), "base", F.when(F.size("weak") > 0, F.expr(inside)).otherwise(F.col("weak")).alias("weak"))
 
@@ -77,6 +77,8 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def link_parts(found: DataFrame, scope: int = 256) -> DataFrame:
     """(row_key, linked): the weak spans with a complementary part at most `scope` code points away.
 
+    A bare token that overlaps a base span is one credential with it and needs no other part.
+
     An interval join on (row, bucket of `scope` code points): each weak span looks into the buckets
     that its reach touches. Buckets hold at most `scope` code points of one row, so no key is hot,
     and the semi-join emits no pairs.
@@ -84,14 +86,16 @@ def link_parts(found: DataFrame, scope: int = 256) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("p.k") + 1)
     role = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, ROLE[k])]), kind)
     some = found.filter("size(weak) > 0 AND size(weak) + size(base) > 1").select("row_key", "base", "weak").dropDuplicates(["row_key"])
-    every = some.select("row_key", F.explode(F.concat("base", "weak")).alias("p")).select("row_key", "p.s", "p.e", role.alias("role"))
+    every = some.select("row_key", F.explode(F.concat("base", "weak")).alias("p")).select("row_key", "p.s", "p.k", "p.e", role.alias("role"))
     around = F.explode(F.sequence(F.expr(f"s div {scope}"), F.expr(f"(e - 1) div {scope}"))).alias("cell")
-    right = every.select(F.col("row_key").alias("rk"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("role").alias("rr"), around)
+    right = every.select(F.col("row_key").alias("rk"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("role").alias("rr"), (F.col("k") <= KINDS.index("hex")).alias("rb"), around)
     needs = F.element_at(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.array(*[F.lit(r) for r in NEEDS.get(k, [])]).cast("array<string>"))]), kind)
     left = some.select("row_key", F.explode("weak").alias("p")).select("row_key", "p.s", "p.k", "p.e", needs.alias("needs"))
     reach = F.explode(F.sequence(F.expr(f"greatest(0, s - {scope}) div {scope}"), F.expr(f"(e + {scope}) div {scope}"))).alias("cell")
     left = left.select("row_key", "s", "k", "e", "needs", reach)
-    near = (F.col("row_key") == F.col("rk")) & (left["cell"] == right["cell"]) & (F.col("rs") <= F.col("e") + scope) & (F.col("s") <= F.col("re") + scope) & F.array_contains("needs", F.col("rr"))
+    within = (F.col("rs") <= F.col("e") + scope) & (F.col("s") <= F.col("re") + scope) & F.array_contains("needs", F.col("rr"))
+    across = (F.col("k") == KINDS.index("key")) & F.col("rb") & (F.col("rs") < F.col("e")) & (F.col("s") < F.col("re"))
+    near = (F.col("row_key") == F.col("rk")) & (left["cell"] == right["cell"]) & (within | across)
     linked = left.join(right, near, "left_semi").select("row_key", "s", "k", "e").distinct()
     return linked.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("linked"))
 
