@@ -148,24 +148,34 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataF
     return both.select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def shingle_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(h, s): the sorted distinct shingle hashes, packed, of each wanted distinct text; hashed once, however many pairs it is in."""
+
+    def run(batches):
+        for b in batches:
+            packed = [np.unique(shingle_hashes(t, width)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("h"), pa.array(packed, pa.binary())], names=["h", "s"])
+
+    held = texts.select("h", "text").join(wanted.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
+    return held.select("h", "text").mapInArrow(run, "h long, s binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have at least the given Jaccard similarity, on whole texts."""
 
     def run(batches):
         for b in batches:
-            keep, last, held = [], None, None
-            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
-                if x != last:
-                    last, held = x, np.unique(shingle_hashes(x, width))
-                other = np.unique(shingle_hashes(y, width))
+            keep = []
+            for x, y in zip(b.column("sa"), b.column("sb")):
+                held, other = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(both >= similarity * (len(held) + len(other) - both) - 1e-9)
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # merge joins at any size: what is compared grows with the corpus, so no plan counts on broadcasts
-    left, right = (texts.select(F.col("h").alias(k), F.col("text").alias(f"t{k}")).hint("merge") for k in "ab")
+    left, right = (sets.select(F.col("h").alias(k), F.col("s").alias(f"s{k}")).hint("merge") for k in "ab")
     full = pairs.join(left, "a").join(right, "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int = 8, radius: int = 2, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,41 +202,38 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
     rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>, size int, prefix array<long>"), "word-fingerprints")
     texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first(F.struct("fps", "size", "prefix")).alias("x")).select("h", "copies", "x.*"), "texts")
     met = stored(bucket_rows(texts, count, radius), "buckets")
-    held = every.select("h", "text").join(met.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
-    held = stored(held, "candidate-texts")
+    held = stored(shingle_sets(every, met, width), "candidate-sets")
     # the leaders met most often first: most texts of a large group find it through one of them
     led = stored(bucket_leaders(met), "leaders")
-    links = stored(similar(as_pairs(frequent_leaders(met, led, 2)), held, width, similarity), "links")
+    links = stored(similar(as_pairs(frequent_leaders(met, led, 2)), held, similarity), "links")
     roots = stored(connected_components(links), "first-groups")
     rest = other_leaders(met, led, roots)
-    more = similar(remaining_pairs(met, roots, bucket).unionByName(rest).distinct(), held, width, similarity)
+    more = similar(remaining_pairs(met, roots, bucket).unionByName(rest).distinct(), held, similarity)
     links = stored(links.unionByName(more), "links")
     roots = connected_components(links)
     # then everything else that can be alike
     pairs = stored(prefix_pairs(texts, roots, similarity), "prefix-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    held = every.select("h", "text").join(ends.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
-    roots = connected_components(links.unionByName(similar(pairs, held, width, similarity)))
+    held = stored(shingle_sets(every, pairs.select(F.explode(F.array("a", "b")).alias("h")), width), "candidate-sets")
+    roots = connected_components(links.unionByName(similar(pairs, held, similarity)))
     return rows.select("doc_id", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int = 8, radius: int = 2, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal or near texts: the smallest doc_id's (null ones last).
 
-    All columns stay; a column named __h is not allowed. Null and empty texts and those without words are one group. Of
+    All columns stay, whatever their names. Null and empty texts and those without words are one group. Of
     repeated rows one stays; of rows that share doc_id and text but differ elsewhere, any one.
     """
     found = stored(classes(docs, width, similarity, count, radius, bucket, id_col, text_col), "near-classes")
-    key = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
-    first = found.groupBy("root").agg(F.min(key).alias("first"))
-    judged = found.join(first, "root").select("doc_id", "h", (key != F.col("first")).alias("lost")).groupBy("doc_id", "h").agg(F.first("lost").alias("lost"), F.count("*").alias("n"))
-    judged = stored(judged.filter("lost OR n > 1"), "near-lost")
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    on = lambda side: (marked["__h"] == side["h"]) & marked[id_col].eqNullSafe(side["doc_id"])
-    if not judged.filter("NOT lost").isEmpty():
-        twice = judged.filter("NOT lost")
-        lost = judged
-        again = marked.join(twice, on(twice), "left_semi").dropDuplicates([id_col, "__h"])
-        return marked.join(lost, on(lost), "left_anti").unionByName(again).drop("__h")
-    lost = judged.hint("merge")
-    return marked.join(lost, on(judged), "left_anti").drop("__h")
+    # the first row of each group stays; a group is only ever a partial minimum, never one task's rows
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("first")
+    kept = stored(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")), "near-kept")
+    again = found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    side = kept.hint("merge")
+    stay = docs.join(side, (h == side["h"]) & docs[id_col].eqNullSafe(side["doc_id"]), "left_semi")
+    if again.isEmpty():
+        return stay
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    one = stay.toDF(*names).withColumn("h", F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit(""))))
+    return one.dropDuplicates([names[docs.columns.index(id_col)], "h"]).drop("h").toDF(*docs.columns)
