@@ -2,9 +2,11 @@
 
 The histogram has at most `capacity` lengths, whatever the size of the corpus. Its configuration LP
 (use as few patterns as possible, each a multiset of lengths that fits a sequence, covering every
-length's count) is solved by multiplicative weights: prices on lengths, an unbounded knapsack by
-dynamic programming as the pricing step, prices of well-covered lengths falling. Averaged patterns
-are rounded down to whole sequences and what remains is placed by best fit. The plan is a table of
+length's count) is solved by multiplicative weights: prices on lengths, an exact bounded knapsack over all
+lengths by dynamic programming as the pricing step, prices of covered lengths falling. The patterns of all rounds
+are averaged; each round's prices also give a lower bound on the number of sequences. The average is
+rounded down to whole sequences, then pattern by pattern while pieces last, and the few pieces that remain go
+by best fit. The plan is a table of
 (length, range of ranks) -> sequences; documents find their place in it by their rank within their
 length, so no task ever holds all pieces.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import bisect
 import json
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,11 @@ class Encoder:
             said = json.load(f)
         to_byte = _byte_alphabet()
         self.special = [x["content"] for x in said["added_tokens"]]
+        model, split = said["model"], said["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not said["normalizer"] and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not (plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")):
+            self.special = [""]  # some other kind of file: every text goes to the tokenizers library
+            return
         ranks = {bytes(to_byte[c] for c in t): i for t, i in said["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("own", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
 
@@ -105,78 +113,136 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def price(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The unbounded knapsack: for each room, the highest price that fits and the length it ends with."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := upto[c]:
-            v = best[c - lengths[:n]] + prices[:n]
-            j = n - 1 - int(v[::-1].argmax())
-            if v[j] > best[c]:
-                best[c], took[c] = v[j], j
-    return best, took
-
-
-def _pattern(took: np.ndarray, lengths: np.ndarray, first: int, capacity: int) -> np.ndarray:
-    """How often each length stands in the best pattern that holds the given one."""
-    use = np.zeros(len(lengths), dtype=np.int64)
-    use[first] = 1
-    c = capacity - int(lengths[first])
-    while c > 0:
-        j = took[c]
-        if j < 0:
-            c -= 1
-        else:
-            use[j] += 1
-            c -= int(lengths[j])
-    return use
-
-
-def configuration_lp(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600, block: int = 16, step: float = 0.25, rate: float = 0.3, power: float = 20.0
-) -> dict[tuple[int, ...], float]:
-    """Times of each pattern, covering the counts but for a few pieces of each length.
-
-    Multiplicative weights: a length's price is a power of its share of a sequence (short lengths fill
-    gaps that no other can, so they come last), times exp(rate * how far its uncovered part lies above
-    the mean). Each round draws a block of lengths in proportion to what is uncovered, prices by the
-    knapsack within it, and takes the best pattern with each length of the block, if it fills the
-    sequence. A pattern runs for `step` of what its scarcest length still needs, so coverage stays
-    proportional. The draw has a fixed seed.
+def knapsack(prices: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int, order: np.ndarray):
+    """The bounded knapsack over the lengths of `order`: (best, last, item, used).
+
+    best[c] is the highest price of pieces that fill c exactly. Row s of last says for each c which step up
+    to s last raised it (-1: none); step s put used[s] pieces of length item[s].
+    """
+    left = np.minimum(capacity // lengths[order], limits[order])
+    item, used = [], []
+    for j, n in zip(order.tolist(), left.tolist()):
+        k = 1
+        while n > 0:
+            k = min(k, n)
+            item.append(j)
+            used.append(k)
+            n -= k
+            k *= 2
+    best = np.full(capacity + 1, -np.inf)
+    best[0] = 0.0
+    now, last = np.full(capacity + 1, -1, dtype=np.int32), np.empty((len(item), capacity + 1), dtype=np.int32)
+    size, gain = (lengths[item] * used).tolist(), (prices[item] * used).tolist()
+    for s, (u, v) in enumerate(zip(size, gain)):
+        with_it, held = best[: capacity + 1 - u] + v, best[u:]
+        more = with_it > held
+        np.copyto(held, with_it, where=more)
+        np.copyto(now[u:], s, where=more)
+        last[s] = now
+    return best, last, np.array(item), np.array(used)
+
+
+@dataclass
+class Solution:
+    """A fractional solution: times of each pattern, ((length index, copies), ...), covering each length's
+    count `cover` times (1 on average), and the largest lower bound on the number of sequences."""
+
+    times: dict[tuple[tuple[int, int], ...], float]
+    cover: np.ndarray
+    bound: float
+
+
+def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 4.0, width: float = 0.1, over: float = 0.03, value: float = 0.5, urge: float = 40.0) -> Solution:
+    """The configuration LP by multiplicative weights; lengths ascending, all under capacity.
+
+    The price of a length is its share of a sequence times exp(-rate * how far it is covered beyond the
+    mean). A round prices all lengths but those covered beyond the mean by `over`, and takes for each length
+    under the mean the best pattern with it that fills the sequence, if worth `value` of the best
+    pattern of all, else only the best one. Lengths that several patterns ask for are shared by
+    exp(-urge * lag) of the length each pattern is there for, so no round covers a length by more than `width`. Orders come from a fixed seed.
     """
     rng = np.random.default_rng(0)
-    need = counts.astype(float)
-    left = need.copy()
-    found: dict[tuple[int, ...], float] = {}
-    idle = 0
+    m, n = len(lengths), counts.astype(float)
+    tag = rng.integers(1, 1 << 40, m)  # tells patterns apart
+    cover, weight = np.zeros(m), n * lengths / (n * lengths).sum()
+    times: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = float((n * lengths).sum() / capacity)
     for _ in range(rounds):
-        live = np.nonzero(left >= 2)[0]
-        if not len(live) or idle >= 20:
+        mean = float((weight * cover).sum())
+        if mean >= 1:
             break
-        p = left[live]
-        idx = np.sort(rng.choice(live, size=min(block, len(live)), replace=False, p=p / p.sum()))
-        share = left[idx] / need[idx]
-        prices = (lengths[idx] / capacity) ** power * np.exp(rate * (share - left.sum() / need.sum()))
-        best, took = price(prices, lengths[idx], capacity)
-        value = prices + best[capacity - lengths[idx]]
-        before = left.sum()
-        for k in range(len(idx) - 1, -1, -1):
-            use = _pattern(took, lengths[idx], k, capacity)
-            if (use * lengths[idx]).sum() < capacity:
-                continue
-            on = use > 0
-            times = np.floor(step * float((left[idx][on] / use[on]).min()))
-            if times < 1:
-                times = 1.0 if (left[idx][on] >= 2 * use[on]).all() else 0.0
-            if times:
-                left[idx] -= use * times
-                key = tuple(np.repeat(idx[on], use[on])[::-1].tolist())
-                found[key] = found.get(key, 0.0) + times
-        idle = idle + 1 if left.sum() == before else 0
-    return found
+        lag = cover - mean
+        prices = lengths / capacity * np.exp(-rate * lag)
+        order = rng.permutation(np.flatnonzero(lag <= over))
+        best, last, item, used = knapsack(prices, lengths, counts, capacity, order)
+        reach = np.maximum.accumulate(best)
+        if len(order) == m:
+            bound = max(bound, float((n * prices).sum() / reach[capacity]))
+        through = np.flatnonzero(lag <= 0)
+        if not len(through):
+            through = np.array([lag.argmin()])
+        room = capacity - lengths[through]
+        at = np.maximum.accumulate(np.where(best >= reach, np.arange(capacity + 1), 0))
+        full = prices[through] + best[room] >= value * reach[capacity]
+        part = ~full & (prices[through] + reach[room] >= (1 - 1e-9) * reach[capacity])
+        if not (full | part).any():
+            part[lag[through].argmin()] = True
+        room = np.where(full, room, at[room])[full | part]
+        through = through[full | part]
+        use = np.zeros((len(through), m), dtype=np.int32)
+        row = np.arange(len(through))
+        use[row, through] = 1
+        step = last[-1, room]
+        while (on := step >= 0).any():
+            s = step[on]
+            use[row[on], item[s]] += used[s].astype(np.int32)
+            room[on] -= used[s] * lengths[item[s]]
+            step[on] = np.where(s > 0, last[s - 1, room[on]], -1)
+        # a pattern that needs more pieces of a length than there are gives its length a sequence of its own
+        many = (use > counts).any(axis=1)
+        use[many] = 0
+        use[row[many], through[many]] = 1
+        one = np.unique(use @ tag, return_index=True)[1]
+        use, want = use[one], np.exp(-urge * (lag[through[one]] - lag.min()))
+        row, col = np.nonzero(use)
+        held = use[row, col]
+        cut = np.flatnonzero(np.diff(row, prepend=-1))
+        asked = np.bincount(col, weights=held * want[row], minlength=m)
+        share = np.minimum.reduceat(n[col] / asked[col], cut) * want * width
+        cover += np.bincount(col, weights=held * share[row], minlength=m) / n
+        pairs = list(zip(col.tolist(), held.tolist()))
+        for x, lo, hi in zip(share.tolist(), cut.tolist(), [*cut[1:].tolist(), len(row)]):
+            key = tuple(pairs[lo:hi])
+            times[key] = times.get(key, 0.0) + x
+    mean = max(float((weight * cover).sum()), 1e-12)
+    return Solution({k: x / mean for k, x in times.items()}, cover / mean, bound)
+
+
+def rounded(found: Solution, counts: np.ndarray, spare: float = 0.04) -> tuple[dict[tuple[tuple[int, int], ...], int], np.ndarray]:
+    """Whole times of each pattern, and the pieces of each length that are left.
+
+    About `spare` of each length (more where lengths have few pieces) is held back, so that what is left has a mixture
+    of lengths that best fit packs well. First every pattern runs the whole part of its times; then one by one, largest
+    remaining part first, while all its pieces last.
+    """
+    spare = min(0.5, spare + 0.3 * len(counts) / max(int(counts.sum()), 1))
+    left = counts - np.floor(spare * counts + np.random.default_rng(1).random(len(counts))).astype(np.int64)
+    held = counts - left
+    left = left.tolist()
+    out: dict[tuple[tuple[int, int], ...], int] = {}
+    items = [(k, x * (1 - spare)) for k, x in found.times.items()]
+    for key, x in items:
+        times = min(int(x), *(left[j] // u for j, u in key))
+        if times > 0:
+            out[key] = times
+            for j, u in key:
+                left[j] -= u * times
+    for key, _ in sorted(items, key=lambda kx: (int(kx[1]) - kx[1], kx[0])):
+        if all(left[j] >= u for j, u in key):
+            out[key] = out.get(key, 0) + 1
+            for j, u in key:
+                left[j] -= u
+    return out, np.array(left, dtype=np.int64) + held
 
 
 def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
@@ -198,11 +264,27 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return [tuple(x) for x in held]
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 600) -> list[tuple[tuple[int, ...], int]]:
+def _remainder(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit of what the patterns leave; the pieces of many sequences at a time, the rest in proportion."""
+    out: list[tuple[tuple[int, ...], int]] = []
+    while counts.any():
+        scale = max(1, min(int(counts.sum()) // (32 * len(lengths)), int((counts * lengths).sum()) // (256 * capacity)))
+        while not (counts // scale).any():
+            scale //= 2
+        part = counts // scale
+        counts = counts - part * scale
+        kept: dict[tuple[int, ...], int] = {}
+        for key in _best_fit(lengths, part, capacity):
+            kept[key] = kept.get(key, 0) + scale
+        out += [(tuple(int(lengths[j]) for j in key), n) for key, n in kept.items()]
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 300, rate: float = 4.0) -> list[tuple[tuple[int, ...], int]]:
     """(pattern of lengths, number of sequences), using every piece of the histogram exactly once.
 
-    Rounding: each pattern of the LP runs a whole number of times; the pieces of each length that then
-    remain go by best fit, in proportion, so the work doesn't grow with the corpus.
+    Full pieces stand alone. The LP's rounded patterns carry nearly all the rest; what remains goes by best
+    fit, in proportion, so the work doesn't grow with the corpus.
     """
     rest = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
@@ -211,23 +293,10 @@ def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 600) ->
     lengths = np.array(sorted(rest), dtype=np.int64)
     if len(lengths):
         counts = np.array([rest[int(n)] for n in lengths], dtype=np.int64)
-        for key, times in configuration_lp(lengths, counts, capacity, rounds).items():
-            use = np.bincount(key, minlength=len(lengths))
-            whole = int(min(np.floor(times + 1e-9), (counts[use > 0] // use[use > 0]).min()))
-            if whole > 0:
-                counts -= use * whole
-                out.append((tuple(int(lengths[j]) for j in key), whole))
-        while counts.any():
-            # a bounded number of pieces at a time: the rest in proportion, each sequence `scale` times
-            scale = max(1, int(counts.sum()) // (32 * len(lengths)))
-            while not (counts // scale).any():
-                scale //= 2
-            part = counts // scale
-            counts = counts - part * scale
-            kept: dict[tuple[int, ...], int] = {}
-            for key in _best_fit(lengths, part, capacity):
-                kept[key] = kept.get(key, 0) + scale
-            out += [(tuple(int(lengths[j]) for j in key), n) for key, n in kept.items()]
+        whole, counts = rounded(configuration_lp(lengths, counts, capacity, rounds, rate), counts)
+        for key, times in whole.items():
+            out.append((tuple(int(lengths[j]) for j, u in reversed(key) for _ in range(u)), times))
+        out += _remainder(lengths, counts, capacity)
     return out
 
 
@@ -251,7 +320,7 @@ def _layout(done: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int,
     return {n: np.array(r, dtype=np.int64) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, rounds: int = 600, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, rounds: int = 300, with_ids: bool = False, per_cell: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents with sequence_id and offset (gapless from 0 in each sequence).
 
     Null and empty texts are documents of end_id alone. Null doc_ids and repeated rows are packed
@@ -262,12 +331,15 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
     spark = docs.sparkSession
     cut = stored(pieces(docs, capacity, end_id, tokenizer, with_ids, id_col, text_col), "pieces")
     # a rank within (length, cell) and the cells' offsets: no length has to fit one task
-    cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64)).cast("int")
+    cells = F.lit(64)
+    for n, k in (tuple(r) for r in cut.groupBy("length").agg(F.count("*").alias("n")).filter(F.col("n") > 64 * per_cell).collect()):
+        cells = F.when(F.col("length") == n, F.lit(-(-k // per_cell))).otherwise(cells)
+    cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), cells).cast("int")
     order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
     cut = cut.withColumn("cell", cell)
     ranked = cut.withColumn("place", F.row_number().over(order) - 1)
     cells = cut.groupBy("length", "cell").agg(F.count("*").alias("n"))
-    known = [tuple(r) for r in cells.collect()]  # at most capacity * 64 rows
+    known = [tuple(r) for r in cells.collect()]  # at most capacity * 64 rows, and one for each `per_cell` pieces
     histogram: dict[int, int] = {}
     first: dict[tuple[int, int], int] = {}
     for n, c, k in sorted(known):
