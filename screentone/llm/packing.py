@@ -218,17 +218,17 @@ def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rou
     return Solution({k: x / mean for k, x in times.items()}, cover / mean, bound)
 
 
-def rounded(found: Solution, counts: np.ndarray, spare: float = 0.04) -> tuple[dict[tuple[tuple[int, int], ...], int], np.ndarray]:
+def rounded(found: Solution, lengths: np.ndarray, counts: np.ndarray, capacity: int, spare: float = 0.04) -> tuple[dict[tuple[tuple[int, int], ...], int], np.ndarray]:
     """Whole times of each pattern, and the pieces of each length that are left.
 
     About `spare` of each length (more where lengths have few pieces) is held back, so that what is left has a mixture
-    of lengths that best fit packs well. First every pattern runs the whole part of its times; then one by one, largest
-    remaining part first, while all its pieces last.
+    of lengths that best fit packs well. First every pattern runs the whole part of its times; then those that fill a sequence one by one, largest
+    remaining part first, while all their pieces last.
     """
     spare = min(0.5, spare + 0.3 * len(counts) / max(int(counts.sum()), 1))
     left = counts - np.floor(spare * counts + np.random.default_rng(1).random(len(counts))).astype(np.int64)
     held = counts - left
-    left = left.tolist()
+    left, size = left.tolist(), lengths.tolist()
     out: dict[tuple[tuple[int, int], ...], int] = {}
     items = [(k, x * (1 - spare)) for k, x in found.times.items()]
     for key, x in items:
@@ -238,7 +238,7 @@ def rounded(found: Solution, counts: np.ndarray, spare: float = 0.04) -> tuple[d
             for j, u in key:
                 left[j] -= u * times
     for key, _ in sorted(items, key=lambda kx: (int(kx[1]) - kx[1], kx[0])):
-        if all(left[j] >= u for j, u in key):
+        if all(left[j] >= u for j, u in key) and sum(size[j] * u for j, u in key) == capacity:
             out[key] = out.get(key, 0) + 1
             for j, u in key:
                 left[j] -= u
@@ -293,10 +293,13 @@ def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 300, rat
     lengths = np.array(sorted(rest), dtype=np.int64)
     if len(lengths):
         counts = np.array([rest[int(n)] for n in lengths], dtype=np.int64)
-        whole, counts = rounded(configuration_lp(lengths, counts, capacity, rounds, rate), counts)
-        for key, times in whole.items():
-            out.append((tuple(int(lengths[j]) for j, u in reversed(key) for _ in range(u)), times))
-        out += _remainder(lengths, counts, capacity)
+        found = configuration_lp(lengths, counts, capacity, rounds, rate)
+        tried = []
+        for spare in (0.04, 0.12, 0.36):  # the more is held back, the better the rest packs; the fewest sequences win
+            whole, left = rounded(found, lengths, counts, capacity, spare)
+            some = [(tuple(int(lengths[j]) for j, u in reversed(key) for _ in range(u)), times) for key, times in whole.items()]
+            tried.append(some + _remainder(lengths, left, capacity))
+        out += min(tried, key=lambda x: sum(times for _, times in x))
     return out
 
 

@@ -10,7 +10,7 @@ from screentone.llm import packing
 
 def solved(counts, lengths, **how):
     found = packing.configuration_lp(lengths, counts, 1024, **how)
-    whole, left = packing.rounded(found, counts)
+    whole, left = packing.rounded(found, lengths, counts, 1024)
     return found, whole, 1 - float((left * lengths).sum() / (counts * lengths).sum())
 
 
