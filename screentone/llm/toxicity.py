@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 One pass over all labelled training texts counts, for each hashed n-gram, the documents of either
-class that hold it; the log ratio of the smoothed shares scales the binary features. The linear
+class that hold it; the log ratio of the smoothed shares, drawn towards zero by its uncertainty, scales the binary
+features. So every n-gram whose ratio the counts support takes part, however many they are. The linear
 classifier is fitted on a bounded sample of the same rows.
 """
 
@@ -47,7 +48,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
     """(h, n0, n1): for each hashed n-gram the documents of either class that hold it, over all rows.
 
     Tasks add up their own rows and send one row per hash they met; the table has at most 2^BITS + 1
-    rows. The row h = 2^BITS counts the documents themselves.
+    rows, whatever the corpus. The row h = 2^BITS counts the documents themselves.
     """
 
     def run(batches):
@@ -66,48 +67,62 @@ def class_counts(rows: DataFrame) -> DataFrame:
     return stored(counted, "class-counts")
 
 
-def fit(x: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 250, penalty: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on x * ratio, moved half way (in log odds) from the sample's balance to the prior."""
-    z = x.astype(np.float32)
-    z *= ratio
-    w, b = np.zeros(z.shape[1], np.float32), 0.0
+def sure_ratios(n0: np.ndarray, n1: np.ndarray, docs0: int, docs1: int, errors: float = 2.0, least: int = 4) -> np.ndarray:
+    """Naive Bayes log-count ratios, each nearer to zero by `errors` of its standard errors; zero if that
+    crosses it or if fewer than `least` documents hold the n-gram."""
+    ratio = np.log((n1 + 1) / (docs1 + 2)) - np.log((n0 + 1) / (docs0 + 2))
+    sure = np.abs(ratio) - errors * np.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))
+    return np.where((sure > 0) & (n0 + n1 >= least), np.sign(ratio) * sure, 0.0).astype(np.float32)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, penalty: float = 3e-4, chunk: int = 1 << 21) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary rows (places of their ones) times ratio; the bias is moved half way
+    (in log odds) from the sample's balance to the prior. Rows are taken about `chunk` ones at a time."""
+    size = np.array([len(x) for x in rows])
+    upto = np.append(0, np.cumsum(size))
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + chunk, chunk))).clip(0, len(rows))
+    parts = [(lo, hi, np.concatenate(rows[lo:hi]), np.repeat(np.arange(hi - lo), size[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    w, b = np.zeros(len(ratio)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30)))
-        g = (p - y) / len(y)
-        gw, gb = z.T @ g + penalty * w, float(g.sum())
+        scaled, gw, gb = w * ratio, penalty * w, 0.0
+        for lo, hi, at, row in parts:
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=scaled[at], minlength=hi - lo) + b, -30, 30)))
+            g = (p - y[lo:hi]) / len(y)
+            gw += np.bincount(at, weights=g[row], minlength=len(w)) * ratio
+            gb += float(g.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
-        w = (w - 0.03 * (m / a) / (np.sqrt(v / c) + 1e-8)).astype(np.float32)
-        b -= 0.03 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
+        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-8)
+        b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-8)
     share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
     return w * ratio, b + 0.5 * (np.log(prior) - np.log(share / (1 - share)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int = 3072, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, errors: float = 2.0, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Count over all training rows, then fit on about `sample` of them (half of each class, by hash).
 
-    The `features` n-grams with the largest summed log ratio among those that at least `least`
-    documents hold take part. Without rows of both classes the model scores the prior.
+    Every n-gram with a ratio (see sure_ratios) takes part; at most 2^BITS of them reach the driver.
+    Without rows of both classes the model scores the prior.
     """
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    counts = class_counts(rows)
-    total = counts.filter(F.col("h") == 1 << BITS).first()
-    docs0, docs1 = (total["n0"], total["n1"]) if total else (0, 0)
+    got = class_counts(rows).toArrow()
+    n = np.zeros((2, (1 << BITS) + 1), dtype=np.int64)
+    for k in (0, 1):
+        n[k, got.column("h").to_numpy()] = got.column(f"n{k}").to_numpy()
+    docs0, docs1 = int(n[0, -1]), int(n[1, -1])
     if not docs0 or not docs1:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -4.0 if not docs1 else 4.0)
-    ratio = F.log((F.col("n1") + 1) / F.lit(docs1 + 2.0)) - F.log((F.col("n0") + 1) / F.lit(docs0 + 2.0))
-    gain = F.when(F.col("r") > 0, F.col("n1").cast("double")).otherwise(F.col("n0") * F.lit(docs1 / docs0)) * F.abs("r")
-    best = counts.filter((F.col("h") < 1 << BITS) & (F.col("n0") + F.col("n1") >= least)).withColumn("r", ratio).withColumn("gain", gain)
-    best = sorted((r["h"], r["r"]) for r in best.filter("gain > 0").orderBy(F.desc("gain"), "h").limit(features).collect())
-    kept, ratio = np.array([h for h, _ in best], dtype=np.int64), np.array([r for _, r in best], dtype=np.float32)
+    ratio = sure_ratios(n[0, :-1], n[1, :-1], docs0, docs1, errors, least)
+    kept = np.flatnonzero(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
     chance = F.when(F.col("y") == 1, F.lit(min(1.0, sample / 2 / docs1))).otherwise(F.lit(min(1.0, sample / 2 / docs0)))
     drawn = rows.filter(F.shiftrightunsigned(F.xxhash64("i", F.lit(5)), 11) / F.lit(float(1 << 53)) < chance)
 
     def run(batches):
         distinct = Distinct(BITS)
         place = np.full(1 << BITS, -1, dtype=np.int32)
-        place[kept] = np.arange(len(kept), dtype=np.int32)
+        place[shared.value] = np.arange(len(shared.value), dtype=np.int32)
         for b in batches:
             x = []
             for t in b.column("text").to_pylist():
@@ -117,12 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int
 
     got = drawn.select(F.col("i").cast("string").alias("i"), "text", "y").mapInArrow(run, "i string, y int, x binary").collect()
     got = sorted((r["i"], r["y"], bytes(r["x"])) for r in got)
-    x = np.zeros((len(got), len(kept)), dtype=np.uint8)
-    for k, (_, _, p) in enumerate(got):
-        x[k, np.frombuffer(p, dtype=np.int32)] = 1
-    y = np.array([g[1] for g in got], dtype=np.float32)
-    w, b = fit(x, y, ratio, docs1 / docs0)
-    return Model(kept, w, b)
+    if not got:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(docs1 / docs0)))
+    w, b = fit([np.frombuffer(x, dtype=np.int32) for *_, x in got], np.array([y for _, y, _ in got], dtype=np.float64), ratio[kept].astype(np.float64), docs1 / docs0)
+    return Model(kept, w.astype(np.float32), b)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
