@@ -26,6 +26,8 @@ KINDS = ["assign", "access", "hex", "key", "ident", "endpoint"]
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "ident": "id", "endpoint": "endpoint"}
 #: A weak part needs one of these roles within its scope.
 NEEDS = {"key": ["id", "endpoint"], "ident": ["secret"], "endpoint": ["secret"]}
+#: Rows of parts() with a weak part and any other.
+NEEDY = "size(weak) > 0 AND size(weak) + size(base) > 1"
 
 
 def _spans(text: str, kind: str, pattern: str, keep: str = "true") -> Column:
@@ -85,7 +87,7 @@ def link_parts(found: DataFrame, scope: int = 256) -> DataFrame:
     """
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("p.k") + 1)
     role = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, ROLE[k])]), kind)
-    some = found.filter("size(weak) > 0 AND size(weak) + size(base) > 1").select("row_key", "base", "weak").dropDuplicates(["row_key"])
+    some = found.filter(NEEDY).select("row_key", "base", "weak").dropDuplicates(["row_key"])
     every = some.select("row_key", F.explode(F.concat("base", "weak")).alias("p")).select("row_key", "p.s", "p.k", "p.e", role.alias("role"))
     around = F.explode(F.sequence(F.expr(f"s div {scope}"), F.expr(f"(e - 1) div {scope}"))).alias("cell")
     right = every.select(F.col("row_key").alias("rk"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("role").alias("rr"), (F.col("k") <= KINDS.index("hex")).alias("rb"), around)
@@ -111,12 +113,15 @@ def secret_spans(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text
 
     Spans are struct<s, k, e>: start and exclusive end in code points, k the kind's place in KINDS,
     sorted by start, then kind. Null and empty texts have none. A null doc_id stays null. Rows with
-    one doc_id and different texts keep their own spans; repeated rows get equal results. An empty
+    one doc_id and different texts keep their own spans; repeated rows get equal results. Very long texts are
+    searched whole; the work in a row grows with the square of its matches. An empty
     table gives an empty result; other columns are ignored.
     """
     found = stored(parts(docs, id_col, text_col), "secret-parts")
-    both = found.join(link_parts(found, scope), "row_key", "left")
-    return both.select("doc_id", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("spans"))
+    # only rows with parts that need others take part in a join
+    alone = found.filter(f"NOT ({NEEDY})").select("doc_id", "base", F.col("base").alias("spans"))
+    both = found.filter(NEEDY).join(link_parts(found, scope), "row_key", "left")
+    return alone.unionByName(both.select("doc_id", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("spans")))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -129,26 +134,31 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[SECRET]", id_col: st
     """docs with every reported span replaced by `mark`; all columns and rows stay.
 
     Overlapping spans become one mark. length_col, if present, is set to the new length of changed
-    rows. Rows without secrets, null texts among them, stay as they are.
+    rows. Rows without secrets, null texts among them, stay as they are; rows that share doc_id and text get equal
+    results, and columns of any name stay. Very long texts are searched whole. An empty table stays empty.
     """
-    found = stored(parts(docs, id_col, text_col).filter("row_key IS NOT NULL").dropDuplicates(["row_key"]), "secret-parts")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no given name can clash
+    d = docs.toDF(*names)
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    found = stored(parts(d, key, text).filter("row_key IS NOT NULL").dropDuplicates(["row_key"]), "secret-parts")
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
-    cuts = found.join(link_parts(found, scope), "row_key", "left").select(F.col("row_key").alias("__key"), spans.alias("__spans")).filter("size(__spans) > 0")
-    d = docs.withColumn("__text", F.col(text_col).cast("string")).withColumn("__key", row_key(id_col, text_col)).join(cuts.hint("merge"), "__key", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cuts = found.join(link_parts(found, scope), "row_key", "left").select("row_key", spans.alias("spans")).filter("size(spans) > 0")
+    d = d.withColumn("text", F.col(text).cast("string")).withColumn("row_key", row_key(key, text)).join(cuts.hint("merge"), "row_key", "left")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     cut = F.aggregate(
-        "__spans",
+        "spans",
         start,
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"),
+            F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])))).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.lit(2**31 - 1))),
+        lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1)))), mark),
     )
-    changed = F.col("__spans").isNotNull()
-    d = d.withColumn("__new", F.when(changed, cut).otherwise(F.col("__text")))
-    out = {c: F.col(c) for c in docs.columns}
-    out[text_col] = F.col("__new").alias(text_col)
+    changed = F.col("spans").isNotNull()
+    d = d.withColumn("new", F.when(changed, cut).otherwise(F.col("text")))
+    out = {c: F.col(c) for c in names}
+    out[text] = F.col("new").alias(text)
     if length_col in docs.columns:
-        out[length_col] = F.when(changed, F.length("__new")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType).alias(length_col)
-    return d.select(*out.values())
+        n = names[docs.columns.index(length_col)]
+        out[n] = F.when(changed, F.length("new")).otherwise(F.col(n)).cast(docs.schema[length_col].dataType).alias(n)
+    return d.select(*out.values()).toDF(*docs.columns)

@@ -1,8 +1,9 @@
 """Sharding by sampled splitters.
 
 Records are ordered by (hash of the text, doc_id), so equal texts lie together. A size-weighted key
-sample gives quantile boundaries; records are range-partitioned at them; ranges that hold far more
-than their share (a text with very many copies) are subdivided by doc_id hash. Exact byte sums of the ranges
+sample gives quantile boundaries; records are range-partitioned at them, and ranges that hold far more
+than their share are subdivided by boundaries from a sample of their own. Equal rows too can be told apart, so a
+range of copies is no single task's work. Exact byte sums of the ranges
 place every record on one line from 0 to the total size, and shard s takes the s-th of equal lengths.
 """
 
@@ -46,25 +47,44 @@ def splitters(keys: DataFrame, ranges: int, per_range: int = 32) -> np.ndarray:
 
 def _deal(bounds: np.ndarray):
     """Adds `part`, the range of (h, sub): the number of boundaries at or below it."""
-    pair = np.dtype([("h", "<i8"), ("sub", "<i8")])
-    cut = np.ascontiguousarray(bounds).view(pair).ravel() if len(bounds) else np.zeros(0, dtype=pair)
+    first, sub = (np.ascontiguousarray(bounds[:, k]) for k in (0, 1))
 
     def run(batches):
         for b in batches:
-            v = np.empty(b.num_rows, dtype=pair)
-            v["h"] = b.column("h").to_numpy(zero_copy_only=False)
-            v["sub"] = b.column("sub").to_numpy(zero_copy_only=False)
-            # structured search: by h first, then by sub where h is equal
-            lo = np.searchsorted(cut["h"], v["h"], side="left")
-            hi = np.searchsorted(cut["h"], v["h"], side="right")
+            h, s = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "sub"))
+            # by h first, then by sub where h is a boundary's
+            lo = np.searchsorted(first, h, side="left")
+            hi = np.searchsorted(first, h, side="right")
             part = lo.astype(np.int64)
-            for i in np.nonzero(hi > lo)[0]:
-                part[i] = lo[i] + np.searchsorted(cut["sub"][lo[i] : hi[i]], v["sub"][i], side="right")
+            for k in np.unique(lo[hi > lo]):
+                at = np.flatnonzero((lo == k) & (hi > lo))
+                part[at] = k + np.searchsorted(sub[k : hi[at[0]]], s[at], side="right")
             yield pa.record_batch([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
 
     return run
 
 
+def dealt(keys: DataFrame, ranges: int, full: float = 2.0, rounds: int = 3) -> DataFrame:
+    """keys plus `part`, the range: sampled splitters, then more of them inside ranges of over `full` times
+    their share of bytes, until none is left that a boundary can cut or `rounds` are over."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", part long"
+    bounds = splitters(keys, ranges)
+    for _ in range(rounds):
+        rows = keys.mapInArrow(_deal(bounds), schema)
+        sizes = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # a row for each range
+        share = sum(r["bytes"] for r in sizes) / ranges
+        over = [r for r in sizes if r["bytes"] > full * share and r["n"] > 1]
+        if not over:
+            break
+        inside = rows.filter(F.col("part").isin([r["part"] for r in over]))
+        more = splitters(inside, int(2 * sum(r["bytes"] for r in over) / share) + 1)
+        grown = np.unique(np.concatenate([bounds, more]), axis=0)
+        if len(grown) == len(bounds):
+            break
+        bounds = grown
+    return keys.mapInArrow(_deal(bounds), schema)
+
+
 def shard(docs: DataFrame, shards: int = 40, fine: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
@@ -73,37 +93,39 @@ def shard(docs: DataFrame, shards: int = 40, fine: int = 64, id_col: str = "doc_
     whole, a larger one is cut only where a shard ends inside it. slot counts from
     0 in each shard, in order of (text hash, doc_id hash, doc_id). Ties (rows equal in all of these)
     are interchangeable. Null doc_id: sorted first in its group. An empty table gives an empty
-    result; other columns are ignored. Texts are read once and never shuffled.
+    result; other columns are ignored. Texts, however long, are read once and never shuffled.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind = docs.schema[id_col].dataType.simpleString()
+    # the low bits tell rows of one doc_id apart, so that any number of equal rows can be dealt out
+    tie = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 40)
     keys = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
-        F.xxhash64(F.col(id_col).cast("string")).alias("sub"),
+        F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(tie).alias("sub"),
     )
     keys = stored(keys, "shard-keys")
-    bounds = splitters(keys, shards * fine)
-    dealt = keys.mapInArrow(_deal(bounds), f"doc_id {kind}, size long, text_crc32 long, h long, sub long, part long")
     order = ["h", "sub", "doc_id", "size", "text_crc32"]
     inner = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("upto", F.sum("size").over(inner)).withColumn("rank", F.count("*").over(inner))
+    placed = dealt(keys, shards * fine).withColumn("upto", F.sum("size").over(inner)).withColumn("rank", F.count("*").over(inner))
     group = Window.partitionBy("part", "h")
     placed = placed.withColumns({"g_start": F.min(F.col("upto") - F.col("size")).over(group), "g_size": F.sum("size").over(group)})
     placed = stored(placed, "shard-places")
-    # at most shards * fine rows
-    parts = placed.groupBy("part").agg(F.max("upto").alias("bytes"), F.max("rank").alias("rows"))
+    # a row for each range, some shards * fine
+    parts = placed.groupBy("part").agg(F.max("upto").alias("bytes"), F.max("rank").alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("bytes").over(Window.partitionBy())
     offsets = parts.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("r0"), total.alias("total"))
+    # groups that a boundary cuts: the first or last of some range
+    edges = parts.select(F.explode(F.array("low", "high")).alias("h")).distinct()
+    cut = placed.join(F.broadcast(edges), "h", "left_semi").groupBy("part", "h").agg(F.first("g_start").alias("g_start"), F.first("g_size").alias("g_size"))
+    cut = cut.join(F.broadcast(offsets), "part").groupBy("h").agg(F.min(F.col("b0") + F.col("g_start")).alias("w_start"), F.sum("g_size").alias("w_size"), F.count("*").alias("n")).filter("n > 1")
+    one = placed.join(F.broadcast(offsets), "part").join(F.broadcast(cut), "h", "left")
     # a group of at most a fiftieth of a shard goes whole where its middle lies
-    small = F.col("g_size") * 50 * shards <= F.col("total")
-    middle = F.col("b0") + F.when(small, F.col("g_start") + F.col("g_size") / 2).otherwise(F.col("upto") - F.col("size") / 2)
-    one = placed.join(F.broadcast(offsets), "part").select(
-        "doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("total"))).cast("int").alias("shard"), (F.col("r0") + F.col("rank")).alias("at")
-    )
+    size, start = F.coalesce("w_size", "g_size"), F.coalesce(F.col("w_start"), F.col("b0") + F.col("g_start"))
+    middle = F.when(size * 50 * shards <= F.col("total"), start + size / 2).otherwise(F.col("b0") + F.col("upto") - F.col("size") / 2)
+    one = one.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("total"))).cast("int").alias("shard"), (F.col("r0") + F.col("rank")).alias("at"))
     first = one.groupBy("shard").agg(F.min("at").alias("first"))
     return one.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
