@@ -335,7 +335,7 @@ def test_decontamination(spark, empty):
     b = spark.createDataFrame(items + [(77, ""), (78, None)], "item_id long, text string")
     got = decontamination.leaks(d, b).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(None, 0)}
-    kept = decontamination.leaks(d, b, keep=d.columns, group=11)
+    kept = decontamination.leaks(d, b, keep=d.columns, most=11)
     assert kept.columns == d.columns
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {i for i, _ in want} - {None}
     assert decontamination.leaks(empty, b).count() == 0
