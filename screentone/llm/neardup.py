@@ -118,16 +118,15 @@ def common_shingles(texts: DataFrame, width: int, sample: int = 8000, most: int
     return s[order], n[order]
 
 
-def shingle_prefix(text: str | None, width: int, similarity: float, often: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of distinct shingles of a text, and the first of them, rarest first, that its prefix holds."""
-    s = np.unique(shingle_hashes(text, width))
+def rarest_first(s: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the distinct shingles s of a text, rarest first, that its prefix holds."""
     if not len(s):
-        return 0, s
+        return s
     most = len(s) - ceil(similarity * len(s) - 1e-9) + 1
     if len(often):
         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
         s = s[np.lexsort((s, np.where(often[at] == s, counts[at], 0)))]
-    return len(s), s[:most]
+    return s[:most]
 
 
 def prefix_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -148,19 +147,52 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataF
     return both.select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(h, s): the sorted distinct shingle hashes, packed, of each wanted distinct text; hashed once, however many pairs it is in."""
+def parity_bits(s: np.ndarray) -> bytes:
+    """For each place, the parity of how many of the distinct hashes fall there; two to four places for each hash."""
+    n = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound on how many hashes are in one of two sets only: differing places, after folding to one length."""
+    a, b = (np.frombuffer(v, dtype=np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def not_too_different(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that their parities leave: an exact filter, as alike sets differ in few hashes."""
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("na", "pa", "nb", "pb")]
+            keep = [differing(x, y) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6 for n, x, m, y in zip(*cols)]
+            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (texts.select(F.col("h").alias(k), F.col("size").alias(f"n{k}"), F.col("parity").alias(f"p{k}")).hint("merge") for k in "ab")
+    full = pairs.join(left, "a").join(right, "b")
+    return full.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, pairs: DataFrame, width: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """(h, s): the sorted distinct shingle hashes, packed, of each text of the pairs; hashed once, however many pairs it
+    is in. Up to `broadcast_rows` texts, counted first, are picked where they are read; beyond, by a merge join."""
 
     def run(batches):
         for b in batches:
             packed = [np.unique(shingle_hashes(t, width)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("h"), pa.array(packed, pa.binary())], names=["h", "s"])
 
-    held = texts.select("h", "text").join(wanted.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"])
-    return held.select("h", "text").mapInArrow(run, "h long, s binary")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidates")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted.hint("merge")
+    held = texts.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    return stored(held.select("h", "text").mapInArrow(run, "h long, s binary"), "candidate-sets")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar(pairs: DataFrame, every: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have at least the given Jaccard similarity, on whole texts."""
 
     def run(batches):
@@ -172,6 +204,8 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(held) + len(other) - both) - 1e-9)
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = stored(not_too_different(pairs, texts, similarity), "pairs")
+    sets = shingle_sets(every, pairs, width)
     # merge joins at any size: what is compared grows with the corpus, so no plan counts on broadcasts
     left, right = (sets.select(F.col("h").alias(k), F.col("s").alias(f"s{k}")).hint("merge") for k in "ab")
     full = pairs.join(left, "a").join(right, "b")
@@ -195,26 +229,24 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, count: int
             texts = b.column("text").to_pylist()
             fps = [word_fingerprints(t, count) for t in texts]
             fps = np.array(fps, dtype=np.uint64).reshape(-1, count).view(np.int64)
-            first = [shingle_prefix(t, width, similarity, *often.value) for t in texts]
-            size, prefix = pa.array([n for n, _ in first], pa.int32()), pa.array([p.view(np.int64) for _, p in first], longs)
-            yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(list(fps), longs), size, prefix], names=["doc_id", "h", "fps", "size", "prefix"])
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+            size, parity = pa.array([len(s) for s in sets], pa.int32()), pa.array([parity_bits(s) for s in sets], pa.binary())
+            prefix = pa.array([rarest_first(s, similarity, *often.value).view(np.int64) for s in sets], longs)
+            yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(list(fps), longs), size, parity, prefix], names=["doc_id", "h", "fps", "size", "parity", "prefix"])
 
-    rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>, size int, prefix array<long>"), "word-fingerprints")
-    texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first(F.struct("fps", "size", "prefix")).alias("x")).select("h", "copies", "x.*"), "texts")
+    rows = stored(every.mapInArrow(run, f"doc_id {kind}, h long, fps array<long>, size int, parity binary, prefix array<long>"), "word-fingerprints")
+    texts = stored(rows.groupBy("h").agg(F.count("*").alias("copies"), F.first(F.struct("fps", "size", "parity", "prefix")).alias("x")).select("h", "copies", "x.*"), "texts")
     met = stored(bucket_rows(texts, count, radius), "buckets")
-    held = stored(shingle_sets(every, met, width), "candidate-sets")
+    alike = lambda pairs: similar(pairs, every, texts, width, similarity)
     # the leaders met most often first: most texts of a large group find it through one of them
     led = stored(bucket_leaders(met), "leaders")
-    links = stored(similar(as_pairs(frequent_leaders(met, led, 2)), held, similarity), "links")
+    links = stored(alike(as_pairs(frequent_leaders(met, led, 2))), "links")
     roots = stored(connected_components(links), "first-groups")
     rest = other_leaders(met, led, roots)
-    more = similar(remaining_pairs(met, roots, bucket).unionByName(rest).distinct(), held, similarity)
-    links = stored(links.unionByName(more), "links")
+    links = stored(links.unionByName(alike(remaining_pairs(met, roots, bucket).unionByName(rest).distinct())), "links")
     roots = connected_components(links)
     # then everything else that can be alike
-    pairs = stored(prefix_pairs(texts, roots, similarity), "prefix-pairs")
-    held = stored(shingle_sets(every, pairs.select(F.explode(F.array("a", "b")).alias("h")), width), "candidate-sets")
-    roots = connected_components(links.unionByName(similar(pairs, held, similarity)))
+    roots = connected_components(links.unionByName(alike(prefix_pairs(texts, roots, similarity))))
     return rows.select("doc_id", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 
