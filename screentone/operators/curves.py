@@ -232,8 +232,8 @@ def node_types(points: DataFrame) -> DataFrame:
 def curve_geometry(pixels: DataFrame, images: DataFrame, path: DataFrame, cells: float, out_w: float, out_h: float, rotation: str = "0e0", samples: int = 64, threshold: str = "0e0", min_mark: str = "0e0", max_mark: str = "100e0", tolerance: float = 0.15) -> DataFrame:
     """Outlines of full-width curves over images, end to end: poly_id, part, ord, op, c1x .. y.
 
-    pixels are tone-bearing RGBA rows of images (image_id, src_w, src_h); path holds the segments of one
-    path. Sample by arc length, fit, repeat, take the width from the darkness under each point, split
+    pixels are tone-bearing RGBA rows of images (image_id, path_id, src_w, src_h); path holds the segments of
+    paths, and each image gets the one it names; a path whose ends meet has no baseline and gives nothing. Sample by arc length, fit, repeat, take the width from the darkness under each point, split
     into active runs, clip, simplify, outline. poly_id names image, copy, run and clipped run.
     """
     from screentone.operators import grid
@@ -243,10 +243,12 @@ def curve_geometry(pixels: DataFrame, images: DataFrame, path: DataFrame, cells:
     cw, ch = out_w / cols, out_h / rows
     base = flatten(path, STEPS).withColumn("seq", F.row_number().over(Window.partitionBy("path_id").orderBy("seg", "k")).cast("long")).withColumnRenamed("path_id", "poly_id")
     base = resample(base.select("poly_id", "seq", "x", "y"), samples).withColumnRenamed("k", "seq")
+    ends = base.groupBy("poly_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("s"), F.max_by(F.struct("x", "y"), "seq").alias("e")).filter("hypot(e.x - s.x, e.y - s.y) > 1e-6")
+    base = base.join(ends.select("poly_id"), "poly_id", "left_semi")
     fitted = fit_baseline(base, f"{out_w!r}", f"{out_h!r}", rotation, "0e0", "0e0")
     copies = repeat_curves(fitted.select("poly_id", "seq", "x", "y"), out_w, out_h, max(1.0, min(cw, ch)), rotation)
     tones = grid.resample(pixels, images.withColumns({"cols": F.lit(cols), "rows": F.lit(rows)})).select("image_id", "col", "row", F.expr(X.darkness()).alias("value"))
-    p = copies.crossJoin(F.broadcast(images.select("image_id").distinct())).withColumn("point_id", F.struct("poly_id", "copy", "seq"))
+    p = copies.join(images.select("image_id", F.col("path_id").alias("poly_id")).distinct(), "poly_id").withColumn("point_id", F.struct("poly_id", "copy", "seq"))
     at = p.select("image_id", "point_id", F.lit(cols).alias("cols"), F.lit(rows).alias("rows"), F.expr(f"x / {cw!r}").alias("u"), F.expr(f"y / {ch!r}").alias("v"))
     wide = curve_width(grid.sample_bicubic(at, tones), threshold, f"{min(cw, ch)!r}", min_mark, max_mark, "100e0", "1e0")
     p = p.join(wide.select("image_id", "point_id", "width"), ["image_id", "point_id"])

@@ -79,7 +79,7 @@ _CHAIN = ["poly_id", "CAST(2 + poly_id % 3 AS INT) AS tiles", "CAST(1 + poly_id
 
 
 def f9_chain_motif(spark, sf):
-    p = fx.poly_points(spark, sf).filter("seq <= 6")
+    p = fx.poly_points(spark, sf)
     c = curves.chain_motif(p, p.select("poly_id").distinct().selectExpr(*_CHAIN))
     return c.select("poly_id", "stack", "tile", "seq", *[F.expr(R(v, 4)).alias(v) for v in "xy"])
 
@@ -90,15 +90,18 @@ def f20_node_types(spark, sf):
 
 def f21_curve_geometry(spark, sf):
     """Every stage in turn; counts by outline are stable, coordinates are tested stage by stage."""
-    path = curves.path_segments(fx.path_strings(spark, sf).groupBy().agg(F.min_by("path_id", "path_id").alias("path_id"), F.min_by("d", "path_id").alias("d")))
-    images = fx.images(spark, sf).selectExpr("image_id", "8 AS src_w", "8 AS src_h")
-    p = fx.pixels(spark, sf).join(F.broadcast(images.select("image_id")), "image_id", "left_semi")
+    paths = fx.path_strings(spark, sf)
+    # every image has a path of its own, by its number; every third path is open
+    last = paths.agg(F.max("path_id")).first()[0]
+    images = fx.images(spark, sf).selectExpr("image_id", f"3 * (pmod(image_id, {last // 3}) + 1) AS path_id", "8 AS src_w", "8 AS src_h")
+    path = curves.path_segments(paths.join(images.select("path_id").distinct(), "path_id", "left_semi"))
+    p = fx.pixels(spark, sf).join(images.select("image_id"), "image_id", "left_semi")
     return curves.curve_geometry(p, images, path, 8.0, 120.0, 80.0, samples=32)
 
 
 def f10_curve_width(spark, sf):
-    t = sq._tones(spark, sf).filter("channel = 'k'")
-    return _r(curves.curve_width(t, "1e-1", "5e0", "10e0", "120e0", "90e0", "11e-1"), ["image_id", "x", "y"], ["width"])
+    t = sq._tones(spark, sf)
+    return _r(curves.curve_width(t, "1e-1", "5e0", "10e0", "120e0", "90e0", "11e-1"), ["image_id", "x", "y", "channel"], ["width"])
 
 
 def f11_split_active(spark, sf):
@@ -201,7 +204,7 @@ def g3_composite_background(spark, sf):
 
 
 def _coverage(spark, sf):
-    m = marks.native_marks(fx.pixels(spark, sf), sq._dims(spark, sf)).filter("image_id % 3 = 0")
+    m = marks.native_marks(fx.pixels(spark, sf), sq._dims(spark, sf))
     return raster.rasterize(m, 8, 8, 1)
 
 
@@ -254,7 +257,7 @@ _se = "greatest(0e0, " + ", ".join(f"abs((tile_x * ({h} - center_y) - tile_y * (
 _ts, _ss = L("tile_x", "tile_y"), L("stack_x", "stack_y")
 _deg = f"{_ts} < 1e0 OR {_ss} < 1e0 OR abs({_det}) <= {_ts} * {_ss} * 1e-6"
 COVER = sq.NATIVE | {
-    "bx": "SELECT * FROM nm WHERE image_id % 3 = 0",
+    "bx": "SELECT * FROM nm",
     "cv": "SELECT image_id, channel, col, \"row\", px, py, 1e0 AS coverage FROM bx, (SELECT CAST(unnest(range(8)) AS INT) AS px), (SELECT CAST(unnest(range(8)) AS INT) AS py) WHERE (px + 5e-1 - x) * (px + 5e-1 - x) + (py + 5e-1 - y) * (py + 5e-1 - y) <= extent * extent",
 }
 
@@ -297,7 +300,7 @@ SQL = {
         "SELECT g.poly_id, stack, tile, CAST(tile * n + CASE WHEN back THEN n + 1 - seq ELSE seq END AS BIGINT) AS seq, "
         + ", ".join(R(f"o{v} + f{v} * p.{v} - f{v} * (CASE WHEN back THEN e{v} ELSE s{v} END)", 4) + f" AS {v}" for v in "xy")
         + " FROM g JOIN pp p ON p.poly_id = g.poly_id WHERE tile = 0 OR (CASE WHEN back THEN n + 1 - seq ELSE seq END) > 1",
-        pp="SELECT * FROM poly_points WHERE seq <= 6",
+        pp="SELECT * FROM poly_points",
         en="SELECT poly_id, arg_min(x, seq) AS sx, arg_min(y, seq) AS sy, arg_max(x, seq) AS ex, arg_max(y, seq) AS ey, count(*) AS n FROM pp GROUP BY 1",
         cf=f"SELECT {', '.join(_CHAIN)} FROM (SELECT DISTINCT poly_id FROM pp)",
         ti=f"SELECT *, ex - sx AS ax, ey - sy AS ay, {L('ex - sx', 'ey - sy')} AS al FROM cf JOIN en USING (poly_id), (SELECT CAST(unnest(range(5)) AS INT) AS stack), (SELECT CAST(unnest(range(5)) AS INT) AS tile) WHERE stack < stacks AND tile < tiles",
@@ -317,7 +320,7 @@ SQL = {
         q="SELECT poly_id, count(*) AS n, arg_min(width, seq) <= 1e-3 AS s0, arg_max(width, seq) <= 1e-3 AS e0 FROM poly_points GROUP BY 1",
     ),
     "f10_curve_width": fx.with_sql(
-        "pixels", f"SELECT image_id, x, y, {R('CASE WHEN v <= 0 THEN 0e0 ELSE 5e0 * (1e-1 + (12e-1 * 90e0 / 100e0 - 1e-1) * v) * 11e-1 END')} AS width FROM q", **sq.TONES, q=f"SELECT image_id, x, y, {X.threshold('value', '1e-1')} AS v FROM tones WHERE channel = 'k'"
+        "pixels", f"SELECT image_id, x, y, channel, {R('CASE WHEN v <= 0 THEN 0e0 ELSE 5e0 * (1e-1 + (12e-1 * 90e0 / 100e0 - 1e-1) * v) * 11e-1 END')} AS width FROM q", **sq.TONES, q=f"SELECT image_id, x, y, channel, {X.threshold('value', '1e-1')} AS v FROM tones"
     ),
     "f11_split_active": fx.with_sql(
         "poly_points",

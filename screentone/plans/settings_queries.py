@@ -53,8 +53,8 @@ def a10_extract_path_data(spark, sf):
 
 
 def a11_svg_texts(spark, sf):
-    m = marks.native_marks(fx.pixels(spark, sf), sq._dims(spark, sf)).filter("image_id % 3 = 0")
-    docs = fx.images(spark, sf).filter("image_id % 3 = 0").withColumn("title", F.expr("concat('a<b & \"', CAST(image_id AS STRING))"))
+    m = marks.native_marks(fx.pixels(spark, sf), sq._dims(spark, sf))
+    docs = fx.images(spark, sf).withColumn("title", F.expr("concat('a<b & \"', CAST(image_id AS STRING))"))
     return artwork.svg_texts(m, marks.layers(fx.channels(spark)), docs)
 
 
@@ -256,9 +256,9 @@ SQL = {
     "a10_extract_path_data": fx.with_sql("svg_texts", "SELECT text_id, regexp_replace(regexp_extract(content, '<path[^>]* d=\"([^\"]*)\"', 1), '\\s*[Zz]\\s*$', '') AS d FROM svg_texts"),
     "a11_svg_texts": fx.with_sql(
         "pixels images channels",
-        f"SELECT i.image_id, concat('<svg xmlns=\"http://www.w3.org/2000/svg\" viewBox=\"0 0 ', {_n('out_w')}, ' ', {_n('out_h')}, '\"><title>a&lt;b &amp; &quot;', CAST(i.image_id AS STRING), '</title>', coalesce(groups, ''), '</svg>') AS svg FROM images i LEFT JOIN gs ON i.image_id = gs.image_id WHERE i.image_id % 3 = 0",
+        f"SELECT i.image_id, concat('<svg xmlns=\"http://www.w3.org/2000/svg\" viewBox=\"0 0 ', {_n('out_w')}, ' ', {_n('out_h')}, '\"><title>a&lt;b &amp; &quot;', CAST(i.image_id AS STRING), '</title>', coalesce(groups, ''), '</svg>') AS svg FROM images i LEFT JOIN gs ON i.image_id = gs.image_id",
         **sq.NATIVE,
-        ly=f"SELECT image_id, channel, string_agg({_CIRCLE}, '' ORDER BY \"row\", col) AS body FROM nm WHERE image_id % 3 = 0 GROUP BY 1, 2",
+        ly=f"SELECT image_id, channel, string_agg({_CIRCLE}, '' ORDER BY \"row\", col) AS body FROM nm GROUP BY 1, 2",
         gs=f"SELECT image_id, string_agg(concat('<g id=\"', channel, '\" fill=\"', lower(color), '\" fill-opacity=\"', {_n('opacity')}, '\" style=\"mix-blend-mode:multiply\">', body, '</g>'), '' ORDER BY ord) AS groups FROM ly JOIN channels USING (channel) WHERE enabled GROUP BY 1",
     ),
     "a14_plan_export_jobs": fx.with_sql("channels", "SELECT o_orderkey AS document_id, channel AS job FROM orders, channels WHERE enabled AND o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'combined' FROM orders WHERE o_orderkey % 3 <> 0"),

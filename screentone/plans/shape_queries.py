@@ -171,7 +171,7 @@ def _points(df):
 def c12_sample_bicubic(spark, sf):
     p = fx.pixels(spark, sf)
     tones = p.select("image_id", F.col("x").alias("col"), F.col("y").alias("row"), F.expr(X.darkness()).alias("value"))
-    return _r(grid.sample_bicubic(_points(p.filter("(x + y) % 4 = 0")), tones), ["image_id", "point_id"], ["value"])
+    return _r(grid.sample_bicubic(_points(p), tones), ["image_id", "point_id"], ["value"])
 
 
 _wx, _wy = grid._catmull("tx"), grid._catmull("ty")
@@ -180,7 +180,7 @@ C12_SQL = fx.with_sql(
     f"SELECT p.image_id, p.point_id, {R('least(1e0, greatest(0e0, sum(p.wx[i.i + 1] * p.wy[j.j + 1] * t.value)))')} AS value FROM pw p, (SELECT unnest(range(4)) AS i) i, (SELECT unnest(range(4)) AS j) j, tones t "
     "WHERE t.image_id = p.image_id AND t.x = least(7, greatest(0, x0 + i.i - 1)) AND t.y = least(7, greatest(0, y0 + j.j - 1)) GROUP BY 1, 2",
     tones=f"SELECT image_id, x, y, {X.darkness()} AS value FROM pixels",
-    pts="SELECT image_id, x + 10 * y AS point_id, x * 11e-1 + 3e-1 AS u, y * 9e-1 + 7e-1 AS v FROM pixels WHERE (x + y) % 4 = 0",
+    pts="SELECT image_id, x + 10 * y AS point_id, x * 11e-1 + 3e-1 AS u, y * 9e-1 + 7e-1 AS v FROM pixels",
     p0="SELECT *, CAST(floor(u - 5e-1) AS INT) AS x0, CAST(floor(v - 5e-1) AS INT) AS y0 FROM pts",
     p1="SELECT *, u - 5e-1 - x0 AS tx, v - 5e-1 - y0 AS ty FROM p0",
     pw=f"SELECT *, [{', '.join(_wx)}] AS wx, [{', '.join(_wy)}] AS wy FROM p1",
@@ -275,7 +275,7 @@ def e4_unit_shapes(spark, sf):
 
 
 def _vertices(spark, sf):
-    m = marks.native_marks(fx.pixels(spark, sf), _dims(spark, sf)).filter("channel = 'k' AND image_id % 3 = 1").withColumn("sides", F.expr("CAST(3 + image_id % 4 AS INT)")).withColumn("thickness", F.col("extent"))
+    m = marks.native_marks(fx.pixels(spark, sf), _dims(spark, sf)).withColumn("sides", F.expr("CAST(3 + image_id % 4 AS INT)")).withColumn("thickness", F.col("extent"))
     return marks.mark_vertices(m, marks.unit_shapes(m.select("sides")))
 
 
@@ -339,7 +339,7 @@ _N = "least(6, greatest(3, sides))"
 _TURN = f"(-90e0 + CASE WHEN {_N} % 2 = 0 THEN 180e0 / {_N} ELSE 0e0 END + vertex * 360e0 / {_N})"
 SHAPES = {"us0": f"SELECT sides, CAST(unnest(range({_N})) AS INT) AS vertex FROM (SELECT DISTINCT sides FROM sd)", "us": f"SELECT *, 5e-1 * cos(radians({_TURN})) AS ux, 5e-1 * sin(radians({_TURN})) AS uy FROM us0"}
 VERTICES = NATIVE | {
-    "vm": "SELECT image_id, channel, col, \"row\", x, y, extent, extent AS thickness, angle, CAST(3 + image_id % 4 AS INT) AS sides FROM nm WHERE channel = 'k' AND image_id % 3 = 1",
+    "vm": "SELECT image_id, channel, col, \"row\", x, y, extent, extent AS thickness, angle, CAST(3 + image_id % 4 AS INT) AS sides FROM nm",
     "sd": "SELECT sides FROM vm",
 } | SHAPES | {
     "vx": "SELECT image_id, channel, col, \"row\", vertex, x + (ux * extent) * cos(radians(angle)) - (uy * thickness) * sin(radians(angle)) AS px, y + (ux * extent) * sin(radians(angle)) + (uy * thickness) * cos(radians(angle)) AS py FROM vm JOIN us USING (sides)",
