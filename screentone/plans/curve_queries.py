@@ -96,7 +96,7 @@ def f21_curve_geometry(spark, sf):
     images = fx.images(spark, sf).selectExpr("image_id", f"3 * (pmod(image_id, {last // 3}) + 1) AS path_id", "8 AS src_w", "8 AS src_h")
     path = curves.path_segments(paths.join(images.select("path_id").distinct(), "path_id", "left_semi"))
     p = fx.pixels(spark, sf).join(images.select("image_id"), "image_id", "left_semi")
-    return curves.curve_geometry(p, images, path, 8.0, 120.0, 80.0, samples=32)
+    return curves.curve_geometry(p, images, path, 4.0, 120.0, 80.0, samples=16)
 
 
 def f10_curve_width(spark, sf):
