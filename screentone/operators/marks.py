@@ -59,7 +59,7 @@ def shape_marks(pixels: DataFrame, images: DataFrame, channels: DataFrame, min_m
 def layers(channels: DataFrame) -> DataFrame:
     """Colour, opacity and blend of each ink's layer; a colour that isn't #RRGGBB is black."""
     part = lambda i: F.expr(f"CASE WHEN color RLIKE '^#[0-9A-Fa-f]{{6}}$' THEN CAST(conv(substring(color, {i}, 2), 16, 10) AS INT) ELSE 0 END")
-    return channels.select("channel", "ord", "enabled", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"), "opacity", F.expr("CASE WHEN channel IN ('r', 'g', 'b') THEN 'screen' ELSE 'multiply' END").alias("blend"))
+    return channels.select("channel", "ord", "enabled", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"), "opacity", F.expr("CASE WHEN channel IN ('red', 'green', 'blue') THEN 'screen' ELSE 'multiply' END").alias("blend"))
 
 
 def unit_shapes(sides: DataFrame) -> DataFrame:
