@@ -64,11 +64,32 @@ def apply_threshold(df: DataFrame, threshold: str = "threshold") -> DataFrame:
     return df.withColumn("value", F.expr(X.threshold("value", threshold))).filter("value > 0")
 
 
+LIGHTS = ("red", "green", "blue")
+
+
 def active_channels(channels: DataFrame) -> DataFrame:
+    """Enabled rows of a table of inks; null counts as off."""
     return channels.filter("enabled")
 
 
+def uses_lights(output_mode: str = "output_mode", value_mode: str = "value_mode") -> str:
+    """Whether a document is put out in lights: crosshatch never, else by output mode or by mapping."""
+    return f"(coalesce({value_mode}, '') <> 'crosshatch' AND (coalesce({output_mode}, '') = 'rgb' OR coalesce({value_mode}, '') = 'rgb'))"
+
+
+def output_channels(documents: DataFrame, channels: DataFrame) -> DataFrame:
+    """The enabled inks or lights of each document, with the columns of both tables.
+
+    documents has output_mode and value_mode (null: inks), channels one row for each of the four inks
+    and three lights. The join goes by kind and leaves its strategy to the size of the table.
+    """
+    kind = F.col("channel").isin(*LIGHTS).alias("is_light")
+    on = active_channels(channels).select("*", kind)
+    return documents.withColumn("is_light", F.expr(uses_lights())).join(on, "is_light").drop("is_light")
+
+
 def premultiply(df: DataFrame) -> DataFrame:
+    """Adds pr, pg, pb: colours times the share of alpha."""
     return df.withColumns({f"p{i}": F.expr(f"{i} * a / 255e0") for i in "rgb"})
 
 

@@ -54,8 +54,8 @@ def path_segments(paths: DataFrame) -> DataFrame:
 
 
 def validate_paths(segments: DataFrame, least: int = 1, most: int = 64) -> DataFrame:
-    """path_id, n, ok: paths of least..most segments without infinite or missing coordinates."""
-    bad = " OR ".join(f"{c} IS NULL OR isnan({c})" for c in ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1"))
+    """path_id, n, ok: paths of least..most segments (open ones 1, closed ones 3 at least) without infinite or missing coordinates."""
+    bad = " OR ".join(f"{c} IS NULL OR isnan({c}) OR abs({c}) = double('infinity')" for c in ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1"))
     return segments.groupBy("path_id").agg(F.count("*").alias("n"), F.max(F.expr(bad)).alias("bad")).select("path_id", "n", F.expr(f"n BETWEEN {least} AND {most} AND NOT bad").alias("ok"))
 
 

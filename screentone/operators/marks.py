@@ -25,7 +25,7 @@ def native_marks(pixels: DataFrame, dims: DataFrame) -> DataFrame:
             "thickness": F.expr(f"CASE treatment WHEN 'lines' THEN spacing * 72e-2 * {cov} * greatest(value, 25e-3) ELSE 0e0 END"),
             "angle": F.expr(f"angle + {ANGLE}"),
         }
-    ).select("image_id", "channel", "col", "row", F.col("cx").alias("x"), F.col("cy").alias("y"), "extent", "thickness", "angle")
+    ).select("image_id", "channel", "col", "row", F.col("cx").alias("x"), F.col("cy").alias("y"), "extent", "thickness", "angle", "treatment")
 
 
 def native_rgb_marks(pixels: DataFrame, dims: DataFrame) -> DataFrame:
@@ -56,9 +56,21 @@ def shape_marks(pixels: DataFrame, images: DataFrame, channels: DataFrame, min_m
     )
 
 
-def layers(channels: DataFrame) -> DataFrame:
-    """Colour, opacity and blend of each ink's layer; a colour that isn't #RRGGBB is black."""
-    part = lambda i: F.expr(f"CASE WHEN color RLIKE '^#[0-9A-Fa-f]{{6}}$' THEN CAST(conv(substring(color, {i}, 2), 16, 10) AS INT) ELSE 0 END")
+#: Colours of inks and lights where none is given, and of crosshatch (fixed values).
+INK_COLOURS = {"c": "#00AEEF", "m": "#EC008C", "y": "#FFF200", "k": "#141418", "red": "#FF0000", "green": "#00FF00", "blue": "#0000FF"}
+CROSSHATCH_COLOUR = "#111111"
+
+
+def layers(channels: DataFrame, crosshatch: str | None = None) -> DataFrame:
+    """Colour, opacity and blend of each ink's layer; lights are blended by screen, inks by multiply.
+
+    A colour that isn't #RRGGBB (or null) gives the ink's own. With a crosshatch colour all layers have
+    that one, or near black if it isn't a colour.
+    """
+    usual = "CASE channel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INK_COLOURS.items()) + " ELSE '#000000' END"
+    shown, usual = ("color", usual) if crosshatch is None else ("'" + crosshatch.replace("'", "") + "'", f"'{CROSSHATCH_COLOUR}'")
+    hexed = f"CASE WHEN {shown} RLIKE '^#[0-9A-Fa-f]{{6}}$' THEN {shown} ELSE {usual} END"
+    part = lambda i: F.expr(f"CAST(conv(substring({hexed}, {i}, 2), 16, 10) AS INT)")
     return channels.select("channel", "ord", "enabled", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"), "opacity", F.expr("CASE WHEN channel IN ('red', 'green', 'blue') THEN 'screen' ELSE 'multiply' END").alias("blend"))
 
 
@@ -70,6 +82,31 @@ def unit_shapes(sides: DataFrame) -> DataFrame:
     return s.withColumns({"ux": F.expr(f"5e-1 * cos(radians({turn}))"), "uy": F.expr(f"5e-1 * sin(radians({turn}))")})
 
 
+#: Corners of the shapes that aren't regular polygons, and the circle as four cubics (fixed values).
+RECTANGLE = ((-0.45, -0.45), (0.45, -0.45), (0.45, 0.45), (-0.45, 0.45))
+TRIANGLE = ((0.0, -0.52), (0.5, 0.4), (-0.5, 0.4))
+CIRCLE_PULL = 0.276
+
+
+def named_shapes(shapes: DataFrame) -> DataFrame:
+    """(shape, vertex, ux, uy) of rectangle, triangle, pentagon and hexagon; other names give no rows."""
+    corners = lambda p: "array(" + ", ".join(f"struct({x!r}D AS ux, {y!r}D AS uy)" for x, y in p) + ")"
+    turn = lambda n: f"radians(-90e0 + {180 / n if n % 2 == 0 else 0.0!r}D + i * 360e0 / {n})"
+    ring = lambda n: f"transform(sequence(0, {n - 1}), i -> struct(5e-1 * cos({turn(n)}) AS ux, 5e-1 * sin({turn(n)}) AS uy))"
+    points = f"CASE shape WHEN 'rectangle' THEN {corners(RECTANGLE)} WHEN 'triangle' THEN {corners(TRIANGLE)} WHEN 'pentagon' THEN {ring(5)} WHEN 'hexagon' THEN {ring(6)} END"
+    return shapes.select("shape").distinct().select("shape", F.posexplode(F.expr(points)).alias("vertex", "p")).select("shape", "vertex", "p.ux", "p.uy")
+
+
+def circle_cubics(keys: DataFrame) -> DataFrame:
+    """Every row of keys with the four cubics of a circle of diameter 1: seg, x0, y0, c1x, c1y, c2x, c2y, x1, y1."""
+    x, y = "element_at(array(0e0, 5e-1, 0e0, -5e-1, 0e0), {})", "element_at(array(-5e-1, 0e0, 5e-1, 0e0, -5e-1), {})"
+    d = keys.withColumn("seg", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    d = d.withColumns({"x0": F.expr(x.format("seg")), "y0": F.expr(y.format("seg")), "x1": F.expr(x.format("seg + 1")), "y1": F.expr(y.format("seg + 1"))})
+    # a quarter leaves each end along its tangent, towards the other end's axis
+    pull = f"{CIRCLE_PULL / 0.5!r}D"
+    return d.withColumns({"c1x": F.expr(f"x0 + x1 * {pull}"), "c1y": F.expr(f"y0 + y1 * {pull}"), "c2x": F.expr(f"x1 + x0 * {pull}"), "c2y": F.expr(f"y1 + y0 * {pull}")})
+
+
 def mark_vertices(marks: DataFrame, shapes: DataFrame) -> DataFrame:
     """The corners of each mark: the unit shape scaled, turned and moved. Shapes are a broadcast of a few rows."""
     m = marks.join(F.broadcast(shapes), "sides")

@@ -75,7 +75,16 @@ def aspect_formulas(div: str) -> dict[str, str]:
 
 
 def normalize_canvas(docs: DataFrame) -> DataFrame:
-    """Canvas in the artwork's proportions and whether it changed; docs has out_w, out_h, src_w, src_h."""
+    """Canvas in the artwork's proportions and whether it changed; docs has out_w, out_h, src_w, src_h.
+
+    Saved variants (shape_w, shape_h, curve_w, curve_h, where docs has them) are brought to the proportions
+    too; null ones stay null and don't count as a change.
+    """
+    for v in ("shape", "curve"):
+        if f"{v}_w" in docs.columns:
+            given = docs.columns
+            d = aspect_lock(docs.withColumn("requested", F.greatest(f"{v}_w", f"{v}_h")))
+            docs = d.select(*[F.when(F.col("requested").isNotNull(), F.col(f"lock_{c[-1]}")).alias(c) if c in (f"{v}_w", f"{v}_h") else F.col(c) for c in given])
     d = aspect_lock(docs.withColumn("requested", F.greatest("out_w", "out_h")))
     return d.withColumn("changed", ~(F.col("lock_w").eqNullSafe(F.col("out_w")) & F.col("lock_h").eqNullSafe(F.col("out_h"))))
 
@@ -90,10 +99,11 @@ def to_crosshatch(shapes: DataFrame, key: str) -> DataFrame:
 def migrate_documents(docs: DataFrame, current: int = 5) -> DataFrame:
     """Documents of version 1..current brought to the current one, with flags for what was filled in.
 
-    Before 4 there is no appearance (white on white), before 5 no output mode (cmyk). Other versions
-    drop out; see rejected_documents.
+    Before 4 there is no appearance (white on white), before 5 no output mode (cmyk) and no cached other
+    mode (inactive_cmyk, inactive_rgb, where given, become null). Other versions are rejected_documents.
     """
     d = docs.filter(f"version BETWEEN 1 AND {current}")
+    d = d.withColumns({c: F.when(F.col("version") >= 5, F.col(c)) for c in ("inactive_cmyk", "inactive_rgb") if c in d.columns})
     return d.withColumns(
         {
             "surface": F.expr("CASE WHEN version < 4 THEN 'white' ELSE coalesce(surface, 'white') END"),
@@ -105,6 +115,11 @@ def migrate_documents(docs: DataFrame, current: int = 5) -> DataFrame:
     )
 
 
+def rejected_documents(docs: DataFrame, current: int = 5) -> DataFrame:
+    """Documents of no known version (null too), with a reason."""
+    return docs.filter(f"version IS NULL OR version NOT BETWEEN 1 AND {current}").withColumn("reason", F.concat(F.lit("unsupported version "), F.coalesce(F.col("version").cast("string"), F.lit("none"))))
+
+
 def resolve_output_mode(df: DataFrame) -> DataFrame:
     """The output mode a preset's value mode asks for (others keep the current one), and whether it switches."""
     d = df.withColumn("next_mode", F.expr("CASE value_mode WHEN 'cmyk' THEN 'cmyk' WHEN 'rgb' THEN 'rgb' ELSE current_mode END"))
@@ -132,6 +147,18 @@ def plan_output_size(df: DataFrame, most: int = 64_000_000) -> DataFrame:
     return d.withColumns({"inches_w": F.expr(X.rounded("fit_w / dpi")), "ok": F.expr(f"fit_w * fit_h <= {most}")})
 
 
+def check_output_size(df: DataFrame, most: int = 64_000_000) -> DataFrame:
+    """Adds problem: why an asked size (req_w, req_h) of artwork src_w x src_h is refused, null if it isn't."""
+    d = aspect_lock(df.withColumn("requested", F.greatest("req_w", "req_h")))
+    problem = f"CASE WHEN coalesce(req_w, 0) <= 0 OR coalesce(req_h, 0) <= 0 THEN 'not positive' WHEN req_w * req_h > {most} THEN 'too many pixels' WHEN req_w <> lock_w OR req_h <> lock_h THEN 'other proportions' END"
+    return d.withColumn("problem", F.expr(problem)).drop("requested", "lock_w", "lock_h")
+
+
+def pixels_of_inches(inches: str, dpi: str) -> str:
+    """Whole pixels, 1 at least, of a length in inches."""
+    return f"CAST(greatest(1e0, floor({inches} * {dpi} + 5e-1)) AS BIGINT)"
+
+
 def resolve_shapes(channels: DataFrame) -> DataFrame:
     """The mark shape in force: the shared one if sharing, else custom path, polygon nodes or the channel's name."""
     return channels.withColumn("shape", F.expr("CASE WHEN use_shared THEN shared_shape ELSE coalesce(custom_path, CASE WHEN nodes >= 3 THEN concat('polygon-', CAST(nodes AS STRING)) END, preset_shape, 'circle') END"))

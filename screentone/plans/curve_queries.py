@@ -258,7 +258,7 @@ _ts, _ss = L("tile_x", "tile_y"), L("stack_x", "stack_y")
 _deg = f"{_ts} < 1e0 OR {_ss} < 1e0 OR abs({_det}) <= {_ts} * {_ss} * 1e-6"
 COVER = sq.NATIVE | {
     "bx": "SELECT * FROM nm",
-    "cv": "SELECT image_id, channel, col, \"row\", px, py, 1e0 AS coverage FROM bx, (SELECT CAST(unnest(range(8)) AS INT) AS px), (SELECT CAST(unnest(range(8)) AS INT) AS py) WHERE (px + 5e-1 - x) * (px + 5e-1 - x) + (py + 5e-1 - y) * (py + 5e-1 - y) <= extent * extent",
+    "cv": "SELECT image_id, channel, col, \"row\", px, py, 1e0 AS coverage FROM bx, (SELECT CAST(unnest(range(8)) AS INT) AS px), (SELECT CAST(unnest(range(8)) AS INT) AS py) WHERE " + raster.covers("(px + 5e-1)", "(py + 5e-1)"),
 }
 
 SQL = {
@@ -394,7 +394,7 @@ SQL = {
         q=f"SELECT poly_id, x * coalesce(lead(y) {W}, first_value(y) {ALL}) - coalesce(lead(x) {W}, first_value(x) {ALL}) * y AS cr FROM poly_points",
     ),
     "b6_validate_paths": fx.with_sql("path_strings", f"SELECT path_id, count(*) AS n, count(*) BETWEEN 1 AND 4 AND NOT bool_or({' OR '.join(f'{c} IS NULL' for c in SEG)}) AS ok FROM seg GROUP BY 1", **SEGMENTS),
-    "g1_over": fx.with_sql("pixels", f"SELECT image_id, x, y, {_OV('f', 'b')} FROM q", q="SELECT p.image_id, p.x, p.y, p.r AS fr, p.g AS fg, p.b AS fb, p.a AS fa, q.r AS br, q.g AS bg, q.b AS bb, q.a AS ba FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND q.x = 7 - p.x AND p.y = q.y"),
+    "g1_over": f"WITH pixels AS MATERIALIZED ({fx.SQL['pixels']}), q AS MATERIALIZED (SELECT p.image_id, p.x, p.y, p.r AS fr, p.g AS fg, p.b AS fb, p.a AS fa, q.r AS br, q.g AS bg, q.b AS bb, q.a AS ba FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND q.x = 7 - p.x AND p.y = q.y) SELECT image_id, x, y, {_OV('f', 'b')} FROM q",
     "g2_composite_preview": fx.with_sql(
         "pixels images",
         f"SELECT image_id, x, y, {_OV('art_', 'two_')} FROM q2",

@@ -226,7 +226,6 @@ def j5_best_preview(spark, sf):
 
 
 _n = X.number_text
-_CIRCLE = f"concat('<circle cx=\"', {_n('x')}, '\" cy=\"', {_n('y')}, '\" r=\"', {_n('extent')}, '\"/>')"
 _UNIT = lambda u: "CASE " + u + " " + " ".join(f"WHEN '{k}' THEN {f}" for k, f in artwork.UNITS.items()) + " ELSE 1e0 END"
 
 
@@ -258,7 +257,7 @@ SQL = {
         "pixels images channels",
         f"SELECT i.image_id, concat('<svg xmlns=\"http://www.w3.org/2000/svg\" viewBox=\"0 0 ', {_n('out_w')}, ' ', {_n('out_h')}, '\"><title>a&lt;b &amp; &quot;', CAST(i.image_id AS STRING), '</title>', coalesce(groups, ''), '</svg>') AS svg FROM images i LEFT JOIN gs ON i.image_id = gs.image_id",
         **sq.NATIVE,
-        ly=f"SELECT image_id, channel, string_agg({_CIRCLE}, '' ORDER BY \"row\", col) AS body FROM nm GROUP BY 1, 2",
+        ly=f"SELECT image_id, channel, string_agg({artwork.mark_text()}, '' ORDER BY \"row\", col) AS body FROM nm GROUP BY 1, 2",
         gs=f"SELECT image_id, string_agg(concat('<g id=\"', channel, '\" fill=\"', lower(color), '\" fill-opacity=\"', {_n('opacity')}, '\" style=\"mix-blend-mode:multiply\">', body, '</g>'), '' ORDER BY ord) AS groups FROM ly JOIN channels USING (channel) WHERE enabled GROUP BY 1",
     ),
     "a14_plan_export_jobs": fx.with_sql("channels", "SELECT o_orderkey AS document_id, channel AS job FROM orders, channels WHERE enabled AND o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'combined' FROM orders WHERE o_orderkey % 3 <> 0"),

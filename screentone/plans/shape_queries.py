@@ -235,9 +235,14 @@ def d9_apply_threshold(spark, sf):
     return _r(colour.apply_threshold(t), ["image_id", "x", "y", "channel"], ["value"])
 
 
+_OUTPUTS = ["p_partkey AS preset_id", "CASE WHEN p_size % 2 = 0 THEN 'rgb' WHEN p_size % 3 = 0 THEN 'cmyk' END AS output_mode", "CASE p_partkey % 4 WHEN 0 THEN 'crosshatch' WHEN 1 THEN 'rgb' WHEN 2 THEN 'luminance' END AS value_mode"]
+_ALL_CHANNELS = "(VALUES ('c', 0, true, '#00AEEF'), ('m', 1, true, 'pink'), ('y', 2, false, '#fff200'), ('k', 3, true, NULL), ('red', 4, true, '#fe0102'), ('green', 5, false, '#00ff00'), ('blue', 6, true, '#12')) AS t(channel, ord, enabled, color)"
+
+
 def d10_active_channels(spark, sf):
-    t = _tones(spark, sf).join(F.broadcast(colour.active_channels(fx.channels(spark)).select("channel")), "channel", "left_semi")
-    return t.groupBy("image_id", "channel").agg(F.count("*").alias("n"))
+    """The inks or lights that each preset of the part table is put out in."""
+    docs = spark.read.parquet(f"{sf}/part.parquet").selectExpr(*_OUTPUTS)
+    return colour.output_channels(docs, spark.sql(f"SELECT * FROM {_ALL_CHANNELS}")).select("preset_id", "channel", "ord")
 
 
 def e1_native_marks(spark, sf):
@@ -288,8 +293,10 @@ def e6_polygon_to_cubic(spark, sf):
 
 
 def e7_layers(spark, sf):
-    n = _tones(spark, sf).groupBy("channel").agg(F.count("*").alias("n"))
-    return marks.layers(fx.channels(spark)).join(n, "channel")
+    """Layers of the inks or lights of each preset; colours that aren't any give the ink's own."""
+    docs = spark.read.parquet(f"{sf}/part.parquet").selectExpr(*_OUTPUTS)
+    shown = marks.layers(spark.sql(f"SELECT *, 1e0 AS opacity FROM {_ALL_CHANNELS}"))
+    return colour.output_channels(docs, shown).select("preset_id", "channel", "ord", "enabled", "opacity", "blend", "red", "green", "blue")
 
 
 def e8_scale_marks(spark, sf):
@@ -333,7 +340,7 @@ NATIVE = _NG | {
     "ht": UNPIVOT("hc", _K),
     "hv": f"SELECT * REPLACE (least(1e0, greatest(0e0, (value - 5e-1) * (contrast / 100e0) + 5e-1)) * (a / 255e0) AS value) FROM ht",
     "nm": f"SELECT image_id, channel, col, \"row\", cx AS x, cy AS y, CASE treatment WHEN 'dots' THEN spacing * 47e-2 * {_COV} * sqrt(value) WHEN 'squares' THEN spacing * 86e-2 * {_COV} * sqrt(value) ELSE spacing * 112e-2 END AS extent, "
-    f"CASE treatment WHEN 'lines' THEN spacing * 72e-2 * {_COV} * greatest(value, 25e-3) ELSE 0e0 END AS thickness, angle + {marks.ANGLE} AS angle FROM hv WHERE value > 6e-3",
+    f"CASE treatment WHEN 'lines' THEN spacing * 72e-2 * {_COV} * greatest(value, 25e-3) ELSE 0e0 END AS thickness, angle + {marks.ANGLE} AS angle, treatment FROM hv WHERE value > 6e-3",
 }
 _N = "least(6, greatest(3, sides))"
 _TURN = f"(-90e0 + CASE WHEN {_N} % 2 = 0 THEN 180e0 / {_N} ELSE 0e0 END + vertex * 360e0 / {_N})"
@@ -388,7 +395,7 @@ SQL = {
         "pixels", f"SELECT image_id, x, y, channel, {R('v')} AS value FROM q WHERE v > 6e-3", **TONES, q="SELECT *, least(1e0, greatest(0e0, (value - 5e-1) * (9e-1 + (image_id % 5) * 1e-1) + 5e-1)) * (a / 255e0) AS v FROM tones"
     ),
     "d9_apply_threshold": fx.with_sql("pixels channels", f"SELECT image_id, x, y, channel, {R('v')} AS value FROM q WHERE v > 0", **TONES, q=f"SELECT tones.*, {X.threshold('value', 'threshold')} AS v FROM tones JOIN channels USING (channel)"),
-    "d10_active_channels": fx.with_sql("pixels channels", "SELECT image_id, channel, count(*) AS n FROM tones WHERE channel IN (SELECT channel FROM channels WHERE enabled) GROUP BY 1, 2", **TONES),
+    "d10_active_channels": f"SELECT preset_id, channel, ord FROM (SELECT {', '.join(_OUTPUTS)} FROM part) d, {_ALL_CHANNELS} WHERE enabled AND (ord >= 4) = (NOT coalesce(value_mode = 'crosshatch', false) AND (coalesce(output_mode = 'rgb', false) OR coalesce(value_mode = 'rgb', false)))",
     "e1_native_marks": fx.with_sql("pixels", f"SELECT image_id, channel, col, \"row\", {_sr(['x', 'y', 'extent', 'thickness', 'angle'])} FROM nm", **NATIVE),
     "e2_native_rgb_marks": fx.with_sql(
         "pixels",
@@ -404,11 +411,10 @@ SQL = {
         "SELECT poly_id, seq, " + ", ".join(f"{R(f'{i} + (e{i} - {i}) / 3e0')} AS c1{i}, {R(f'e{i} - (e{i} - {i}) / 3e0')} AS c2{i}, {R(f'e{i}')} AS e{i}" for i in "xy") + " FROM q",
         q=f"SELECT *, coalesce(lead(x) {_W}, first_value(x) {_FIRST}) AS ex, coalesce(lead(y) {_W}, first_value(y) {_FIRST}) AS ey FROM poly_points",
     ),
-    "e7_layers": fx.with_sql(
-        "pixels channels",
-        "SELECT channel, ord, enabled, opacity, 'multiply' AS blend, CAST(('0x' || substr(color, 2, 2)) AS INT) AS red, CAST(('0x' || substr(color, 4, 2)) AS INT) AS green, CAST(('0x' || substr(color, 6, 2)) AS INT) AS blue, n FROM channels JOIN (SELECT channel, count(*) AS n FROM tones GROUP BY 1) USING (channel)",
-        **TONES,
-    ),
+    "e7_layers": "SELECT preset_id, channel, ord, true AS enabled, 1e0 AS opacity, blend, red, green, blue FROM (SELECT "
+    + ", ".join(_OUTPUTS)
+    + " FROM part) d, (VALUES ('c', 0, 'multiply', 0, 174, 239), ('m', 1, 'multiply', 236, 0, 140), ('k', 3, 'multiply', 20, 20, 24), ('red', 4, 'screen', 254, 1, 2), ('blue', 6, 'screen', 0, 0, 255)) AS t(channel, ord, blend, red, green, blue) "
+    "WHERE (ord >= 4) = (CASE WHEN value_mode = 'crosshatch' THEN false WHEN output_mode = 'rgb' THEN true WHEN value_mode = 'rgb' THEN true ELSE false END)",
     "e8_scale_marks": fx.with_sql("pixels", f"SELECT image_id, channel, col, \"row\", {R('x * 15e-1')} AS x, {R('y * 25e-1')} AS y, {R('extent * (15e-1 + 25e-1) / 2e0')} AS extent, {R('thickness * (15e-1 + 25e-1) / 2e0')} AS thickness FROM nm", **NATIVE),
     "e9_index_marks": fx.with_sql("pixels", "SELECT image_id, channel, col, \"row\", row_number() OVER (PARTITION BY image_id, channel ORDER BY \"row\", col) AS mark_idx FROM nm", **NATIVE),
     "e10_mark_path_text": fx.with_sql(

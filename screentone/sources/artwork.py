@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,35 @@ def probe_dimensions(artwork: DataFrame) -> DataFrame:
 
 
 def probe_physical_size(artwork: DataFrame) -> DataFrame:
-    """Adds dpi: from a PNG's pHYs chunk (per metre) or a JPEG's JFIF density, else 96."""
-    hx = "hex(content)"
-    p = f"locate('70485973', {hx})"
-    j = f"locate('4A46494600', {hx})"
-    num = lambda s, at, n: f"CAST(conv(substring({hx}, {s} + {at}, {n}), 16, 10) AS DOUBLE)"
-    png = f"CASE WHEN {hx} LIKE '89504E47%' AND {p} > 0 AND substring({hx}, {p} + 24, 2) = '01' THEN {num(p, 8, 8)} * 254e-4 END"
-    jpg = f"CASE WHEN {hx} LIKE 'FFD8%' AND {j} > 0 THEN CASE substring({hx}, {j} + 14, 2) WHEN '01' THEN {num(j, 16, 4)} WHEN '02' THEN {num(j, 16, 4)} * 254e-2 END END"
-    return artwork.withColumn("dpi", F.expr(f"coalesce(nullif({png}, 0e0), nullif({jpg}, 0e0), 96e0)"))
+    """Adds dpi: from a PNG's pHYs chunk (per metre) or a JPEG's JFIF segment, else 96 (null and broken files too).
+
+    Chunks and segments are walked by their lengths, up to the image data; bytes inside a payload never count.
+    """
+
+    @F.pandas_udf("double")
+    def probe(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: physical_size(bytes(b or b"")) or 96.0).astype("float64")
+
+    return artwork.withColumn("dpi", probe("content"))
+
+
+def physical_size(b: bytes) -> float | None:
+    """Dots an inch that the headers of a PNG or JPEG state, if they do."""
+    whole = lambda at, n: int.from_bytes(b[at : at + n], "big")
+    if b[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 12 <= len(b) and b[at + 4 : at + 8] not in (b"IDAT", b"IEND"):
+            if b[at + 4 : at + 8] == b"pHYs":
+                return whole(at + 8, 4) * 0.0254 if b[at + 16 : at + 17] == b"\x01" else None
+            at += 12 + whole(at, 4)
+    elif b[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(b) and b[at] == 255 and b[at + 1] != 0xDA:
+            if b[at + 1] == 0xE0 and b[at + 4 : at + 9] == b"JFIF\0":
+                unit = b[at + 11 : at + 12]
+                return whole(at + 12, 2) * {b"\x01": 1.0, b"\x02": 2.54}.get(unit, 0.0)
+            at += 2 + whole(at + 2, 2)
+    return None
 
 
 #: CSS pixels of one unit (fixed values).
@@ -127,14 +149,26 @@ def import_editor_paths(texts: DataFrame) -> DataFrame:
     return n.select("text_id", (F.col("seg") + 1).cast("long").alias("seg"), *out)
 
 
+CIRCLE_TEXT = f"concat('<circle cx=\"', {X.number_text('x')}, '\" cy=\"', {X.number_text('y')}, '\" r=\"', {X.number_text('extent')}, '\"/>')"
+
+
+def mark_text() -> str:
+    """The SVG element of a mark by its treatment."""
+    n = X.number_text
+    high = "(CASE treatment WHEN 'squares' THEN extent ELSE thickness END)"
+    box = f"concat('<rect x=\"', {n('(x - extent / 2e0)')}, '\" y=\"', {n(f'(y - {high} / 2e0)')}, '\" width=\"', {n('extent')}, '\" height=\"', {n(high)}, '\" transform=\"rotate(', {n('angle')}, ' ', {n('x')}, ' ', {n('y')}, ')\"/>')"
+    return f"CASE treatment WHEN 'dots' THEN {CIRCLE_TEXT} ELSE {box} END"
+
+
 def svg_texts(marks: DataFrame, layers: DataFrame, docs: DataFrame) -> DataFrame:
-    """One SVG text per image: header, a group for each enabled layer in order, its circles in row order.
+    """One SVG text per image: header, a group for each enabled layer in order, its marks in row order.
 
-    docs has image_id, title, out_w, out_h. Rows are joined into layer texts first, so no task holds
+    Dots are circles, squares and lines turned rectangles; marks without a treatment are dots. docs has
+    image_id, title, out_w, out_h and perhaps background (#RRGGBB, null for none), a layer of its own at the back. Rows are joined into layer texts first, so no task holds
     more than the marks of one image.
     """
     n = X.number_text
-    one = F.expr(f"concat('<circle cx=\"', {n('x')}, '\" cy=\"', {n('y')}, '\" r=\"', {n('extent')}, '\"/>')")
+    one = F.expr(mark_text() if "treatment" in marks.columns else CIRCLE_TEXT)
     m = marks.select("image_id", "channel", F.struct("row", "col", one.alias("t")).alias("t")).groupBy("image_id", "channel").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["t"]), "").alias("body"))
     g = m.join(F.broadcast(layers.filter("enabled")), "channel")
     hexed = F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(c), 2, "0") for c in ("red", "green", "blue")]))
@@ -142,7 +176,10 @@ def svg_texts(marks: DataFrame, layers: DataFrame, docs: DataFrame) -> DataFrame
     g = g.select("image_id", F.struct("ord", group.alias("t")).alias("t")).groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["t"]), "").alias("groups"))
     d = docs.join(g, "image_id", "left")
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.expr(n("out_w")), F.lit(" "), F.expr(n("out_h")), F.lit('"><title>'), xml_escape(F.col("title")), F.lit("</title>"))
-    return d.select("image_id", F.concat(head, F.coalesce("groups", F.lit("")), F.lit("</svg>")).alias("svg"))
+    back = F.lit("")
+    if "background" in docs.columns:
+        back = F.coalesce(F.concat(F.lit('<g id="background"><rect width="'), F.expr(n("out_w")), F.lit('" height="'), F.expr(n("out_h")), F.lit('" fill="'), xml_escape(F.lower("background")), F.lit('"/></g>')), F.lit(""))
+    return d.select("image_id", F.concat(head, back, F.coalesce("groups", F.lit("")), F.lit("</svg>")).alias("svg"))
 
 
 def curve_svg_texts(outlines: DataFrame, docs: DataFrame) -> DataFrame:

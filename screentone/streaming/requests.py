@@ -58,9 +58,16 @@ def coalesce_edits_stream(requests: DataFrame, gap: str, watermark: str) -> Data
     return s.agg(F.min_by("value", at).alias("before"), F.max_by("value", at).alias("after"), F.count("*").alias("n")).filter("n = 1 OR before <> after").drop("w")
 
 
-def drop_stale(results: DataFrame, current: DataFrame) -> DataFrame:
-    """Results whose generation is the current one of their document; current comes from latest_requests."""
-    return results.join(current.select("document_id", "generation"), ["document_id", "generation"], "left_semi")
+def drop_stale(results: DataFrame, current: DataFrame, view: list[str] | None = None) -> DataFrame:
+    """Results whose generation is the current one of their document; current comes from latest_requests.
+
+    With `view`, columns of both tables, the result's view must be the current one too (null equals null).
+    """
+    c = current.select("document_id", "generation", *[F.col(v).alias(f"now_{i}") for i, v in enumerate(view or [])])
+    same = (results["document_id"] == c["document_id"]) & (results["generation"] == c["generation"])
+    for i, v in enumerate(view or []):
+        same = same & results[v].eqNullSafe(c[f"now_{i}"])
+    return results.join(c, same, "left_semi")
 
 
 def best_preview(results: DataFrame) -> DataFrame:
@@ -70,13 +77,18 @@ def best_preview(results: DataFrame) -> DataFrame:
 
 
 def ingest(stream: DataFrame, accepted_path: str, quarantine_path: str, checkpoint: str, available_now: bool = True):
-    """Documents (document_id, content) arriving as a stream: parsed, migrated, appended; the rest quarantined."""
+    """Documents (document_id, content) arriving as a stream: parsed, migrated, appended; the rest quarantined.
+
+    Every batch has a partition `epoch` of its own, which a retry writes anew.
+    """
+
+    def write(rows: DataFrame, epoch: int, path: str) -> None:
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
     def land(batch: DataFrame, epoch: int) -> None:
         parsed = artwork.parse_documents(batch).persist()
-        good = settings.migrate_documents(parsed.filter("accepted")).withColumn("epoch", F.lit(epoch))
-        good.write.mode("append").parquet(accepted_path)
-        parsed.filter("NOT accepted OR version IS NULL OR version NOT BETWEEN 1 AND 5").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(quarantine_path)
+        write(settings.migrate_documents(parsed.filter("accepted")), epoch, accepted_path)
+        write(parsed.filter("NOT accepted OR version IS NULL OR version NOT BETWEEN 1 AND 5"), epoch, quarantine_path)
         parsed.unpersist()
 
     w = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
