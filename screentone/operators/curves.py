@@ -24,8 +24,8 @@ def _upto():
 
 
 
-TOKEN = "([MLCQZ][^MLCQZ]*)"
-NUMBER = r"(-?[0-9]+\.?[0-9]*)"
+TOKEN = "([MLHVCSQTZmlhvcsqtz][^MLHVCSQTZmlhvcsqtz]*)"
+NUMBER = "([-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?)"
 
 
 def _length(dx: str, dy: str) -> str:
@@ -33,24 +33,37 @@ def _length(dx: str, dy: str) -> str:
 
 
 def path_segments(paths: DataFrame) -> DataFrame:
-    """Cubic segments of path texts (absolute M, L, C, Q, Z): path_id, seg, x0, y0, c1x, c1y, c2x, c2y, x1, y1.
+    """Cubic segments of path texts: path_id, seg, x0, y0, c1x, c1y, c2x, c2y, x1, y1.
 
-    Lines and quadratics are raised to cubics; Z draws a line to the start of its subpath.
+    All of M L H V C S Q T Z, absolute or relative, with repeated arguments. Lines and quadratics are
+    raised to cubics; Z draws a line to the start of its subpath. Missing numbers give null
+    coordinates; null and empty texts have no segments. The fold holds one path.
     """
-    w = Window.partitionBy("path_id").orderBy("pos")
-    t = paths.select("path_id", F.posexplode(F.regexp_extract_all("d", F.lit(TOKEN))).alias("pos", "token"))
-    t = t.select("path_id", "pos", F.substring("token", 1, 1).alias("op"), F.expr(f"transform(regexp_extract_all(token, '{NUMBER.replace(chr(92), chr(92) * 2)}'), n -> CAST(n AS DOUBLE))").alias("n"))
-    t = t.withColumns({"mx": F.last(F.when(F.col("op") == "M", F.get("n", F.lit(0))), ignorenulls=True).over(w), "my": F.last(F.when(F.col("op") == "M", F.get("n", F.lit(1))), ignorenulls=True).over(w)})
-    t = t.withColumns({"x1": F.expr("CASE WHEN op = 'Z' THEN mx ELSE get(n, size(n) - 2) END"), "y1": F.expr("CASE WHEN op = 'Z' THEN my ELSE get(n, size(n) - 1) END")})
-    t = t.withColumns({"x0": F.lag("x1").over(w), "y0": F.lag("y1").over(w)}).filter("op <> 'M'")
-    for i, v in enumerate("xy"):
-        t = t.withColumns(
-            {
-                f"c1{v}": F.expr(f"CASE op WHEN 'C' THEN get(n, {i}) WHEN 'Q' THEN {v}0 + (get(n, {i}) - {v}0) * 2e0 / 3e0 ELSE {v}0 + ({v}1 - {v}0) / 3e0 END"),
-                f"c2{v}": F.expr(f"CASE op WHEN 'C' THEN get(n, {i + 2}) WHEN 'Q' THEN {v}1 + (get(n, {i}) - {v}1) * 2e0 / 3e0 ELSE {v}0 + ({v}1 - {v}0) * 2e0 / 3e0 END"),
-            }
-        )
-    return t.select("path_id", F.row_number().over(w).cast("long").alias("seg"), "x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1")
+    number = NUMBER.replace(chr(92), chr(92) * 2)
+    d = paths.select("path_id", F.expr(f"transform(regexp_extract_all(d, '{TOKEN}'), t -> struct(substring(t, 1, 1) AS op, transform(regexp_extract_all(t, '{number}'), n -> CAST(n AS DOUBLE)) AS n))").alias("c"))
+    count = "CASE upper(c.op) WHEN 'C' THEN 6 WHEN 'S' THEN 4 WHEN 'Q' THEN 4 WHEN 'H' THEN 1 WHEN 'V' THEN 1 WHEN 'Z' THEN 0 ELSE 2 END"
+    times = f"greatest(1, CAST(size(c.n) div greatest(1, {count}) AS INT))"
+    again = f"transform(sequence(0, {times} - 1), j -> struct(CASE WHEN j > 0 AND c.op = 'M' THEN 'L' WHEN j > 0 AND c.op = 'm' THEN 'l' ELSE c.op END AS op, slice(c.n, j * ({count}) + 1, {count}) AS n))"
+    d = d.select("path_id", F.expr(f"flatten(transform(c, c -> {again}))").alias("c"))
+
+    at = {"x": 0, "y": 1}
+    base = {v: f"(CASE WHEN c.op = upper(c.op) THEN 0e0 ELSE coalesce(s.{v}, 0e0) END)" for v in "xy"}
+    given = lambda v, k: f"{base[v]} + get(c.n, {k})"
+    own, other = {"x": "H", "y": "V"}, {"x": "V", "y": "H"}
+    end = {v: f"(CASE upper(c.op) WHEN 'Z' THEN s.m{v} WHEN '{own[v]}' THEN {given(v, 0)} WHEN '{other[v]}' THEN s.{v} ELSE {given(v, f'size(c.n) - {2 - at[v]}')} END)" for v in "xy"}
+    mirror = lambda v, ops: f"CASE WHEN s.was IN {ops} THEN 2e0 * s.{v} - s.q{v} ELSE s.{v} END"
+    pull = {v: f"(CASE upper(c.op) WHEN 'Q' THEN {given(v, at[v])} ELSE {mirror(v, '(' + repr('Q') + ', ' + repr('T') + ')')} END)" for v in "xy"}
+    one = {v: f"(CASE upper(c.op) WHEN 'C' THEN {given(v, at[v])} WHEN 'S' THEN {mirror(v, '(' + repr('C') + ', ' + repr('S') + ')')} WHEN 'Q' THEN s.{v} + ({pull[v]} - s.{v}) * 2e0 / 3e0 WHEN 'T' THEN s.{v} + ({pull[v]} - s.{v}) * 2e0 / 3e0 ELSE s.{v} + ({end[v]} - s.{v}) / 3e0 END)" for v in "xy"}
+    two = {v: f"(CASE upper(c.op) WHEN 'C' THEN {given(v, at[v] + 2)} WHEN 'S' THEN {given(v, at[v])} WHEN 'Q' THEN {end[v]} + ({pull[v]} - {end[v]}) * 2e0 / 3e0 WHEN 'T' THEN {end[v]} + ({pull[v]} - {end[v]}) * 2e0 / 3e0 ELSE s.{v} + ({end[v]} - s.{v}) * 2e0 / 3e0 END)" for v in "xy"}
+    seg = f"struct(s.x AS x0, s.y AS y0, {one['x']} AS c1x, {one['y']} AS c1y, {two['x']} AS c2x, {two['y']} AS c2y, {end['x']} AS x1, {end['y']} AS y1)"
+    held = lambda v: f"CASE WHEN upper(c.op) IN ('Q', 'T') THEN {pull[v]} ELSE {two[v]} END"
+    moved = {v: f"CASE WHEN upper(c.op) = 'M' THEN {end[v]} ELSE s.m{v} END" for v in "xy"}
+    step = f"struct({end['x']} AS x, {end['y']} AS y, {moved['x']} AS mx, {moved['y']} AS my, {held('x')} AS qx, {held('y')} AS qy, upper(c.op) AS was, CASE WHEN upper(c.op) = 'M' THEN s.out ELSE concat(s.out, array({seg})) END AS out)"
+    cols = ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1")
+    none = ", ".join(f"CAST(NULL AS DOUBLE) AS {k}" for k in ("x", "y", "mx", "my", "qx", "qy"))
+    start = f"struct({none}, '' AS was, CAST(array() AS ARRAY<STRUCT<{', '.join(f'{c}: DOUBLE' for c in cols)}>>) AS out)"
+    out = d.select("path_id", F.posexplode(F.expr(f"aggregate(c, {start}, (s, c) -> {step}).out")).alias("seg", "v"))
+    return out.select("path_id", (F.col("seg") + 1).cast("long").alias("seg"), *[f"v.{c}" for c in cols])
 
 
 def validate_paths(segments: DataFrame, least: int = 1, most: int = 64) -> DataFrame:
