@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screentone.llm import chat, decontamination, langid, licenses, packing, quality, secrets, sharding, simhash, toxicity
+from screentone.llm import chat, decontamination, langid, licenses, packing, quality, runs, secrets, sharding, simhash, suffixes, toxicity, vectorcodes
 from screentone.llm.common import table
 
 
@@ -53,7 +53,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_language_id, op4_sharding, op5_license_scan, op6_decontamination, op7_chat_format, op8_quality, op9_toxicity, op10_packing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=4, rounds=4, scale=1024)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), least=100)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_secret_scan,
+    op2_simhash,
+    op3_language_id,
+    op4_sharding,
+    op5_license_scan,
+    op6_decontamination,
+    op7_chat_format,
+    op8_quality,
+    op9_toxicity,
+    op10_packing,
+    op11_vector_codes,
+    op12_suffix_dedup,
+    op13_periodic_runs,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
 _SHARE = {
