@@ -156,8 +156,8 @@ class Family:
     def __init__(self, least: int = 100):
         self.least = least
         self.levels: list[tuple[DataFrame, int]] = []
-        self.matches: list[DataFrame] = []
-        self.mixed: list[DataFrame] = []
+        self.scans: list[DataFrame] = []
+        self.merged: list[DataFrame] = []
 
     def merge(self) -> None:
         """Levels of about equal size (by powers of two) become one, the smaller ones first."""
@@ -165,43 +165,59 @@ class Family:
         while len(self.levels) > 1 and self.levels[-2][1].bit_length() <= self.levels[-1][1].bit_length():
             (a, n), (b, m) = self.levels.pop(-2), self.levels.pop(-1)
             # a level holds no run that an earlier one has, so the entries are disjoint
-            self.levels.append((stored(a.unionByName(b), "suffix-level"), n + m))
-            dropped(a)
-            dropped(b)
+            one = stored(a.unionByName(b), "suffix-level")
+            for gone in (a, b):
+                if any(gone is x for x in self.merged):
+                    dropped(gone)
+            self.merged = [x for x in self.merged if x is not a and x is not b] + [one]
+            self.levels.append((one, n + m))
             self.levels.sort(key=lambda level: -level[1])
 
     def add(self, docs: DataFrame) -> None:
-        """Scan a batch, later than all before it, against the levels; then it becomes a level itself."""
+        """Scan a batch, later than all before it, against the levels; then it becomes a level itself.
+
+        One shuffle by gram brings the batch's entries and those of all levels into the order of one suffix array: the first entry
+        of a run is the earliest, those after it are matches; grams with several runs, one of them new, are mixed.
+        """
         self.merge()
-        entries = stored(suffix_array(docs, self.least), "suffix-batch")
-        first = F.min(F.struct("doc_id", "key", "at", "slot")).alias("first")
-        own = entries.groupBy("h", "whole").agg(first, F.count("*").alias("n")).select("h", "whole", "first", "n", F.lit(False).alias("known"))
-        slots, scanned = None, own
+        rows = suffix_array(docs, self.least).withColumn("new", F.lit(1))
         for level, _ in self.levels:
-            slots = level if slots is None else slots.unionByName(level)
-        if slots is not None:
-            held = slots.select("h", "whole", F.lit(None).cast(own.schema["first"].dataType).alias("first"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("known"))
-            merged = [F.max(c).alias(c) for c in ("first", "n", "known")]
-            scanned = own.unionByName(held).groupBy("h", "whole").agg(*merged).filter("n > 0")
-        runs = stored(scanned, "suffix-scan")
-        again = runs.filter(F.col("known") | (F.col("n") > 1)).select("h", "whole", "first", "known")
-        hit = entries.join(again, ["h", "whole"])
-        same = F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.at") == F.col("at"))
-        self.matches.append(stored(hit.filter(F.col("known") | ~same).select("key", *self._windows()), "suffix-matches"))
-        new = runs.filter(~F.col("known")).select("h", "whole", F.col("first.slot").alias("slot"))
-        level = stored(new, "suffix-level")
-        by_gram = level.groupBy("h").agg(F.count("*").alias("runs"))
-        if slots is None:
-            mixed = level.join(by_gram.filter("runs > 1"), "h", "left_semi").select("slot")
-        else:
-            # grams of new runs: all entries of a gram that a level has, or that has several new runs
-            both = level.select("h", "slot", F.lit(1).alias("new")).unionByName(slots.select("h", "slot", F.lit(0).alias("new")))
-            wanted = both.groupBy("h").agg(F.count("*").alias("runs"), F.max("new").alias("any")).filter("runs > 1 AND any = 1")
-            mixed = both.join(wanted, "h", "left_semi").select("slot")
-        self.mixed.append(stored(mixed, "suffix-mixed"))
+            rows = rows.unionByName(level.withColumn("new", F.lit(0)), allowMissingColumns=True)
+        run, gram = Window.partitionBy("h", "whole"), Window.partitionBy("h")
+        order = run.orderBy("new", "doc_id", "key", "at")
+        running = order.rowsBetween(Window.unboundedPreceding, 0)
+        earliest = F.first(F.struct("new", "key", "at")).over(running)
+        rows = rows.repartition("h").withColumn("place", F.row_number().over(order)).withColumn("first", earliest)
+        opens = F.when(F.col("place") == 1, 1).otherwise(0)
+        rows = rows.withColumn("runs", F.sum(opens).over(gram)).withColumn("fresh", F.sum(opens * F.col("new")).over(gram))
+        same = (F.col("first.new") == 1) & (F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))
+        rows = rows.select(
+            *("h", "whole", "slot", "key"),
+            *self._windows(),
+            ((F.col("new") == 1) & ~same).alias("match"),
+            ((F.col("new") == 1) & (F.col("place") == 1)).alias("opens"),
+            ((F.col("place") == 1) & (F.col("runs") > 1) & (F.col("fresh") > 0)).alias("mixed"),
+        )
+        scanned = stored(rows.filter("match OR opens OR mixed"), "suffix-scan")
+        self.scans.append(scanned)
+        level = scanned.filter("opens").select("h", "whole", "slot")
         self.levels.append((level, level.count()))
-        dropped(entries)
-        dropped(runs)
+
+    @property
+    def matches(self) -> DataFrame:
+        """(key, s, e): windows of whole runs that occur earlier."""
+        return self._all("match", "key", "s", "e")
+
+    @property
+    def mixed(self) -> DataFrame:
+        """(slot): entries of grams with several runs."""
+        return self._all("mixed", "slot")
+
+    def _all(self, kind: str, *names: str) -> DataFrame:
+        out = self.scans[0].filter(kind).select(*names)
+        for more in self.scans[1:]:
+            out = out.unionByName(more.filter(kind).select(*names))
+        return out
 
     def _windows(self):
         place = F.shiftright("at", 2 * REACH)
@@ -211,12 +227,12 @@ class Family:
 
 
 def bitmap(slots: DataFrame, least_bits: int = 20, most_bits: int = 29) -> tuple[np.ndarray, int]:
-    """The slots' leading bits as a bitmap, about one in sixty bits set, of 64 MB at most.
+    """The slots' leading bits as a bitmap, about one in 250 bits set, of 64 MB at most.
 
     A fuller bitmap only makes more entries be looked at.
     """
     n = slots.count()
-    bits = min(most_bits, max(least_bits, (64 * n).bit_length()))
+    bits = min(most_bits, max(least_bits, (256 * n).bit_length()))
     part = min(bits, 20)  # a task's part of the bitmap: at most 2^20 bits
 
     def run(batches):
@@ -238,6 +254,22 @@ def bitmap(slots: DataFrame, least_bits: int = 20, most_bits: int = 29) -> tuple
     return out, bits
 
 
+def _ranked(v: np.ndarray) -> np.ndarray:
+    """Dense ranks of the values; pairs of ranks in 32 bits each are packed closer, so that a place fits beside them."""
+    place = np.uint64(max(len(v), 2).bit_length())
+    low = np.uint64(32)
+    if v.max(initial=0) >> np.uint64(64 - place):
+        v = (v >> low << place) | (v & np.uint64(0xFFFFFFFF))
+    if v.max(initial=0) >> np.uint64(64 - place):
+        return np.unique(v, return_inverse=True)[1].astype(np.uint64)
+    v = np.sort((v << place) | np.arange(len(v), dtype=np.uint64))
+    out = np.empty(len(v), np.uint64)
+    at = (v & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    v >>= place
+    out[at] = np.cumsum(np.append(False, v[1:] != v[:-1])) if len(v) else v
+    return out
+
+
 def _earliest(rows: list[tuple[bytes, int]], rank: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(row, first window, last window) of the windows that an earlier row, by rank, or place of it, has too.
 
@@ -247,19 +279,16 @@ def _earliest(rows: list[tuple[bytes, int]], rank: np.ndarray, least: int) -> It
     size = np.array([len(t) for t, _ in rows])
     start = np.cumsum(size) - size
     count = np.array([n for _, n in rows])
-    depth = 8
-    order = np.ndarray((len(text) - 7,), ">u8", buffer=text, strides=(1,)).astype(np.uint64)
-    while True:
-        _, order = np.unique(order, return_inverse=True)
-        if depth >= least:
-            break
+    depth = 5
+    order = _ranked(np.ndarray((len(text) - 7,), ">u8", buffer=text, strides=(1,)).astype(np.uint64) >> np.uint64(24))
+    while depth < least:
         step = min(depth, least - depth)
-        order = (order[:-step].astype(np.uint64) << np.uint64(32)) | order[step:].astype(np.uint64)
+        order = _ranked((order[:-step] << np.uint64(32)) | order[step:])
         depth += step
     row = np.repeat(np.arange(len(rows)), count)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     suffix = order[start[row] + offset]
-    low = np.full(int(order.max()) + 1 if len(order) else 1, np.iinfo(np.int64).max)
+    low = np.full(len(order) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, suffix, rank[row])
     dup = np.flatnonzero(low[suffix] < rank[row])
     cut = np.flatnonzero((np.diff(row[dup], prepend=-1) != 0) | (np.diff(offset[dup], prepend=-2) != 1))
@@ -267,7 +296,7 @@ def _earliest(rows: list[tuple[bytes, int]], rank: np.ndarray, least: int) -> It
         yield int(row[dup[lo]]), int(offset[dup[lo]]), int(offset[dup[hi - 1]])
 
 
-def resolve(docs: DataFrame, slots: DataFrame, least: int, crowd: int = 5000, chunk: int = 1 << 22) -> DataFrame:
+def resolve(docs: DataFrame, slots: DataFrame, least: int, crowd: int = 5000, chunk: int = 1 << 20) -> DataFrame:
     """(key, s, e): windows of the marked entries that occur earlier, to the byte."""
     spark = docs.sparkSession
     found, bits = bitmap(slots)
@@ -307,6 +336,7 @@ def resolve(docs: DataFrame, slots: DataFrame, least: int, crowd: int = 5000, ch
         yield from solved(rows)
 
     def solved(rows):
+        rows = [r for i, r in enumerate(rows) if any(0 <= k < len(rows) and rows[k][0] == r[0] for k in (i - 1, i + 1))]
         if rows:
             out = [(rows[i][1], rows[i][2] + lo, rows[i][2] + hi) for i, lo, hi in _earliest([(r[3], len(r[3]) - least + 1) for r in rows], np.arange(len(rows)), least)]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], names=["key", "s", "e"])
@@ -349,14 +379,8 @@ def repeated_windows(docs: DataFrame, least: int = 100, batches: int = 4) -> Dat
     family = Family(least)
     for part in _batches(docs, batches):
         family.add(part)
-    slots = family.mixed[0]
-    found = family.matches[0]
-    for more in family.mixed[1:]:
-        slots = slots.unionByName(more)
-    for more in family.matches[1:]:
-        found = found.unionByName(more)
-    out = stored(found.unionByName(resolve(docs, slots, least)), "suffix-spans")
-    for gone in [*family.mixed, *family.matches, *(level for level, _ in family.levels)]:
+    out = stored(family.matches.unionByName(resolve(docs, family.mixed, least)), "suffix-spans")
+    for gone in [*family.scans, *family.merged]:
         dropped(gone)
     return out
 

@@ -82,7 +82,7 @@ def test_crowded_grams_and_long_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS key")
     family = suffixes.Family()
     family.add(docs)
-    marked = family.mixed[0]
+    marked = family.mixed
     spans = {}
     for crowd in (5, 10_000):
         spans[crowd] = set()
