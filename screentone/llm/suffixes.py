@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from screentone.llm.common import dropped, stored
 
 GRAM = 32
-#: Bytes of text handled at a time in a task.
-BLOCK = 1 << 19
+#: Bytes of text handled at a time in a task: what a core's cache holds with its hashes.
+BLOCK = 1 << 14
 #: Place, and the run's reach before and after the anchor, in one long; places up to 2^47.
 REACH = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
