@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,17 +138,46 @@ def _places(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
         yield rows[doc], at, h.view(np.int64), whole.view(np.int64), (slot >> np.uint64(33)).astype(np.int64), text, first, last
 
 
+def _later(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, h: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which entries have the same run as an earlier entry (by doc_id, key, place) of this batch."""
+    out = np.zeros(len(h), bool)
+    both = h ^ (whole * np.int64(-0x61C8864680B583EB))
+    order = np.argsort(both)
+    same = both[order[1:]] == both[order[:-1]]
+    some = np.unique(np.concatenate([order[1:][same], order[:-1][same]])) if len(h) else order
+    if len(some):
+        ids = pa.table([batch.column(0), batch.column(1)], names=["doc_id", "key"])
+        rank = np.empty(batch.num_rows, np.int64)
+        by = pc.sort_indices(ids, sort_keys=[("doc_id", "ascending"), ("key", "ascending")], null_placement="at_start").to_numpy()
+        key = batch.column(1).to_numpy(zero_copy_only=False)[by]
+        rank[by] = np.cumsum(np.append(True, key[1:] != key[:-1]))
+        by = some[np.lexsort((at[some], rank[row[some]], whole[some], h[some]))]
+        new = np.append(True, (h[by[1:]] != h[by[:-1]]) | (whole[by[1:]] != whole[by[:-1]]))
+        first = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        out[by] = (rank[row[by]] != rank[row[first]]) | (at[by] != at[first])
+    return out
+
+
 def suffix_array(docs: DataFrame, least: int) -> DataFrame:
-    """The entries (h, whole, doc_id, key, at, slot) of the anchors of all documents (doc_id, key, text)."""
+    """The entries (h, whole, doc_id, key, at, slot, later) of the anchors of all documents (doc_id, key, text).
+
+    Entries that repeat a run of their own Arrow batch are matches already (`later`); in place of the gram's hash they carry
+    one of their own, so that no gram gathers them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            for row, at, h, whole, slot, *_ in _places(b, least):
+            found = [x[:5] for x in _places(b, least)]
+            if found:
+                row, at, h, whole, slot = (np.concatenate(c) for c in zip(*found))
+                later = _later(b, row, at, h, whole)
+                h = np.where(later, (h ^ (at << 20)) * np.int64(-0x61C8864680B583EB) ^ row ^ whole, h)
+                h = np.where(later, h ^ b.column(1).to_numpy(zero_copy_only=False)[row], h)
                 row = pa.array(row)
-                yield pa.record_batch([pa.array(h), pa.array(whole), b.column(0).take(row), b.column(1).take(row), pa.array(at), pa.array(slot)], names=["h", "whole", "doc_id", "key", "at", "slot"])
+                yield pa.record_batch([pa.array(h), pa.array(whole), b.column(0).take(row), b.column(1).take(row), pa.array(at), pa.array(slot), pa.array(later)], names=["h", "whole", "doc_id", "key", "at", "slot", "later"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, f"h long, whole long, doc_id {kind}, key long, at long, slot long")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, f"h long, whole long, doc_id {kind}, key long, at long, slot long, later boolean")
 
 
 class Family:
@@ -188,15 +218,16 @@ class Family:
         running = order.rowsBetween(Window.unboundedPreceding, 0)
         earliest = F.first(F.struct("new", "key", "at")).over(running)
         rows = rows.repartition("h").withColumn("place", F.row_number().over(order)).withColumn("first", earliest)
-        opens = F.when(F.col("place") == 1, 1).otherwise(0)
+        later = F.coalesce("later", F.lit(False))
+        opens = F.when((F.col("place") == 1) & ~later, 1).otherwise(0)
         rows = rows.withColumn("runs", F.sum(opens).over(gram)).withColumn("fresh", F.sum(opens * F.col("new")).over(gram))
         same = (F.col("first.new") == 1) & (F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))
         rows = rows.select(
             *("h", "whole", "slot", "key"),
             *self._windows(),
-            ((F.col("new") == 1) & ~same).alias("match"),
-            ((F.col("new") == 1) & (F.col("place") == 1)).alias("opens"),
-            ((F.col("place") == 1) & (F.col("runs") > 1) & (F.col("fresh") > 0)).alias("mixed"),
+            (later | ((F.col("new") == 1) & ~same)).alias("match"),
+            ((F.col("new") == 1) & (F.col("place") == 1) & ~later).alias("opens"),
+            ((F.col("place") == 1) & ~later & (F.col("runs") > 1) & (F.col("fresh") > 0)).alias("mixed"),
         )
         scanned = stored(rows.filter("match OR opens OR mixed"), "suffix-scan")
         self.scans.append(scanned)
