@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -152,10 +153,25 @@ class Solution:
     bound: float
 
 
-def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 4.0, width: float = 0.1, over: float = 0.03, value: float = 0.5, urge: float = 40.0) -> Solution:
+def first_prices(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Prices no pattern is worth more than 1 at, and the lower bound on sequences that they give.
+
+    For a limit e up to half a sequence: pieces that leave less than e free count as a whole sequence, pieces
+    under e as nothing, all others as their share (e = 0: every piece's share). The e of the best bound is taken.
+    """
+    limits = np.unique(np.concatenate([[0], lengths[2 * lengths <= capacity], capacity + 1 - lengths[2 * lengths > capacity]]))
+    limits = limits[2 * limits <= capacity]
+    at = lengths[None, :]
+    prices = np.where(at > capacity - limits[:, None], 1.0, np.where(at < limits[:, None], 0.0, at / capacity))
+    bounds = prices @ counts.astype(float)
+    best = int(bounds.argmax())
+    return prices[best], float(bounds[best])
+
+
+def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 4.0, width: float = 0.1, over: float = 0.03, value: float = 0.5, urge: float = 40.0, plain: float = 0.1) -> Solution:
     """The configuration LP by multiplicative weights; lengths ascending, all under capacity.
 
-    The price of a length is its share of a sequence times exp(-rate * how far it is covered beyond the
+    The price of a length is its first price (its share of a sequence, or `plain` of that and else what gives the best first bound) times exp(-rate * how far it is covered beyond the
     mean). A round prices all lengths but those covered beyond the mean by `over`, and takes for each length
     under the mean the best pattern with it that fills the sequence, if worth `value` of the best
     pattern of all, else only the best one. Lengths that several patterns ask for are shared by
@@ -166,18 +182,23 @@ def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rou
     tag = rng.integers(1, 1 << 40, m)  # tells patterns apart
     cover, weight = np.zeros(m), n * lengths / (n * lengths).sum()
     times: dict[tuple[tuple[int, int], ...], float] = {}
-    bound = float((n * lengths).sum() / capacity)
-    for _ in range(rounds):
+    first, bound = first_prices(lengths, counts, capacity)
+    share = lengths / capacity
+    # prices by share alone, unless they leave a gap to the bound
+    first = (1 - plain) * first + plain * share if bound > 1.002 * float(n @ share) else share
+    everything = np.arange(m)
+    for turn in range(rounds):
         mean = float((weight * cover).sum())
         if mean >= 1:
             break
         lag = cover - mean
-        prices = lengths / capacity * np.exp(-rate * lag)
+        prices = first * np.exp(-rate * lag)
         order = rng.permutation(np.flatnonzero(lag <= over))
         best, last, item, used = knapsack(prices, lengths, counts, capacity, order)
         reach = np.maximum.accumulate(best)
-        if len(order) == m:
-            bound = max(bound, float((n * prices).sum() / reach[capacity]))
+        if len(order) == m or turn % 4 == 0:
+            top = best if len(order) == m else knapsack(prices, lengths, counts, capacity, everything)[0]
+            bound = max(bound, float((n * prices).sum() / top.max()))
         through = np.flatnonzero(lag <= 0)
         if not len(through):
             through = np.array([lag.argmin()])
@@ -280,11 +301,13 @@ def _remainder(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[t
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 300, rate: float = 4.0) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 300, rate: float = 4.0, steps: int = 3, spare: float = 0.12) -> list[tuple[tuple[int, ...], int]]:
     """(pattern of lengths, number of sequences), using every piece of the histogram exactly once.
 
-    Full pieces stand alone. The LP's rounded patterns carry nearly all the rest; what remains goes by best
-    fit, in proportion, so the work doesn't grow with the corpus.
+    Full pieces stand alone. Of the rest the LP's rounded patterns carry most; what they leave, about `spare` of it, is
+    a smaller histogram with an LP of its own, `steps` times at most. After each step best fit (in proportion, so the work
+    doesn't grow with the corpus) completes the plan; the plan of fewest sequences wins, that of best fit alone included.
+    A plan that meets the lower bound ends the search.
     """
     rest = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
@@ -293,12 +316,19 @@ def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 300, rat
     lengths = np.array(sorted(rest), dtype=np.int64)
     if len(lengths):
         counts = np.array([rest[int(n)] for n in lengths], dtype=np.int64)
-        found = configuration_lp(lengths, counts, capacity, rounds, rate)
-        tried = []
-        for spare in (0.04, 0.12, 0.36):  # the more is held back, the better the rest packs; the fewest sequences win
-            whole, left = rounded(found, lengths, counts, capacity, spare)
-            some = [(tuple(int(lengths[j]) for j, u in reversed(key) for _ in range(u)), times) for key, times in whole.items()]
-            tried.append(some + _remainder(lengths, left, capacity))
+        bound, done, tried = first_prices(lengths, counts, capacity)[1], [], []
+        for _ in range(steps):
+            tried.append(done + _remainder(lengths, counts, capacity))
+            some = np.flatnonzero(counts)
+            if not len(some) or sum(k for _, k in tried[-1]) <= math.ceil(bound - 1e-6):
+                break
+            found = configuration_lp(lengths[some], counts[some], capacity, rounds, rate)
+            bound = max(bound, found.bound) if len(tried) == 1 else bound
+            whole, left = rounded(found, lengths[some], counts[some], capacity, spare)
+            if not whole:
+                break
+            done = done + [(tuple(int(lengths[some[j]]) for j, u in reversed(key) for _ in range(u)), times) for key, times in whole.items()]
+            counts[some] = left
         out += min(tried, key=lambda x: sum(times for _, times in x))
     return out
 

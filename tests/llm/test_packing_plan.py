@@ -73,3 +73,43 @@ def test_odd_histograms(histogram):
     assert used == histogram
     if histogram == {1: 100_000}:
         assert sum(n for _, n in plan) == 98
+
+
+HISTOGRAMS = {
+    "uniform": lambda rng: rng.integers(1, 1025, 3000),
+    "middle": lambda rng: rng.integers(300, 801, 6000),
+    "narrow": lambda rng: rng.integers(400, 701, 6000),
+    "geometric": lambda rng: np.minimum(1023, rng.geometric(1 / 300, 6000)),
+    "three": lambda rng: np.repeat([520, 300, 204], [500, 500, 400]),
+}
+
+
+@pytest.mark.parametrize("kind, times", [*((kind, 1) for kind in HISTOGRAMS), ("three", 40), ("narrow", 40)])
+def test_never_more_than_best_fit_and_close_to_the_bound(kind, times):
+    drawn = np.bincount(HISTOGRAMS[kind](np.random.default_rng(6)), minlength=1025)
+    lengths = np.flatnonzero(drawn[:1024])
+    counts = drawn[lengths] * times
+    sequences = sum(n for _, n in packing.plan({n: c for n, c in zip(lengths.tolist(), counts.tolist())}, rounds=60))
+    assert sequences <= sum(n for _, n in packing._remainder(lengths, counts.copy(), 1024))
+    bound = packing.first_prices(lengths, counts, 1024)[1]
+    assert bound - 1e-6 <= sequences <= 1.005 * bound + 1
+    if kind == "three":
+        assert sequences == 500 * times
+
+
+def test_pairs_are_optimal():
+    """At most two pieces fit a sequence; 968 and 673 fit with none, 551 and 530 with one of the small ones."""
+    histogram = {352: 575, 378: 592, 456: 535, 530: 556, 551: 596, 673: 595, 968: 551}
+    small = 575 + 592 + 535
+    assert sum(n for _, n in packing.plan(histogram)) == 551 + 595 + 596 + 556 + -(-(small - 596 - 556) // 2)
+
+
+def test_first_prices_bound_every_pattern():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        lengths = np.unique(rng.integers(1, 41, 8))
+        counts = rng.integers(1, 9, len(lengths))
+        prices, bound = packing.first_prices(lengths, counts, 40)
+        best = packing.knapsack(prices, lengths, np.full(len(lengths), 40), 40, np.arange(len(lengths)))[0]
+        assert best.max() <= 1 + 1e-9
+        assert bound <= sum(n for _, n in packing.plan(dict(zip(lengths.tolist(), counts.tolist())), capacity=40)) + 1e-6
