@@ -59,7 +59,10 @@ def _spans(text: str, kind: str, pattern: str, keep: str = "true") -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    """A digest of (id, text) that no other pair shares: the id's length goes first, null ids have none."""
+    i = F.col(id_col).cast("string")
+    named = F.coalesce(F.concat(F.length(i).cast("string"), F.lit(":"), i), F.lit("null"))
+    return F.sha2(F.concat(named, F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
