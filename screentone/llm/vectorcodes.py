@@ -68,18 +68,37 @@ class Codebook:
         return out
 
     def best(self, queries: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entry, squared distance) of each query's nearest candidate; every mask has one at least."""
+        """(entry, squared distance) of each query's nearest candidate; every mask has one at least.
+
+        Queries with few candidates are compared pair by pair, those that keep an eighth of the entries and more by
+        one matrix product, exact as long as its integers fit a double.
+        """
         bits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(len(masks), -1), axis=1, bitorder="little")
-        row, entry = np.nonzero(bits)
-        apart = queries[row] - self.entries[entry]
-        square = (apart * apart).sum(axis=1)
-        cut = np.flatnonzero(np.diff(row, prepend=-1))
-        least = np.minimum.reduceat(square, cut)
-        hit = np.flatnonzero(square == least[row])
-        first = hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]
-        return entry[first], least
-
-    def nearest(self, queries: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        bits = bits[:, : len(self.entries)].astype(bool)
+        entry, least = np.zeros(len(queries), np.int64), np.zeros(len(queries), queries.dtype)
+        exact = queries.dtype != object and self.entries.dtype != object
+        top = max(int(np.abs(queries).max(initial=0)), int(np.abs(self.entries).max())) if exact else 0
+        many = bits.sum(axis=1) * 8 >= len(self.entries)
+        many &= exact and 8 * top * top * self.entries.shape[1] < 1 << 53
+        if many.any():
+            q, e = queries[many].astype(float), self.entries.astype(float)
+            apart = (q * q).sum(axis=1)[:, None] - 2.0 * (q @ e.T) + (e * e).sum(axis=1)
+            apart[~bits[many]] = np.inf
+            entry[many] = apart.argmin(axis=1)
+            least[many] = apart.min(axis=1)
+        few = np.flatnonzero(~many)
+        if len(few):
+            row, at = np.nonzero(bits[few])
+            apart = queries[few][row] - self.entries[at]
+            square = (apart * apart).sum(axis=1)
+            cut = np.flatnonzero(np.diff(row, prepend=-1))
+            low = np.minimum.reduceat(square, cut)
+            hit = np.flatnonzero(square == low[row])
+            entry[few] = at[hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]]
+            least[few] = low
+        return entry, least
+
+    def nearest(self, queries: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """(entry, squared distance) of each query's nearest entry, the lower index on ties."""
         found = [self._nearest(queries[i : i + block]) for i in range(0, len(queries), block)]
         if not found:
