@@ -161,6 +161,10 @@ def _catmull(t: str) -> list[str]:
     ]
 
 
+#: The taps are added as whole 1e-12ths, so their order doesn't matter.
+TAPS = "least(1e0, greatest(0e0, sum(CAST(floor({term} * 1e12 + 5e-1) AS BIGINT)) / 1e12))"
+
+
 def sample_bicubic(points: DataFrame, tones: DataFrame) -> DataFrame:
     """Catmull-Rom sample of tones (image_id, col, row, value) at points (image_id, point_id, u, v).
 
@@ -172,4 +176,4 @@ def sample_bicubic(points: DataFrame, tones: DataFrame) -> DataFrame:
     p = p.select("image_id", "point_id", "cols", "rows", "x0", "y0", wx.alias("wx"), wy.alias("wy"))
     p = p.select("*", F.posexplode("wx").alias("i", "a")).select("*", F.posexplode("wy").alias("j", "b"))
     p = p.withColumns({"col": F.expr("least(cols - 1, greatest(0, x0 + i - 1))"), "row": F.expr("least(rows - 1, greatest(0, y0 + j - 1))")})
-    return p.join(tones, ["image_id", "col", "row"]).groupBy("image_id", "point_id").agg(F.expr("least(1e0, greatest(0e0, sum(a * b * value)))").alias("value"))
+    return p.join(tones, ["image_id", "col", "row"]).groupBy("image_id", "point_id").agg(F.expr(TAPS.format(term="a * b * value")).alias("value"))

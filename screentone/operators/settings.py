@@ -75,18 +75,23 @@ def aspect_formulas(div: str) -> dict[str, str]:
 
 
 def normalize_canvas(docs: DataFrame) -> DataFrame:
-    """Canvas in the artwork's proportions and whether it changed; docs has out_w, out_h, src_w, src_h.
+    """Canvas in the artwork's proportions and whether anything changed; docs has out_w, out_h, src_w, src_h.
 
     Saved variants (shape_w, shape_h, curve_w, curve_h, where docs has them) are brought to the proportions
-    too; null ones stay null and don't count as a change.
+    too, and count for `changed`; null ones stay null and don't count.
     """
+    changed = F.lit(False)
     for v in ("shape", "curve"):
         if f"{v}_w" in docs.columns:
             given = docs.columns
             d = aspect_lock(docs.withColumn("requested", F.greatest(f"{v}_w", f"{v}_h")))
-            docs = d.select(*[F.when(F.col("requested").isNotNull(), F.col(f"lock_{c[-1]}")).alias(c) if c in (f"{v}_w", f"{v}_h") else F.col(c) for c in given])
+            moved = F.col("requested").isNotNull() & ~(F.col("lock_w").eqNullSafe(F.col(f"{v}_w")) & F.col("lock_h").eqNullSafe(F.col(f"{v}_h")))
+            d = d.withColumn(f"moved_{v}", moved)
+            docs = d.select(*[F.when(F.col("requested").isNotNull(), F.col(f"lock_{c[-1]}")).alias(c) if c in (f"{v}_w", f"{v}_h") else F.col(c) for c in given], f"moved_{v}")
+            changed = changed | F.col(f"moved_{v}")
     d = aspect_lock(docs.withColumn("requested", F.greatest("out_w", "out_h")))
-    return d.withColumn("changed", ~(F.col("lock_w").eqNullSafe(F.col("out_w")) & F.col("lock_h").eqNullSafe(F.col("out_h"))))
+    d = d.withColumn("changed", changed | ~(F.col("lock_w").eqNullSafe(F.col("out_w")) & F.col("lock_h").eqNullSafe(F.col("out_h"))))
+    return d.drop("moved_shape", "moved_curve")
 
 
 def to_crosshatch(shapes: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from screentone import fixtures as fx
 from screentone.functions import formulas as X
 from screentone.operators import marks, settings
 from screentone.plans import shape_queries as sq
-from screentone.sources import artwork
+from screentone.sources import artwork, documents
 from screentone.streaming import requests
 
 R, _sr = X.rounded, sq._sr
@@ -142,8 +142,11 @@ def b9_aspect_lock(spark, sf):
 _CANVAS = ["p_partkey AS image_id", "CAST(100 + p_size AS BIGINT) AS out_w", "CAST(90 + p_partkey % 60 AS BIGINT) AS out_h", "CAST(100 + p_size AS BIGINT) AS src_w", "CAST(90 + p_partkey % 30 AS BIGINT) AS src_h"]
 
 
+_SAVED = ["CASE WHEN p_size % 3 = 0 THEN CAST(100 + p_size AS BIGINT) END AS shape_w", "CASE WHEN p_size % 3 = 0 THEN CAST(90 + p_partkey % 30 AS BIGINT) END AS shape_h", "CASE WHEN p_size % 5 = 0 THEN CAST(200 + p_partkey % 7 AS BIGINT) END AS curve_w", "CASE WHEN p_size % 5 = 0 THEN CAST(180 + p_size AS BIGINT) END AS curve_h"]
+
+
 def b10_normalize_canvas(spark, sf):
-    return settings.normalize_canvas(_part(spark, sf, *_CANVAS)).select("image_id", "lock_w", "lock_h", "changed")
+    return settings.normalize_canvas(_part(spark, sf, *_CANVAS, *_SAVED)).select("image_id", "lock_w", "lock_h", "shape_w", "shape_h", "curve_w", "curve_h", "changed")
 
 
 def b11_to_crosshatch(spark, sf):
@@ -243,6 +246,61 @@ _DOCS = (
     "CAST(json_extract(content, '$.width') AS INT) AS width, json_extract_string(content, '$.surface') AS surface, json_extract_string(content, '$.outputMode') AS output_mode FROM documents_json"
 )
 _ASP = settings.aspect_formulas("//")
+
+
+def _canvas_sql() -> str:
+    def lock(w: str, h: str, side: str) -> str:
+        return _ASP[f"lock_{side}"].replace("requested", f"greatest({w}, {h})")
+
+    pairs = {"lock": ("out_w", "out_h"), "shape": ("shape_w", "shape_h"), "curve": ("curve_w", "curve_h")}
+    new = {f"{k}_{v}": f"CASE WHEN {w} IS NOT NULL THEN {lock(w, h, v)} END" for k, (w, h) in pairs.items() for v in "wh"}
+    changed = " OR ".join(f"({w} IS NOT NULL AND ({new[f'{k}_w']} <> {w} OR {new[f'{k}_h']} <> {h}))" for k, (w, h) in pairs.items())
+    return f"SELECT image_id, {', '.join(f'{v} AS {k}' for k, v in new.items())}, {changed} AS changed FROM (SELECT {', '.join(_CANVAS + _SAVED)} FROM part)"
+
+
+# documents of all versions and variants from orders; what must come of each follows from its key
+_DOC_KEY = "CAST(o_orderkey AS BIGINT)"
+_DOC_JSON = (
+    "CASE WHEN k % 23 = 0 THEN '{broken' ELSE concat('{\"format\":\"', CASE WHEN k % 17 = 0 THEN 'other' ELSE 'halftone-document' END, '\",\"version\":', CAST(1 + k % 6 AS STRING), ',\"document_id\":\"d', CAST(k AS STRING), '\",\"source\":{\"name\":\"a\",\"media_type\":\"image/png\",\"bytes\":\"', "
+    "CASE WHEN k % 29 = 0 THEN '' ELSE base64(unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(16 * (1 + k % 5)), 8, '0'), '00000009'))) END, '\"},\"settings\":{\"treatment\":\"dots\",\"detail\":', CAST(k % 130 AS STRING), ',\"coverage\":50,\"contrast\":100,\"angle\":0},\"output_mode\":\"', "
+    "CASE WHEN k % 2 = 0 THEN 'rgb-screen' ELSE 'cmyk-inks' END, '\",\"render\":', CASE k % 18 - k % 6 WHEN 0 THEN '{\"variant\":\"native-basic-v1\"}' WHEN 6 THEN concat('{\"variant\":\"web-shape-v1\",\"settings\":{\"output_width\":', CAST(100 + k % 900 AS STRING), ',\"output_height\":', CAST(100 + k % 700 AS STRING), ',\"value_mode\":\"', "
+    "CASE WHEN k % 5 = 0 THEN 'crosshatch-luminance' ELSE 'luminance' END, '\",\"channels\":{\"c\":{},\"m\":{\"color\":\"', CASE WHEN k % 13 = 0 THEN '#12345' ELSE '#123456' END, '\"},\"y\":{},\"k\":{}}}}') ELSE concat('{\"variant\":\"web-curve-v1\",\"settings\":{\"long_edge_cells\":', CAST(k % 12000 AS STRING), '}}') END, "
+    "CASE WHEN k % 4 = 0 THEN ',\"saved_web_shape\":{\"output_width\":800,\"output_height\":800}' ELSE '' END, '}') END"
+)
+
+
+def a18_document_union(spark, sf):
+    texts = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(f"{_DOC_KEY} AS k").selectExpr("k AS text_id", f"{_DOC_JSON} AS content")
+    d = documents.parse_documents(texts)
+    settled = {"variant": "variant", "out_w": "coalesce(shape.output_width, curve.output_width)", "out_h": "coalesce(shape.output_height, curve.output_height)", "saved_h": "saved_shape.output_height", "detail": "settings.detail", "mode": "output_mode", "magenta": "coalesce(element_at(shape.channels, 'm').color, element_at(curve.channels, 'm').color)"}
+    ok = {n: F.expr(f"CASE WHEN reason IS NULL THEN {e} END").alias(n) for n, e in settled.items()}
+    return d.select("text_id", "reason", *ok.values(), *[F.expr(f"reason IS NULL AND {c}").alias(c) for c in ("canvas_aspect", "crosshatch_treatment", "filled_appearance", "filled_output_mode")])
+
+
+def _document_sql() -> str:
+    w, h = "CASE variant WHEN 'shape' THEN 100 + k % 900 ELSE 900 END", "CASE variant WHEN 'shape' THEN 100 + k % 700 ELSE 620 END"
+    fit = "greatest(1, (longest * 9 + sw // 2) // sw)"
+    saved_fit = "greatest(1, (800 * 9 + sw // 2) // sw)"
+    reason = (
+        "CASE WHEN k % 23 = 0 THEN 'unreadable' WHEN k % 17 = 0 THEN 'not a halftone-document' WHEN version = 6 THEN 'unsupported document version 6' "
+        "WHEN k % 29 = 0 THEN 'document has no source artwork' "
+        "WHEN variant = 'shape' AND NOT crossed AND k % 13 = 0 AND cmyk THEN 'invalid Magenta ink color' "
+        "WHEN variant = 'shape' AND crossed AND k % 13 = 0 AND cmyk THEN 'Magenta curve channel value is outside the supported range' "
+        "WHEN variant = 'curve' AND (k % 12000 < 2 OR k % 12000 > 10000) THEN 'web curve global setting is outside the supported range' END"
+    )
+    magenta = "CASE variant WHEN 'shape' THEN CASE WHEN k % 13 = 0 THEN '#12345' ELSE '#123456' END WHEN 'curve' THEN '#ec008c' END"
+    name = "CASE WHEN variant = 'native' THEN 'native-basic-v1' WHEN variant = 'shape' AND NOT crossed THEN 'web-shape-v1' ELSE 'web-curve-v1' END"
+    sized = f"((variant <> 'native' AND (ow <> longest OR oh <> {fit})) OR (saved AND {saved_fit} <> 800))"
+    flags = {"canvas_aspect": sized, "crosshatch_treatment": "crossed", "filled_appearance": "version < 4", "filled_output_mode": "version < 5"}
+    out = {"variant": name, "out_w": "CASE WHEN variant <> 'native' THEN longest END", "out_h": f"CASE WHEN variant <> 'native' THEN {fit} END", "saved_h": f"CASE WHEN saved THEN {saved_fit} END", "detail": "least(100e0, CAST(k % 130 AS DOUBLE))", "mode": "CASE WHEN cmyk THEN 'cmyk-inks' ELSE 'rgb-screen' END", "magenta": magenta}
+    return (
+        "WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 1 + k % 6 AS version, 16 * (1 + k % 5) AS sw FROM orders), "
+        "v AS (SELECT *, CASE WHEN version < 2 OR k % 18 - k % 6 = 0 THEN 'native' WHEN k % 18 - k % 6 = 6 THEN 'shape' ELSE 'curve' END AS variant, version < 5 OR k % 2 = 1 AS cmyk, version >= 3 AND k % 4 = 0 AS saved FROM o), "
+        f"s AS (SELECT *, variant = 'shape' AND k % 5 = 0 AS crossed, {w} AS ow, {h} AS oh FROM v), l AS (SELECT *, greatest(ow, oh) AS longest FROM s), r AS (SELECT *, {reason} AS reason FROM l) "
+        f"SELECT k AS text_id, reason, {', '.join(f'CASE WHEN reason IS NULL THEN {e} END AS {n}' for n, e in out.items())}, {', '.join(f'(reason IS NULL AND {e}) AS {n}' for n, e in flags.items())} FROM r"
+    )
+
+
 _ISL = "PARTITION BY document_id ORDER BY ts, generation"
 
 SQL = {
@@ -275,7 +333,8 @@ SQL = {
     ),
     "b8_sanitize_settings": f"SELECT preset_id, {', '.join(f'coalesce(least({hi}e0, greatest({lo}e0, CASE WHEN {k} IS NOT NULL THEN {k} END)), {d}e0) AS {k}' if k != 'detail' else f'CASE WHEN detail IS NULL THEN {d}e0 ELSE least({hi}e0, greatest({lo}e0, detail)) END AS detail' for k, (d, lo, hi) in settings.NATIVE.items())} FROM (SELECT {', '.join(_NATIVE)} FROM part)",
     "b9_aspect_lock": f"SELECT image_id, {', '.join(f'{v} AS {k}' for k, v in _ASP.items())} FROM (SELECT {', '.join(_ASPECT)} FROM part)",
-    "b10_normalize_canvas": f"SELECT image_id, lock_w, lock_h, NOT (lock_w = out_w AND lock_h = out_h) AS changed FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _ASP.items())} FROM (SELECT *, greatest(out_w, out_h) AS requested FROM (SELECT {', '.join(_CANVAS)} FROM part)))",
+    "a18_document_union": _document_sql(),
+    "b10_normalize_canvas": _canvas_sql(),
     "b11_to_crosshatch": fx.with_sql("channels", "SELECT p_partkey AS preset_id, channel, CASE channel WHEN 'k' THEN 45e0 WHEN 'c' THEN -45e0 WHEN 'm' THEN 0e0 ELSE 90e0 END AS grid_rotation, true AS enabled, color, scale, threshold, max_size, resolution_scale, offset_x, offset_y, opacity FROM part, channels WHERE p_partkey % 3 = 0"),
     "b12_migrate_documents": fx.with_sql(
         "documents_json",

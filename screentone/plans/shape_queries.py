@@ -177,7 +177,7 @@ def c12_sample_bicubic(spark, sf):
 _wx, _wy = grid._catmull("tx"), grid._catmull("ty")
 C12_SQL = fx.with_sql(
     "pixels",
-    f"SELECT p.image_id, p.point_id, {R('least(1e0, greatest(0e0, sum(p.wx[i.i + 1] * p.wy[j.j + 1] * t.value)))')} AS value FROM pw p, (SELECT unnest(range(4)) AS i) i, (SELECT unnest(range(4)) AS j) j, tones t "
+    f"SELECT p.image_id, p.point_id, {R(grid.TAPS.format(term='p.wx[i.i + 1] * p.wy[j.j + 1] * t.value'))} AS value FROM pw p, (SELECT unnest(range(4)) AS i) i, (SELECT unnest(range(4)) AS j) j, tones t "
     "WHERE t.image_id = p.image_id AND t.x = least(7, greatest(0, x0 + i.i - 1)) AND t.y = least(7, greatest(0, y0 + j.j - 1)) GROUP BY 1, 2",
     tones=f"SELECT image_id, x, y, {X.darkness()} AS value FROM pixels",
     pts="SELECT image_id, x + 10 * y AS point_id, x * 11e-1 + 3e-1 AS u, y * 9e-1 + 7e-1 AS v FROM pixels",
