@@ -222,13 +222,15 @@ class Family:
         opens = F.when((F.col("place") == 1) & ~later, 1).otherwise(0)
         rows = rows.withColumn("runs", F.sum(opens).over(gram)).withColumn("fresh", F.sum(opens * F.col("new")).over(gram))
         same = (F.col("first.new") == 1) & (F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))
-        rows = rows.select(
-            *("h", "whole", "slot", "key"),
-            *self._windows(),
-            (later | ((F.col("new") == 1) & ~same)).alias("match"),
-            ((F.col("new") == 1) & (F.col("place") == 1) & ~later).alias("opens"),
-            ((F.col("place") == 1) & ~later & (F.col("runs") > 1) & (F.col("fresh") > 0)).alias("mixed"),
-        )
+        kinds = {
+            "match": later | ((F.col("new") == 1) & ~same),
+            "opens": (F.col("new") == 1) & (F.col("place") == 1) & ~later,
+            "mixed": (F.col("place") == 1) & ~later & (F.col("runs") > 1) & (F.col("fresh") > 0),
+        }
+        rows = rows.withColumns(kinds | dict(zip("se", self._windows())))
+        # each row keeps what its kind is asked for
+        kept = [F.when(F.col("match"), F.col(c)).alias(c) for c in ("key", "s", "e")] + [F.when(F.col("opens"), F.col(c)).alias(c) for c in ("h", "whole")]
+        rows = rows.select(*kept, F.when(F.col("opens") | F.col("mixed"), F.col("slot")).alias("slot"), *kinds)
         scanned = stored(rows.filter("match OR opens OR mixed"), "suffix-scan")
         self.scans.append(scanned)
         level = scanned.filter("opens").select("h", "whole", "slot")
@@ -254,7 +256,7 @@ class Family:
         place = F.shiftright("at", 2 * REACH)
         before = F.shiftright("at", REACH).bitwiseAND(F.lit((1 << REACH) - 1))
         after = F.col("at").bitwiseAND(F.lit((1 << REACH) - 1))
-        return [(place - before).alias("s"), (place - after).alias("e")]
+        return [place - before, place - after]
 
 
 def bitmap(slots: DataFrame, least_bits: int = 20, most_bits: int = 29) -> tuple[np.ndarray, int]:
