@@ -32,19 +32,21 @@ def _length(dx: str, dy: str) -> str:
     return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 
 
-def path_segments(paths: DataFrame) -> DataFrame:
-    """Cubic segments of path texts: path_id, seg, x0, y0, c1x, c1y, c2x, c2y, x1, y1.
-
-    All of M L H V C S Q T Z, absolute or relative, with repeated arguments. Lines and quadratics are
-    raised to cubics; Z draws a line to the start of its subpath. Missing numbers give null
-    coordinates; null and empty texts have no segments. The fold holds one path.
-    """
+def path_commands(text: str) -> str:
+    """The commands of a path text with their numbers, as SQL: an array of struct(op, n)."""
     number = NUMBER.replace(chr(92), chr(92) * 2)
-    d = paths.select("path_id", F.expr(f"transform(regexp_extract_all(d, '{TOKEN}'), t -> struct(substring(t, 1, 1) AS op, transform(regexp_extract_all(t, '{number}'), n -> CAST(n AS DOUBLE)) AS n))").alias("c"))
-    count = "CASE upper(c.op) WHEN 'C' THEN 6 WHEN 'S' THEN 4 WHEN 'Q' THEN 4 WHEN 'H' THEN 1 WHEN 'V' THEN 1 WHEN 'Z' THEN 0 ELSE 2 END"
-    times = f"greatest(1, CAST(size(c.n) div greatest(1, {count}) AS INT))"
-    again = f"transform(sequence(0, {times} - 1), j -> struct(CASE WHEN j > 0 AND c.op = 'M' THEN 'L' WHEN j > 0 AND c.op = 'm' THEN 'l' ELSE c.op END AS op, slice(c.n, j * ({count}) + 1, {count}) AS n))"
-    d = d.select("path_id", F.expr(f"flatten(transform(c, c -> {again}))").alias("c"))
+    return f"transform(regexp_extract_all({text}, '{TOKEN}'), t -> struct(substring(t, 1, 1) AS op, transform(regexp_extract_all(t, '{number}'), n -> CAST(n AS DOUBLE)) AS n))"
+
+
+#: How many numbers one use of command c takes.
+ARGUMENTS = "CASE upper(c.op) WHEN 'C' THEN 6 WHEN 'S' THEN 4 WHEN 'Q' THEN 4 WHEN 'H' THEN 1 WHEN 'V' THEN 1 WHEN 'Z' THEN 0 ELSE 2 END"
+
+
+def segment_array(text: str) -> str:
+    """The cubic segments of a path text as an array of struct(x0 .. y1), as SQL."""
+    times = f"greatest(1, CAST(size(c.n) div greatest(1, {ARGUMENTS}) AS INT))"
+    again = f"transform(sequence(0, {times} - 1), j -> struct(CASE WHEN j > 0 AND c.op = 'M' THEN 'L' WHEN j > 0 AND c.op = 'm' THEN 'l' ELSE c.op END AS op, slice(c.n, j * ({ARGUMENTS}) + 1, {ARGUMENTS}) AS n))"
+    single = f"flatten(transform({path_commands(text)}, c -> {again}))"
 
     at = {"x": 0, "y": 1}
     base = {v: f"(CASE WHEN c.op = upper(c.op) THEN 0e0 ELSE coalesce(s.{v}, 0e0) END)" for v in "xy"}
@@ -62,7 +64,18 @@ def path_segments(paths: DataFrame) -> DataFrame:
     cols = ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1")
     none = ", ".join(f"CAST(NULL AS DOUBLE) AS {k}" for k in ("x", "y", "mx", "my", "qx", "qy"))
     start = f"struct({none}, '' AS was, CAST(array() AS ARRAY<STRUCT<{', '.join(f'{c}: DOUBLE' for c in cols)}>>) AS out)"
-    out = d.select("path_id", F.posexplode(F.expr(f"aggregate(c, {start}, (s, c) -> {step}).out")).alias("seg", "v"))
+    return f"aggregate({single}, {start}, (s, c) -> {step}).out"
+
+
+def path_segments(paths: DataFrame) -> DataFrame:
+    """Cubic segments of path texts: path_id, seg, x0, y0, c1x, c1y, c2x, c2y, x1, y1.
+
+    All of M L H V C S Q T Z, absolute or relative, with repeated arguments. Lines and quadratics are
+    raised to cubics; Z draws a line to the start of its subpath. Missing numbers give null
+    coordinates; null and empty texts have no segments. The fold holds one path.
+    """
+    cols = ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1")
+    out = paths.select("path_id", F.posexplode(F.expr(segment_array("d"))).alias("seg", "v"))
     return out.select("path_id", (F.col("seg") + 1).cast("long").alias("seg"), *[f"v.{c}" for c in cols])
 
 

@@ -8,7 +8,7 @@ from screentone import fixtures as fx
 from screentone.functions import formulas as X
 from screentone.operators import marks, settings
 from screentone.plans import shape_queries as sq
-from screentone.sources import artwork, documents
+from screentone.sources import artwork, documents, presets
 from screentone.streaming import requests
 
 R, _sr = X.rounded, sq._sr
@@ -301,6 +301,69 @@ def _document_sql() -> str:
     )
 
 
+# presets of both versions from parts; what must come of each follows from its key
+_PRESET_TEXT = (
+    "CASE WHEN k % 31 = 0 THEN '{broken' WHEN k % 6 = 0 THEN concat('{\"format\":\"halftone-preset\",\"version\":2,\"name\":\"p\",\"settings\":{\"treatment\":\"lines\",\"detail\":', CAST(k % 130 AS STRING), ',\"coverage\":50,\"contrast\":100,\"angle\":0},\"render\":{\"variant\":\"native-basic-v1\"}}') "
+    "ELSE concat('{\"format\":\"', CASE WHEN k % 29 = 0 THEN 'other' ELSE 'halftone-preset' END, '\",\"version\":', CASE WHEN k % 23 = 0 THEN '3' ELSE '1' END, ',\"name\":\"p', CAST(k AS STRING), '\",\"settings\":{\"markMode\":\"', CASE WHEN k % 6 >= 4 THEN 'curve' ELSE 'shape' END, "
+    "'\",\"outputWidth\":', CAST(20 + k % 900 AS STRING), ',\"minMark\":', CAST(size AS STRING), ',\"maxMark\":', CAST(10 + k % 90 AS STRING), ',\"valueMode\":\"luminance\"', CASE k % 6 WHEN 2 THEN concat(',\"sharedPath\":\"M 0 0 L 1 0 L 0 1', CASE WHEN k % 4 = 0 THEN '' ELSE ' Z' END, '\"') "
+    "WHEN 5 THEN concat(',\"sharedPreset\":\"', CASE WHEN k % 4 = 1 THEN 'zig' ELSE 'wave' END, '\"') ELSE '' END, '},\"cmykDeltas\":{\"scaleMultiplier\":1.5,\"thresholdDelta\":', CAST(k % 7 AS STRING), ',\"tileCountDelta\":', CAST(k % 5 - 3 AS STRING), '},\"channels\":{\"c\":{\"scale\":', CAST(k % 12 * 5e-1 AS STRING), "
+    "',\"threshold\":', CAST(k % 40 AS STRING), '},\"m\":{},\"y\":{},\"k\":{\"opacity\":', CAST(k % 130 AS STRING), '}}}') END"
+)
+
+
+def _presets(spark, sf):
+    texts = _part(spark, sf, "CAST(p_partkey AS BIGINT) AS k", "p_size AS size").selectExpr("k AS preset_id", f"{_PRESET_TEXT} AS content", "16 * (1 + k % 5) AS src_w", "9 AS src_h")
+    return presets.parse_presets(texts)
+
+
+def a19_preset_union(spark, sf):
+    """Presets of versions 1 and 2 with their deltas laid on, and why others are refused."""
+    of = lambda k, f: f"coalesce(element_at(shape.channels, '{k}').{f}, element_at(curve.channels, '{k}').{f})"
+    out = {"variant": "variant", "out_w": "coalesce(shape.output_width, curve.output_width)", "out_h": "coalesce(shape.output_height, curve.output_height)", "form": "coalesce(shape.shared_shape, concat('segments-', CAST(size(curve.shared_path.segments) AS STRING)))"}
+    out |= {"cyan_scale": of("c", "scale"), "cyan_threshold": of("c", "threshold"), "black_opacity": of("k", "opacity"), "tiles": "CAST(element_at(curve.channels, 'y').tile_count AS BIGINT)", "detail": "native.detail"}
+    return _presets(spark, sf).select("preset_id", "reason", *[F.expr(f"CASE WHEN reason IS NULL THEN {e} END").alias(n) for n, e in out.items()], F.expr("reason IS NULL AND canvas_aspect").alias("canvas_aspect"))
+
+
+def a20_presets_again(spark, sf):
+    """The inks of presets that were written with the values in force and read again: no delta is laid on twice.
+
+    Values that the deltas took out of an ink's own range are refused on the second reading.
+    """
+    again = presets.parse_presets(presets.preset_json(_presets(spark, sf), with_render=False)).filter("reason IS NULL AND variant <> 'native-basic-v1'")
+    cols = ["scale", "threshold", "opacity"]
+    inks = {kind: again.filter(f"{kind} IS NOT NULL").select("preset_id", F.explode(f"{kind}.channels").alias("channel", "v")).select("preset_id", "channel", *[f"v.{c}" for c in cols]) for kind in ("shape", "curve")}
+    return inks["shape"].unionByName(inks["curve"]).filter("channel IN ('c', 'm', 'y', 'k')")
+
+
+def _preset_rows() -> str:
+    """Common tables: r has every part's key, kind, size and reason."""
+    reason = (
+        "CASE WHEN k % 31 = 0 THEN 'unreadable' WHEN kind = 'native' THEN NULL WHEN k % 29 = 0 THEN 'not a halftone-preset' WHEN k % 23 = 0 THEN 'Unsupported treatment preset version 3' "
+        "WHEN k % 6 = 2 AND k % 4 = 0 THEN 'Preset custom shape must be closed' WHEN ow < 32 AND kind = 'curve' THEN 'Preset curve artboard is outside the supported range' WHEN ow < 32 THEN 'Preset output width is outside the supported range' "
+        "WHEN k % 6 = 5 AND k % 4 = 1 THEN 'This preset uses unknown curve profile ''zig''. Nothing was changed.' WHEN k % 12 = 11 THEN 'Preset coverage is outside the supported range' "
+        "WHEN k % 130 > 100 THEN 'Preset opacity is outside the supported range' WHEN p_size > 10 + k % 90 THEN 'Preset mark range is invalid' WHEN kind = 'curve' AND k % 5 < 2 THEN 'Preset column count is outside the supported range' END"
+    )
+    share = lambda v: f"CASE WHEN {v} > 1 THEN {v} / 1e2 ELSE CAST({v} AS DOUBLE) END"
+    laid = lambda base: f"least(1e0, greatest(0e0, {base} + CAST(k % 7 AS DOUBLE) / 1e2))"
+    return (
+        "WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_size, 20 + k % 900 AS ow, 16 * (1 + k % 5) AS sw, CASE WHEN k % 6 = 0 THEN 'native' WHEN k % 6 < 4 THEN 'shape' ELSE 'curve' END AS kind FROM part), "
+        f"r AS (SELECT *, {reason} AS reason, {laid(share('(k % 40)'))} AS cyan_threshold, {laid('4e-2')} AS threshold, CAST(k % 12 AS DOUBLE) * 5e-1 * 15e-1 AS cyan_scale, {share('(k % 130)')} AS black_opacity FROM p)"
+    )
+
+
+def _preset_sql() -> str:
+    made = "kind <> 'native'"
+    out = {"variant": "CASE kind WHEN 'native' THEN 'native-basic-v1' WHEN 'shape' THEN 'web-shape-v1' ELSE 'web-curve-v1' END", "out_w": f"CASE WHEN {made} THEN ow END", "out_h": f"CASE WHEN {made} THEN greatest(1, (ow * 9 + sw // 2) // sw) END"}
+    out |= {"form": "CASE WHEN k % 6 = 2 THEN 'userdefined' WHEN kind = 'shape' THEN 'circle' WHEN k % 6 = 5 THEN 'segments-2' WHEN kind = 'curve' THEN 'segments-1' END", "tiles": "CASE WHEN kind = 'curve' THEN k % 5 - 1 END", "detail": "CASE WHEN kind = 'native' THEN least(1e2, CAST(k % 130 AS DOUBLE)) END"}
+    out |= {c: f"CASE WHEN {made} THEN {c} END" for c in ("cyan_scale", "cyan_threshold", "black_opacity")}
+    return f"{_preset_rows()} SELECT k AS preset_id, reason, {', '.join(f'CASE WHEN reason IS NULL THEN {e} END AS {n}' for n, e in out.items())}, reason IS NULL AND {made} AS canvas_aspect FROM r"
+
+
+def _again_sql() -> str:
+    inks = "(VALUES ('c'), ('m'), ('y'), ('k')) AS i(channel)"
+    return f"{_preset_rows()} SELECT k AS preset_id, channel, CASE WHEN channel = 'c' THEN cyan_scale ELSE 15e-1 END AS scale, CASE WHEN channel = 'c' THEN cyan_threshold ELSE threshold END AS threshold, CASE WHEN channel = 'k' THEN black_opacity ELSE 92e-2 END AS opacity FROM r, {inks} WHERE reason IS NULL AND kind <> 'native' AND cyan_scale <= 5"
+
+
 _ISL = "PARTITION BY document_id ORDER BY ts, generation"
 
 SQL = {
@@ -334,6 +397,8 @@ SQL = {
     "b8_sanitize_settings": f"SELECT preset_id, {', '.join(f'coalesce(least({hi}e0, greatest({lo}e0, CASE WHEN {k} IS NOT NULL THEN {k} END)), {d}e0) AS {k}' if k != 'detail' else f'CASE WHEN detail IS NULL THEN {d}e0 ELSE least({hi}e0, greatest({lo}e0, detail)) END AS detail' for k, (d, lo, hi) in settings.NATIVE.items())} FROM (SELECT {', '.join(_NATIVE)} FROM part)",
     "b9_aspect_lock": f"SELECT image_id, {', '.join(f'{v} AS {k}' for k, v in _ASP.items())} FROM (SELECT {', '.join(_ASPECT)} FROM part)",
     "a18_document_union": _document_sql(),
+    "a19_preset_union": _preset_sql(),
+    "a20_presets_again": _again_sql(),
     "b10_normalize_canvas": _canvas_sql(),
     "b11_to_crosshatch": fx.with_sql("channels", "SELECT p_partkey AS preset_id, channel, CASE channel WHEN 'k' THEN 45e0 WHEN 'c' THEN -45e0 WHEN 'm' THEN 0e0 ELSE 90e0 END AS grid_rotation, true AS enabled, color, scale, threshold, max_size, resolution_scale, offset_x, offset_y, opacity FROM part, channels WHERE p_partkey % 3 = 0"),
     "b12_migrate_documents": fx.with_sql(
