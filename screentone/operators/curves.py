@@ -155,15 +155,17 @@ def bounds(points: DataFrame) -> DataFrame:
 def resample(points: DataFrame, n: int) -> DataFrame:
     """n points at equal distances along each polyline: poly_id, k, x, y.
 
-    Targets meet the one step that holds them by an interval join with an equi-key on the polyline.
+    Steps and targets are merged by their distance from the start: a target takes the first step that ends at or
+    beyond it, which one running `last` from the far end finds. One shuffle by polyline, and no step meets a target it doesn't hold.
     """
-    p = points.withColumns({"px": F.lag("x").over(_by()), "py": F.lag("y").over(_by())})
+    p = points.withColumns({"px": F.lag("x").over(_by()), "py": F.lag("y").over(_by()), "ended": F.lead("seq").over(_by()).isNull()})
     p = p.withColumn("step", F.coalesce(F.expr(_length("x - px", "y - py")), F.lit(0.0))).withColumn("cum", F.sum("step").over(_upto()))
-    total = p.groupBy("poly_id").agg(F.max("cum").alias("total"))
-    k = total.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("poly_id").alias("pid"), "k", F.expr(f"CASE WHEN k = {n - 1} THEN total ELSE total * k / {n - 1}e0 END").alias("target"))
-    s = p.withColumn("lo", F.coalesce(F.lag("cum").over(_by()), F.lit(0.0))).filter("px IS NOT NULL")
-    at = (F.col("poly_id") == F.col("pid")) & (((F.col("target") > F.col("lo")) & (F.col("target") <= F.col("cum"))) | ((F.col("target") == 0) & (F.col("seq") == 2)))
-    hit = s.join(k, at)
+    p = p.withColumn("lo", F.coalesce(F.lag("cum").over(_by()), F.lit(0.0)))
+    step = "named_struct('pos', cum, 'k', CAST(NULL AS INT), 'at', seq, 's', named_struct('px', px, 'py', py, 'x', x, 'y', y, 'lo', lo, 'step', step))"
+    target = f"named_struct('pos', CASE WHEN k = {n - 1} THEN cum ELSE cum * k / {n - 1}e0 END, 'k', k, 'at', NULL, 's', NULL)"
+    rows = p.select("poly_id", F.expr(f"inline(concat(IF(px IS NULL, array(), array({step})), IF(ended, transform(sequence(0, {n - 1}), k -> {target}), array())))"))
+    far = Window.partitionBy("poly_id").orderBy(F.desc("pos"), F.asc_nulls_first("k"), F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = rows.withColumn("s", F.last("s", ignorenulls=True).over(far)).filter("k IS NOT NULL AND s IS NOT NULL").select("poly_id", "k", F.col("pos").alias("target"), "s.*")
     f = "((target - lo) / greatest(step, 1e-12))"
     return hit.select("poly_id", "k", F.expr(f"px + (x - px) * {f}").alias("x"), F.expr(f"py + (y - py) * {f}").alias("y"))
 

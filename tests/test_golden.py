@@ -227,3 +227,23 @@ def test_render_modes(spark):
     assert r[0]["lo"] < 30 and r[1]["hi"] == 255 and (r[2]["lo"], r[2]["hi"]) == (255, 255)
     with pytest.raises(ValueError):
         raster.render_documents(docs, p, layers, 9000, 9000)
+
+
+def test_resample_merges_steps_and_targets(spark):
+    rng = __import__("random").Random(5)
+    given = {i: [(rng.randint(0, 3), rng.randint(0, 3)) for _ in range(n)] for i, n in enumerate([2, 3, 9, 40])} | {7: [(1, 1)], 8: [(2, 5), (2, 5), (2, 5)], 9: [(0, 0), (0, 0), (3, 4), (3, 4)]}
+    d = spark.createDataFrame([(i, j + 1, float(x), float(y)) for i, pts in given.items() for j, (x, y) in enumerate(pts)], "poly_id int, seq long, x double, y double")
+    out = curves.resample(d, 11)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.poly_id, r.k): (r.x, r.y) for r in out.collect()}
+    assert {i for i, _ in got} == set(given) - {7} and len(got) == 11 * (len(given) - 1)
+    for i, pts in given.items():
+        ends = [0.0]
+        for (ax, ay), (bx, by) in zip(pts, pts[1:]):
+            ends.append(ends[-1] + ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5)
+        for k in range(11) if len(pts) > 1 else ():
+            t = ends[-1] * k / 10 if k < 10 else ends[-1]
+            j = next(j for j in range(1, len(pts)) if ends[j] >= t)
+            f = (t - ends[j - 1]) / max(ends[j] - ends[j - 1], 1e-12)
+            assert got[i, k] == pytest.approx(tuple(a + (b - a) * f for a, b in zip(pts[j - 1], pts[j])))
