@@ -6,7 +6,9 @@ dropped, as Spark does; nothing here reads the wall clock.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,58 @@ def coalesce_edits(requests: DataFrame, gap: str) -> DataFrame:
     return g.filter("n = 1 OR before <> after")
 
 
+PENDING = "waiting_at array<long>, waiting_generation array<long>, waiting_key array<string>, waiting_value array<double>"
+GESTURE_STATE = f"{PENDING}, gestures long, setting_key string, before double, after double, n long, last_at long"
+GESTURES = "document_id long, gesture long, setting_key string, before double, after double, n long"
+
+
 def coalesce_edits_stream(requests: DataFrame, gap: str, watermark: str) -> DataFrame:
-    """The streaming form: one session per document and key (a change of key doesn't end another key's session)."""
-    at = F.struct("ts", "generation")
-    s = requests.withWatermark("ts", watermark).groupBy("document_id", "setting_key", F.session_window("ts", gap).alias("w"))
-    return s.agg(F.min_by("value", at).alias("before"), F.max_by("value", at).alias("after"), F.count("*").alias("n")).filter("n = 1 OR before <> after").drop("w")
+    """The streaming form of coalesce_edits, with the same rows: a gesture ends by a change of key or a gap; append mode.
+
+    Requests may come out of order within the watermark: each document keeps those that the watermark hasn't passed, and
+    one open gesture. What is final is folded in order; a gesture is emitted when a later request has ended it or the watermark is a gap beyond it.
+    """
+    quiet = int(pd.Timedelta(gap.lower()).total_seconds() * 1_000_000)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting, gestures, edit = [], 0, None
+        if state.exists:
+            *columns, gestures, name, before, after, n, last = state.get
+            waiting = list(zip(*(c or [] for c in columns)))
+            edit = [name, before, after, n, last] if n else None
+        for part in batches:
+            value = [None if missing else v for v, missing in zip(part["value"], part["value"].isna())]
+            waiting += zip(part["at"], part["generation"], part["setting_key"], value)
+        now = state.getCurrentWatermarkMs() * 1000
+        done = []
+
+        def close() -> None:
+            name, before, after, n, _ = edit
+            if n == 1 or (before is not None and after is not None and before != after):
+                done.append((key[0], gestures, name, before, after, n))
+
+        waiting.sort(key=lambda r: r[:2])
+        final = sum(r[0] <= now for r in waiting)
+        for at, _, name, value in waiting[:final]:
+            if edit and edit[0] == name and at < edit[4] + quiet:
+                edit[2:] = value, edit[3] + 1, at
+                continue
+            if edit:
+                close()
+            edit, gestures = [name, value, value, 1, at], gestures + 1
+        waiting = waiting[final:]
+        if edit and edit[4] + quiet <= now:
+            close()
+            edit = None
+        columns = [[kind(r[i]) if r[i] is not None else None for r in waiting] for i, kind in enumerate((int, int, str, float))]
+        state.update((*columns, gestures, *(edit or [None, None, None, 0, None])))
+        wake = ([waiting[0][0]] if waiting else []) + ([edit[4] + quiet] if edit else [])
+        if wake:
+            state.setTimeoutTimestamp(max(int(now // 1000) + 1, int(-(-min(wake) // 1000))))
+        yield pd.DataFrame(done, columns=[f.split()[0] for f in GESTURES.split(", ")])
+
+    r = requests.withWatermark("ts", watermark).select("document_id", "generation", "setting_key", "value", "ts", F.unix_micros("ts").alias("at"))
+    return r.groupBy("document_id").applyInPandasWithState(fold, GESTURES, GESTURE_STATE, "append", "EventTimeTimeout")
 
 
 def drop_stale(results: DataFrame, current: DataFrame, view: list[str] | None = None) -> DataFrame:
