@@ -132,21 +132,45 @@ def read_presets(spark: SparkSession, path: str, fmt: str = "halftone-preset") -
     return parse_presets(texts, fmt)
 
 
-EDITOR_SCHEMA = "document struct<paths: array<struct<id: string, closed: boolean, nodes: array<struct<position: struct<x: double, y: double>, handleIn: struct<x: double, y: double>, handleOut: struct<x: double, y: double>>>>>>"
+_NODE = "struct<position: struct<x: double, y: double>, handleIn: struct<x: double, y: double>, handleOut: struct<x: double, y: double>, pairConstraint: string, handleInBehavior: string, handleOutBehavior: string>"
+_PATHS = f"paths: array<struct<id: string, closed: boolean, nodes: array<{_NODE}>>>"
+EDITOR_SCHEMA = f"struct<document: struct<{_PATHS}>, {_PATHS}>"
+
+
+def _settled_node(n: str) -> str:
+    """A node whose handles obey its pair constraint, as SQL: one direction (the outgoing one's), lengths kept or, if symmetrical, shared."""
+    x = {f"{h}{v}": f"coalesce({n}.handle{h}.{v}, 0D)" for h in ("In", "Out") for v in "xy"}
+    li, lo = (f"sqrt({x[h + 'x']} * {x[h + 'x']} + {x[h + 'y']} * {x[h + 'y']})" for h in ("In", "Out"))
+    shared = f"if({li} > 0D AND {lo} > 0D, ({li} + {lo}) / 2D, greatest({li}, {lo}))"
+    toward = {v: f"CASE WHEN {lo} > 0D THEN {x['Out' + v]} / {lo} WHEN {li} > 0D THEN -{x['In' + v]} / {li} ELSE 0D END" for v in "xy"}
+
+    def handle(h: str, own: str, sign: str) -> str:
+        size = f"if({n}.pairConstraint = 'symmetrical', {shared}, {own})"
+        return ", ".join(f"'{v}', CASE WHEN {n}.pairConstraint IN ('smooth', 'symmetrical') THEN {sign}({toward[v]}) * {size} ELSE {x[h + v]} END" for v in "xy")
+
+    place = ", ".join(f"'{v}', coalesce({n}.position.{v}, 0D)" for v in "xy")
+    return f"named_struct('at', named_struct({place}), 'into', named_struct({handle('In', li, '-')}), 'out', named_struct({handle('Out', lo, '')}), 'in_line', {n}.handleInBehavior <=> 'vector', 'out_line', {n}.handleOutBehavior <=> 'vector')"
 
 
 def import_editor_paths(texts: DataFrame) -> DataFrame:
-    """Cubic segments of the first usable path of an editor's JSON: the first open one with two nodes, else any.
+    """Cubic segments of the first usable path of an editor's JSON: the first that says it is open and has two nodes, else the first with two.
 
-    Controls are absolute: position and handle, missing handles count as none. text_id, seg, x0..y1.
+    Handles obey their node's pair constraint before they become absolute controls, in thousandths; missing ones count as none. Between two
+    vector handles lies a line; closed paths end with the segment back to their start. text_id, seg, x0..y1.
     """
-    d = texts.select("text_id", F.posexplode(F.from_json("content", EDITOR_SCHEMA)["document"]["paths"]).alias("place", "p")).filter("size(p.nodes) >= 2")
-    first = d.groupBy("text_id").agg(F.min_by("p", F.struct(F.coalesce("p.closed", F.lit(False)), "place")).alias("p"))
-    n = first.select("text_id", F.posexplode("p.nodes").alias("seg", "n"), F.col("p.nodes").alias("all")).withColumn("m", F.get("all", F.col("seg") + 1)).filter("m IS NOT NULL")
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    out = [F.col(f"n.position.{v}").alias(f"{v}0") for v in "xy"] + [(F.col(f"n.position.{v}") + z(F.col(f"n.handleOut.{v}"))).alias(f"c1{v}") for v in "xy"]
-    out += [(F.col(f"m.position.{v}") + z(F.col(f"m.handleIn.{v}"))).alias(f"c2{v}") for v in "xy"] + [F.col(f"m.position.{v}").alias(f"{v}1") for v in "xy"]
-    return n.select("text_id", (F.col("seg") + 1).cast("long").alias("seg"), *out)
+    j = F.from_json("content", EDITOR_SCHEMA)
+    d = texts.select("text_id", F.posexplode(F.coalesce(j["document"]["paths"], j["paths"])).alias("place", "p")).filter("size(p.nodes) >= 2")
+    first = d.groupBy("text_id").agg(F.min_by("p", F.struct(F.expr("NOT (p.closed <=> false)"), "place")).alias("p"))
+    first = first.select("text_id", F.expr("coalesce(p.closed, false)").alias("closed"), F.expr(f"transform(p.nodes, n -> {_settled_node('n')})").alias("nodes"))
+    n = first.select("text_id", F.posexplode("nodes").alias("seg", "n"), F.expr("if(closed, concat(nodes, slice(nodes, 1, 1)), nodes)").alias("all"))
+    n = n.withColumn("m", F.get("all", F.col("seg") + 1)).filter("m IS NOT NULL")
+    told = lambda e: f"floor(({e}) * 1000D + 0.5D) / 1000D"
+    ends = {f"{v}{i}": told(f"{of}.at.{v}") for i, of in enumerate("nm") for v in "xy"}
+    line = lambda v, share: f"{ends[v + '0']} + ({ends[v + '1']} - {ends[v + '0']}) * {share}D / 3D"
+    controls = {f"c1{v}": f"if(n.out_line AND m.in_line, {line(v, 1)}, {told(f'n.at.{v} + n.out.{v}')})" for v in "xy"}
+    controls |= {f"c2{v}": f"if(n.out_line AND m.in_line, {line(v, 2)}, {told(f'm.at.{v} + m.into.{v}')})" for v in "xy"}
+    out = ends | controls
+    return n.select("text_id", (F.col("seg") + 1).cast("long").alias("seg"), *[F.expr(out[c]).alias(c) for c in ("x0", "y0", "c1x", "c1y", "c2x", "c2y", "x1", "y1")])
 
 
 CIRCLE_TEXT = f"concat('<circle cx=\"', {X.number_text('x')}, '\" cy=\"', {X.number_text('y')}, '\" r=\"', {X.number_text('extent')}, '\"/>')"

@@ -1,5 +1,6 @@
 """Golden values and invariants of single operators."""
 
+import json
 import math
 import struct
 import zlib
@@ -174,6 +175,26 @@ def test_editor_import(spark):
     assert len(r) == 1 and tuple(r[0][c] for c in ("x0", "c1x", "c1y", "c2x", "c2y", "x1")) == (0, 1, 2, 8, 3, 9)
 
 
+def test_editor_nodes_keep_their_constraints(spark):
+    node = lambda x, y, i=(0, 0), o=(0, 0), **more: {"position": {"x": x, "y": y}, "handleIn": {"x": i[0], "y": i[1]}, "handleOut": {"x": o[0], "y": o[1]}} | more
+    smooth, mirrored, one = node(10, 0, (-3, 4), (2, 0), pairConstraint="smooth"), node(20, 0, (-3, 4), (1, 0), pairConstraint="symmetrical"), node(30, 0, (0, -2), pairConstraint="symmetrical")
+    given = [
+        {"document": {"paths": [{"closed": False, "nodes": [node(0, 0), smooth, mirrored, one]}]}},
+        {"paths": [{"closed": True, "nodes": [node(0, 0), node(1, 1), node(0, 1)]}]},
+        {"document": {"paths": [{"nodes": [node(7, 7), node(8, 8)]}, {"closed": False, "nodes": [node(0, 0)]}, {"closed": False, "nodes": [node(0, 0, handleOutBehavior="vector"), node(3, 6, (1, 1), handleInBehavior="vector")]}]}},
+        {"document": {"paths": []}},
+    ]
+    d = artwork.import_editor_paths(spark.createDataFrame([(i, json.dumps(g)) for i, g in enumerate(given)], "text_id int, content string"))
+    got = {(r.text_id, r.seg): tuple(r)[2:] for r in d.collect()}
+    assert set(got) == {(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 1)}
+    # smooth: lengths 5 and 2 along the outgoing handle; symmetrical: 3 on both sides; with one handle alone its length goes for both
+    assert got[0, 1] == (0, 0, 0, 0, 5, 0, 10, 0)
+    assert got[0, 2] == (10, 0, 12, 0, 17, 0, 20, 0)
+    assert got[0, 3] == (20, 0, 23, 0, 30, -2, 30, 0)
+    assert got[1, 3][:2] == (0, 1) and got[1, 3][-2:] == (0, 0)
+    assert got[2, 1] == (0, 0, 1, 2, 2, 4, 3, 6)
+
+
 def test_round_trips(spark, sf_dir, tmp_path):
     from screentone import fixtures as fx
 
