@@ -152,18 +152,21 @@ def bounds(points: DataFrame) -> DataFrame:
     return points.groupBy("poly_id").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
-def resample(points: DataFrame, n: int) -> DataFrame:
+def resample(points: DataFrame, n: int | str) -> DataFrame:
     """n points at equal distances along each polyline: poly_id, k, x, y.
 
+    n may be SQL over the columns of a polyline's last point, among them cum, its length; two at least.
+
     Steps and targets are merged by their distance from the start: a target takes the first step that ends at or
     beyond it, which one running `last` from the far end finds. One shuffle by polyline, and no step meets a target it doesn't hold.
     """
     p = points.withColumns({"px": F.lag("x").over(_by()), "py": F.lag("y").over(_by()), "ended": F.lead("seq").over(_by()).isNull()})
     p = p.withColumn("step", F.coalesce(F.expr(_length("x - px", "y - py")), F.lit(0.0))).withColumn("cum", F.sum("step").over(_upto()))
     p = p.withColumn("lo", F.coalesce(F.lag("cum").over(_by()), F.lit(0.0)))
+    p = p.withColumn("n", F.lit(n) if isinstance(n, int) else F.expr(f"CAST(greatest(2, {n}) AS INT)"))
     step = "named_struct('pos', cum, 'k', CAST(NULL AS INT), 'at', seq, 's', named_struct('px', px, 'py', py, 'x', x, 'y', y, 'lo', lo, 'step', step))"
-    target = f"named_struct('pos', CASE WHEN k = {n - 1} THEN cum ELSE cum * k / {n - 1}e0 END, 'k', k, 'at', NULL, 's', NULL)"
-    rows = p.select("poly_id", F.expr(f"inline(concat(IF(px IS NULL, array(), array({step})), IF(ended, transform(sequence(0, {n - 1}), k -> {target}), array())))"))
+    target = "named_struct('pos', CASE WHEN k = n - 1 THEN cum ELSE cum * k / CAST(n - 1 AS DOUBLE) END, 'k', k, 'at', NULL, 's', NULL)"
+    rows = p.select("poly_id", F.expr(f"inline(concat(IF(px IS NULL, array(), array({step})), IF(ended, transform(sequence(0, n - 1), k -> {target}), array())))"))
     far = Window.partitionBy("poly_id").orderBy(F.desc("pos"), F.asc_nulls_first("k"), F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = rows.withColumn("s", F.last("s", ignorenulls=True).over(far)).filter("k IS NOT NULL AND s IS NOT NULL").select("poly_id", "k", F.col("pos").alias("target"), "s.*")
     f = "((target - lo) / greatest(step, 1e-12))"
@@ -257,64 +260,36 @@ def node_types(points: DataFrame) -> DataFrame:
     return e.select("poly_id", F.expr(f"concat('c', {mid}, 'c', CASE WHEN e0 THEN '' ELSE 'c' END, {mid}, CASE WHEN s0 THEN 's' ELSE 'c' END)").alias("types"))
 
 
-def curve_geometry(pixels: DataFrame, images: DataFrame, path: DataFrame, cells: float, out_w: float, out_h: float, rotation: str = "0e0", samples: int = 64, threshold: str = "0e0", min_mark: str = "0e0", max_mark: str = "100e0", tolerance: float = 0.15) -> DataFrame:
-    """Outlines of full-width curves over images, end to end: poly_id, part, ord, op, c1x .. y.
-
-    pixels are tone-bearing RGBA rows of images (image_id, path_id, src_w, src_h); path holds the segments of
-    paths, and each image gets the one it names; a path whose ends meet has no baseline and gives nothing. Sample by arc length, fit, repeat, take the width from the darkness under each point, split
-    into active runs, clip, simplify, outline. poly_id names image, copy, run and clipped run.
-    """
-    from screentone.operators import grid
-
-    aspect = out_w / out_h
-    cols, rows = (round(cells), max(1, round(cells / aspect))) if aspect >= 1 else (max(1, round(cells * aspect)), round(cells))
-    cw, ch = out_w / cols, out_h / rows
-    base = flatten(path, STEPS).withColumn("seq", F.row_number().over(Window.partitionBy("path_id").orderBy("seg", "k")).cast("long")).withColumnRenamed("path_id", "poly_id")
-    base = resample(base.select("poly_id", "seq", "x", "y"), samples).withColumnRenamed("k", "seq")
-    ends = base.groupBy("poly_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("s"), F.max_by(F.struct("x", "y"), "seq").alias("e")).filter("hypot(e.x - s.x, e.y - s.y) > 1e-6")
-    base = base.join(ends.select("poly_id"), "poly_id", "left_semi")
-    fitted = fit_baseline(base, f"{out_w!r}", f"{out_h!r}", rotation, "0e0", "0e0")
-    copies = repeat_curves(fitted.select("poly_id", "seq", "x", "y"), out_w, out_h, max(1.0, min(cw, ch)), rotation)
-    tones = grid.resample(pixels, images.withColumns({"cols": F.lit(cols), "rows": F.lit(rows)})).select("image_id", "col", "row", F.expr(X.darkness()).alias("value"))
-    p = copies.join(images.select("image_id", F.col("path_id").alias("poly_id")).distinct(), "poly_id").withColumn("point_id", F.struct("poly_id", "copy", "seq"))
-    at = p.select("image_id", "point_id", F.lit(cols).alias("cols"), F.lit(rows).alias("rows"), F.expr(f"x / {cw!r}").alias("u"), F.expr(f"y / {ch!r}").alias("v"))
-    wide = curve_width(grid.sample_bicubic(at, tones), threshold, f"{min(cw, ch)!r}", min_mark, max_mark, "100e0", "1e0")
-    p = p.join(wide.select("image_id", "point_id", "width"), ["image_id", "point_id"])
-    named = p.select(F.concat_ws("/", "image_id", "poly_id", "copy").alias("poly_id"), "seq", "x", "y", "width")
-    runs = split_active(named).select(F.concat_ws("/", "poly_id", "run").alias("poly_id"), "seq", "x", "y", "width")
-    margin = 1.5 * min(cw, ch) + 2
-    c = clip_polylines(runs, out_w, out_h, margin)
-    key = F.concat_ws("/", "poly_id", "run").alias("poly_id")
-    first = c.groupBy("poly_id", "run").agg(F.min(F.struct("seq", "x0", "y0", "w0")).alias("f")).select(key, (F.col("f.seq") * 2).alias("seq"), F.col("f.x0").alias("x"), F.col("f.y0").alias("y"), F.col("f.w0").alias("width"))
-    rest = c.select(key, (F.col("seq") * 2 + 1).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("w1").alias("width"))
-    return outline(simplify(first.unionByName(rest), tolerance))
-
-
 def curve_width(tones: DataFrame, threshold: str, cell: str, min_mark: str, max_mark: str, max_size: str, scale: str) -> DataFrame:
     """Adds width for a sampled tone `value`: nothing at or under the threshold."""
     lo = f"greatest({min_mark} / 100e0, 0e0)"
     return tones.withColumn("v", F.expr(X.threshold("value", threshold))).withColumn("width", F.expr(f"CASE WHEN v <= 0 THEN 0e0 ELSE {cell} * ({lo} + (greatest({lo}, {max_mark} / 100e0) * {max_size} / 100e0 - {lo}) * v) * {scale} END")).drop("v")
 
 
-def split_active(points: DataFrame) -> DataFrame:
+def split_active(points: DataFrame, whole: str | None = None) -> DataFrame:
     """Maximal runs of positive width with the zero on either side: poly_id, run, seq, x, y, width.
 
     Gaps and islands: the run number counts starts; an inner zero belongs to the runs on both sides.
+    Polylines for which `whole` (SQL over poly_id) holds are one run, 0, if any width is positive.
     """
     on, was, next_on = F.col("width") > 0, F.coalesce(F.lag("width").over(_by()) > 0, F.lit(False)), F.coalesce(F.lead("width").over(_by()) > 0, F.lit(False))
     p = points.withColumns({"on": on, "was": was, "nxt": next_on}).withColumn("runs", F.sum(F.when(F.col("on") & ~F.col("was"), 1).otherwise(0)).over(_upto()))
     runs = F.when(F.col("on"), F.array("runs")).otherwise(F.array_compact(F.array(F.when(F.col("was"), F.col("runs")), F.when(F.col("nxt"), F.col("runs") + 1))))
+    if whole:
+        p = p.withColumn("any_on", F.max("on").over(_whole()))
+        runs = F.when(F.coalesce(F.expr(whole), F.lit(False)), F.when(F.col("any_on"), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))).otherwise(runs)
     return p.withColumn("run", F.explode(runs)).select("poly_id", "run", "seq", "x", "y", F.expr("greatest(0e0, width)").alias("width"))
 
 
-def clip_polylines(points: DataFrame, out_w: float, out_h: float, margin: float) -> DataFrame:
+def clip_polylines(points: DataFrame, out_w: float | str, out_h: float | str, margin: float | str) -> DataFrame:
     """Each step clipped to the artboard and its margin: poly_id, seq, run, x0, y0, w0, x1, y1, w1.
 
-    A new run starts where the step before was dropped or ended elsewhere.
+    A new run starts where the step before was dropped or ended elsewhere. Sizes are numbers or SQL over poly_id.
     """
     p = points.select("poly_id", "seq", "x", "y", "width", *[F.lead(c).over(_by()).alias(f"n{c[0]}") for c in ("x", "y", "width")]).filter("nx IS NOT NULL")
     p = p.withColumns({"dx": F.expr("nx - x"), "dy": F.expr("ny - y"), "dw": F.expr("nw - width")})
-    pairs = [("(-dx)", f"(x - {-margin!r})"), ("dx", f"({out_w + margin!r} - x)"), ("(-dy)", f"(y - {-margin!r})"), ("dy", f"({out_h + margin!r} - y)")]
+    low, right, under = (f"(-{margin})", f"({out_w} + {margin})", f"({out_h} + {margin})") if isinstance(margin, str) else (repr(-margin), repr(out_w + margin), repr(out_h + margin))
+    pairs = [("(-dx)", f"(x - {low})"), ("dx", f"({right} - x)"), ("(-dy)", f"(y - {low})"), ("dy", f"({under} - y)")]
     t0 = "greatest(0e0, " + ", ".join(f"CASE WHEN {a} < -1e-6 THEN {q} / {a} ELSE 0e0 END" for a, q in pairs) + ")"
     t1 = "least(1e0, " + ", ".join(f"CASE WHEN {a} > 1e-6 THEN {q} / {a} ELSE 1e0 END" for a, q in pairs) + ")"
     out = " OR ".join(f"(abs({a}) <= 1e-6 AND {q} < 0)" for a, q in pairs)
@@ -351,13 +326,17 @@ def _kept(p: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(points: DataFrame, tolerance: float, keys: tuple[str, ...] = ("poly_id",)) -> DataFrame:
+def simplify(points: DataFrame, tolerance: float | str, keys: tuple[str, ...] = ("poly_id",)) -> DataFrame:
     """Douglas-Peucker in (x, y, width) on each polyline; a stack instead of recursion, so length doesn't matter.
 
     Polylines are dealt out by key and sorted within partitions; a task streams them one after
-    another and holds one polyline and one batch at a time.
+    another and holds one polyline and one batch at a time. The tolerance may be a column, constant in a polyline.
     """
-    cols = [*keys, "seq", "x", "y", "width"]
+    own = isinstance(tolerance, str)
+    cols = [*keys, "seq", "x", "y", "width", *([tolerance] if own else [])]
+
+    def kept(pdf) -> np.ndarray:
+        return _kept(pdf[["x", "y", "width"]].to_numpy(dtype=float), float(pdf[tolerance].iloc[0]) if own else tolerance)
 
     def run(frames):
         held = None
@@ -367,12 +346,11 @@ def simplify(points: DataFrame, tolerance: float, keys: tuple[str, ...] = ("poly
                 continue
             new = (pdf[list(keys)] != pdf[list(keys)].shift()).any(axis=1).to_numpy()
             at = np.append(np.flatnonzero(new), len(pdf))
-            xyz = pdf[["x", "y", "width"]].to_numpy(dtype=float)
-            keep = np.concatenate([_kept(xyz[i:j], tolerance) for i, j in zip(at[:-2], at[1:-1])] or [np.zeros(0, bool)])
+            keep = np.concatenate([kept(pdf[i:j]) for i, j in zip(at[:-2], at[1:-1])] or [np.zeros(0, bool)])
             yield pdf[: len(keep)][keep]
             held = pdf[len(keep) :]
         if held is not None and len(held):
-            yield held[_kept(held[["x", "y", "width"]].to_numpy(dtype=float), tolerance)]
+            yield held[kept(held)]
 
     some = points.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "seq")
     return some.mapInPandas(run, some.schema)

@@ -61,17 +61,17 @@ INK_COLOURS = {"c": "#00AEEF", "m": "#EC008C", "y": "#FFF200", "k": "#141418", "
 CROSSHATCH_COLOUR = "#111111"
 
 
-def layers(channels: DataFrame, crosshatch: str | None = None) -> DataFrame:
+def layers(channels: DataFrame, crosshatch: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Colour, opacity and blend of each ink's layer; lights are blended by screen, inks by multiply.
 
     A colour that isn't #RRGGBB (or null) gives the ink's own. With a crosshatch colour all layers have
-    that one, or near black if it isn't a colour.
+    that one, or near black if it isn't a colour. keys are columns to keep, such as image_id.
     """
     usual = "CASE channel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INK_COLOURS.items()) + " ELSE '#000000' END"
     shown, usual = ("color", usual) if crosshatch is None else ("'" + crosshatch.replace("'", "") + "'", f"'{CROSSHATCH_COLOUR}'")
     hexed = f"CASE WHEN {shown} RLIKE '^#[0-9A-Fa-f]{{6}}$' THEN {shown} ELSE {usual} END"
     part = lambda i: F.expr(f"CAST(conv(substring({hexed}, {i}, 2), 16, 10) AS INT)")
-    return channels.select("channel", "ord", "enabled", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"), "opacity", F.expr("CASE WHEN channel IN ('red', 'green', 'blue') THEN 'screen' ELSE 'multiply' END").alias("blend"))
+    return channels.select(*keys, "channel", "ord", "enabled", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"), "opacity", F.expr("CASE WHEN channel IN ('red', 'green', 'blue') THEN 'screen' ELSE 'multiply' END").alias("blend"))
 
 
 def unit_shapes(sides: DataFrame) -> DataFrame:

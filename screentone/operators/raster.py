@@ -105,13 +105,10 @@ def rasterize_polygons(vertices: DataFrame, width: int, height: int, n: int = 1)
 
     return _share(_own_pixels(m, width, height, ("lo_x", "hi_x"), ("lo_y", "hi_y")), winds, n)
 
-def blend_on_clear(coverage: DataFrame, layers: DataFrame, channel: str | None = None) -> DataFrame:
-    """Marks of enabled layers, or of one channel, on a clear base: image_id, px, py, r, g, b, a (not premultiplied).
 
-    Each layer is blended by its `blend`: multiply or screen. Pixels without a mark have no row.
-    """
-    on = layers.filter("enabled") if channel is None else layers.filter("enabled").filter(F.col("channel") == channel)
-    c = coverage.join(on, "channel").withColumn("alpha", F.expr("floor(least(1e0, greatest(0e0, opacity)) * 255e0 + 5e-1) / 255e0 * coverage"))
+def _blend(marked: DataFrame, white: bool) -> DataFrame:
+    """Folds marks with their layers' colours in layer and mark order."""
+    c = marked.withColumn("alpha", F.expr("floor(least(1e0, greatest(0e0, opacity)) * 255e0 + 5e-1) / 255e0 * coverage"))
     g = c.groupBy("image_id", "px", "py").agg(F.sort_array(F.collect_list(F.struct("ord", "row", "col", "alpha", "red", "green", "blue", "blend"))).alias("m"))
 
     def merge(acc, m):
@@ -122,11 +119,25 @@ def blend_on_clear(coverage: DataFrame, layers: DataFrame, channel: str | None =
             out.append(F.when(m["blend"] == "screen", s + d - s * d).otherwise(multiplied).alias(i))
         return F.struct(*out, (m["alpha"] + acc["a"] - m["alpha"] * acc["a"]).alias("a"))
 
-    g = g.select("image_id", "px", "py", F.aggregate("m", F.struct(*[F.lit(0.0).alias(i) for i in "rgba"]), merge).alias("v"))
+    g = g.select("image_id", "px", "py", F.aggregate("m", F.struct(*[F.lit(1.0 if white else 0.0).alias(i) for i in "rgba"]), merge).alias("v"))
     straight = {i: X.byte(f"CASE WHEN v.a > 0 THEN v.{i} / v.a ELSE 0e0 END * 255e0") for i in "rgb"} | {"a": X.byte("v.a * 255e0")}
     return g.select("image_id", "px", "py", *[F.expr(v).alias(k) for k, v in straight.items()])
 
 
+def blend_on_clear(coverage: DataFrame, layers: DataFrame, channel: str | None = None) -> DataFrame:
+    """Marks of enabled layers, or of one channel, on a clear base: image_id, px, py, r, g, b, a (not premultiplied).
+
+    Each layer is blended by its `blend`: multiply or screen. Pixels without a mark have no row.
+    """
+    on = layers.filter("enabled") if channel is None else layers.filter("enabled").filter(F.col("channel") == channel)
+    return _blend(coverage.join(on, "channel"), False)
+
+
+def blend_documents(coverage: DataFrame, layers: DataFrame, white: bool) -> DataFrame:
+    """As blend_on_clear with layers of each image's own (image_id, channel), on a clear or a white base."""
+    return _blend(coverage.join(layers.filter("enabled"), ["image_id", "channel"]), white)
+
+
 def blend_layers(coverage: DataFrame, layers: DataFrame) -> DataFrame:
     """Multiply blend of the marks of enabled layers on white, in layer and mark order: image_id, px, py, r, g, b.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from screentone import fixtures as fx
 from screentone.functions import formulas as X
-from screentone.operators import curves, marks, raster
+from screentone.operators import curve_documents, curves, marks, raster
 from screentone.plans import shape_queries as sq
 
 R, _r, _sr = X.rounded, sq._r, sq._sr
@@ -88,15 +88,34 @@ def f20_node_types(spark, sf):
     return curves.node_types(fx.poly_points(spark, sf))
 
 
+_CURVE_DOCUMENT = [
+    "image_id", "8 AS src_w", "8 AS src_h", "120e0 AS out_w", "80e0 AS out_h", "8e0 AS cells", "0e0 AS min_mark", "85e0 AS max_mark", "'k' AS single_channel", "'#234567' AS crosshatch_color",
+    "CASE image_id % 5 WHEN 0 THEN 'cmyk' WHEN 1 THEN 'luminance' WHEN 2 THEN 'single' WHEN 3 THEN 'crosshatch' ELSE 'rgb' END AS value_mode", "IF(image_id % 7 = 0, 'rgb', 'cmyk') AS output_mode",
+    "IF(image_id % 2 = 0, 'full', 'motif') AS layout", "image_id % 3 = 0 AS shared", "1 + image_id % 200 AS shared_path_id", "image_id % 4 = 1 AS shared_close_ends", "true AS shared_smooth_join",
+]
+_CURVE_INKS = "(VALUES ('c', '#00AEEF', 15e0, 0), ('m', '#EC008C', 75e0, 1), ('y', '#FFF200', 0e0, 2), ('k', '#141418', 45e0, 3), ('red', '#FF0000', 15e0, 0), ('green', '#00FF00', 75e0, 1), ('blue', '#0000FF', 45e0, 2)) AS t(channel, color, grid_rotation, i)"
+_CURVE_INK = [
+    "image_id", "channel", "i <> image_id % 6 AS enabled", "color", "9e-1 AS opacity", "5e-2 * i AS threshold", "1e0 AS scale", "100e0 AS max_size", "IF(i = 1, 75e-2, 1e0) AS resolution_scale", "3e0 * i AS offset_x", "-2e0 AS offset_y",
+    "grid_rotation", "4e0 AS pivot_x", "-3e0 AS pivot_y", "4e0 AS quality", "1 + (image_id + i) % 200 AS path_id", "image_id % 4 = 1 AS close_ends", "i = 0 AS smooth_join", "32e0 AS curve_scale", "IF(i = 2, 'manual', 'auto') AS coverage", "2e0 AS bleed",
+    "3 AS tile_count", "5e0 * i AS tile_angle", "1e0 AS tile_offset", "2 AS stack_count", "36e0 AS stack_spacing", "1e1 * i AS stack_angle", "2e0 AS stack_offset", "4e0 AS stagger", "CASE i WHEN 0 THEN 'none' WHEN 1 THEN 'flip' ELSE 'rotate' END AS alternate",
+]
+
+
+def _curve_documents(spark, sf):
+    """Documents of every mapping, layout and output mode over all images, with the paths of parts, open and closed."""
+    images = fx.images(spark, sf)
+    inks = images.crossJoin(F.broadcast(spark.sql(f"SELECT * FROM {_CURVE_INKS}"))).selectExpr(*_CURVE_INK)
+    return fx.pixels(spark, sf), images.selectExpr(*_CURVE_DOCUMENT), inks, curves.path_segments(fx.path_strings(spark, sf))
+
+
 def f21_curve_geometry(spark, sf):
-    """Every stage in turn; counts by outline are stable, coordinates are tested stage by stage."""
-    paths = fx.path_strings(spark, sf)
-    # every image has a path of its own, by its number; every third path is open
-    last = paths.agg(F.max("path_id")).first()[0]
-    images = fx.images(spark, sf).selectExpr("image_id", f"3 * (pmod(image_id, {last // 3}) + 1) AS path_id", "8 AS src_w", "8 AS src_h")
-    path = curves.path_segments(paths.join(images.select("path_id").distinct(), "path_id", "left_semi"))
-    p = fx.pixels(spark, sf).join(images.select("image_id"), "image_id", "left_semi")
-    return curves.curve_geometry(p, images, path, 4.0, 120.0, 80.0, samples=16)
+    """Every stage in turn, all inks, both layouts; tested against golden counts and stage by stage."""
+    return curve_documents.curve_outlines(*_curve_documents(spark, sf)).groupBy("image_id", "channel", "copy").agg(F.count("*").alias("commands"), F.countDistinct("contour").alias("contours"))
+
+
+def g7_render_curve_documents(spark, sf):
+    """The same documents drawn at half their size on white."""
+    return curve_documents.render_curve_documents(*_curve_documents(spark, sf), 60, 40, 2)
 
 
 def f10_curve_width(spark, sf):
@@ -417,4 +436,4 @@ SQL = {
         q="SELECT cv.*, floor(opacity * 255e0 + 5e-1) / 255e0 * coverage AS al, CAST(('0x' || substr(color, 2, 2)) AS INT) AS red, CAST(('0x' || substr(color, 4, 2)) AS INT) AS green, CAST(('0x' || substr(color, 6, 2)) AS INT) AS blue FROM cv JOIN channels USING (channel) WHERE enabled",
     ),
 }
-QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (f13_simplify, f16_outline, f17_outline_text, f21_curve_geometry, g6_render_documents)}
+QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (f13_simplify, f16_outline, f17_outline_text, f21_curve_geometry, g6_render_documents, g7_render_curve_documents)}
