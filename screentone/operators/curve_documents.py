@@ -80,7 +80,7 @@ def _turned(x: str, y: str, slide: bool) -> dict[str, str]:
 
 SETTINGS = ("layout", "out_w", "out_h", "cols", "rows", "cell", "quality", "close_ends", "smooth_join", "grid_rotation", "pivot_x", "pivot_y", "offset_x", "offset_y", "curve_scale", "coverage", "bleed", "tile_count", "tile_angle", "tile_offset", "stack_count", "stack_spacing", "stack_angle", "stack_offset", "stagger", "alternate", "most", "tolerance", "threshold", "min_mark", "max_mark", "max_size", "scale")
 
-#: What lines keep of their document's settings.
+#: Settings that widths and outlines need.
 KEPT = ("out_w", "out_h", "cols", "rows", "cell", "threshold", "min_mark", "max_mark", "max_size", "scale", "most", "tolerance", "close_ends")
 
 
@@ -156,9 +156,9 @@ def _motif_rows(sampled: DataFrame) -> DataFrame:
 
 
 def lines(j: DataFrame, paths: DataFrame) -> DataFrame:
-    """Placed lines of every job, of either layout: job, settings, copy, seq, x, y."""
+    """Placed lines of every job, of either layout: job, out_w, out_h, cols, rows, copy, seq, x, y."""
     sampled = _sampled(j, paths)
-    named = lambda df: df.select("poly_id.job", F.struct(*[F.col(f"poly_id.{c}").alias(c) for c in KEPT]).alias("settings"), "copy", F.col("k").cast("long").alias("seq"), "x", "y")
+    named = lambda df: df.select("poly_id.job", *[f"poly_id.{c}" for c in ("out_w", "out_h", "cols", "rows")], "copy", F.col("k").cast("long").alias("seq"), "x", "y")
     return named(_full_width(sampled)).unionByName(named(_motif_rows(sampled)))
 
 
@@ -218,10 +218,10 @@ def curve_outlines(pixels: DataFrame, docs: DataFrame, inks: DataFrame, paths: D
     """
     j = jobs(docs, inks)
     j = j if channel is None else j.filter(F.col("channel") == channel)
-    # the point's key holds all that later steps need, so no step joins lines again
-    at = lines(j, paths).select(F.col("job").alias("image_id"), F.struct("settings", "copy", "seq", "x", "y").alias("point_id"), "settings.cols", "settings.rows", F.expr("x / (settings.out_w / settings.cols)").alias("u"), F.expr("y / (settings.out_h / settings.rows)").alias("v"))
+    # a point's key holds its place, so no step joins the lines again; settings come from the few rows of jobs
+    at = lines(j, paths).select(F.col("job").alias("image_id"), F.struct("copy", "seq", "x", "y").alias("point_id"), "cols", "rows", F.expr("x / (out_w / cols)").alias("u"), F.expr("y / (out_h / rows)").alias("v"))
     found = grid.sample_bicubic(at, tones(j, pixels).withColumnRenamed("job", "image_id"))
-    p = curves.curve_width(found.select(F.col("image_id").alias("job"), "point_id.*", "value").select("*", "settings.*"), "threshold", "cell", "min_mark", "max_mark", "max_size", "scale")
+    p = curves.curve_width(found.select(F.col("image_id").alias("job"), "point_id.*", "value").join(j.select("job", *KEPT), "job"), "threshold", "cell", "min_mark", "max_mark", "max_size", "scale")
     closed = F.coalesce("close_ends", F.lit(False))
     margin = F.when(closed, 1e30).otherwise(F.expr("most * 15e-1 + 2e0"))
     p = p.select(F.struct("job.image_id", "job.channel", "copy", "out_w", "out_h", margin.alias("margin"), "tolerance", closed.alias("closed")).alias("poly_id"), "seq", "x", "y", "width")
