@@ -270,7 +270,7 @@ _DOC_JSON = (
 
 
 def a18_document_union(spark, sf):
-    texts = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(f"{_DOC_KEY} AS k").selectExpr("k AS text_id", f"{_DOC_JSON} AS content")
+    texts = fx.spread(spark.read.parquet(f"{sf}/orders.parquet").selectExpr(f"{_DOC_KEY} AS k")).selectExpr("k AS text_id", f"{_DOC_JSON} AS content")
     d = documents.parse_documents(texts)
     settled = {"variant": "variant", "out_w": "coalesce(shape.output_width, curve.output_width)", "out_h": "coalesce(shape.output_height, curve.output_height)", "saved_h": "saved_shape.output_height", "detail": "settings.detail", "mode": "output_mode", "magenta": "coalesce(element_at(shape.channels, 'm').color, element_at(curve.channels, 'm').color)"}
     ok = {n: F.expr(f"CASE WHEN reason IS NULL THEN {e} END").alias(n) for n, e in settled.items()}
@@ -312,7 +312,7 @@ _PRESET_TEXT = (
 
 
 def _presets(spark, sf):
-    texts = _part(spark, sf, "CAST(p_partkey AS BIGINT) AS k", "p_size AS size").selectExpr("k AS preset_id", f"{_PRESET_TEXT} AS content", "16 * (1 + k % 5) AS src_w", "9 AS src_h")
+    texts = fx.spread(_part(spark, sf, "CAST(p_partkey AS BIGINT) AS k", "p_size AS size")).selectExpr("k AS preset_id", f"{_PRESET_TEXT} AS content", "16 * (1 + k % 5) AS src_w", "9 AS src_h")
     return presets.parse_presets(texts)
 
 
