@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from screentone.llm import neardup, simhash
 from tests.llm import brute
 
@@ -55,3 +57,57 @@ def test_pairs_of_shingles_with_a_usual_group(spark):
     assert len(got) == len(set(got)) and all(a < b and root[a] != root[b] for a, b in got)
     want = {(a, b) for b in range(60) for a in range(b) if alike(a, b)}
     assert want and want <= set(got)
+
+
+def test_shingles_of_many_texts_pair_only_those_without_rarer_ones(spark, monkeypatch):
+    rng = random.Random(34)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(300), 30):
+            w[at] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+        if rng.random() < 0.1:
+            # alike to its model, but with another tenth of the words at the end
+            texts.append(" ".join(w + [f"new{rng.randrange(10**9)}" for _ in range(30)]))
+    # no shingle is known to be frequent, as if the corpus were many times the sample
+    empty = np.zeros(0, dtype=np.uint64)
+    monkeypatch.setattr(neardup, "common_shingles", lambda *a, **k: (empty, empty.astype(np.int64)))
+    compared, similar = [], neardup.similar
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "similar", counted)
+    rng.shuffle(texts)
+    assert kept(spark, texts) == want(texts)
+    assert compared[-1] <= 8 * len(texts)
+
+
+def test_heavy_shingles_lose_no_pair(spark):
+    rng = random.Random(35)
+    sets = []
+    for k in range(240):
+        if k % 3 == 0 or not sets:
+            pool = rng.sample(range(40), rng.choice([10, 20, 30]))
+            s = {*pool, *(rng.randrange(100, 10**6) for _ in range(rng.choice([0, 2, 10, 30])))}
+        else:
+            s = set(rng.choice(sets))
+            for x in rng.sample(sorted(s), rng.randint(0, max(1, len(s) // 9))):
+                s.remove(x)
+                s |= {rng.choice([rng.randrange(40), rng.randrange(100, 10**6)])} if rng.random() < 0.5 else set()
+        sets.append(s)
+    root = [h if rng.random() < 0.6 else rng.choice([0, 1, 2]) for h in range(len(sets))]
+    roots = spark.createDataFrame(list(enumerate(root)), "node long, root long")
+    # shared shingles first: the worst order
+    full = spark.createDataFrame([(h, sorted(s)) for h, s in enumerate(sets)], "h long, s array<long>")
+    rows = [(h, len(s), sorted(s)[: neardup.prefix_and_spare(len(s), 0.8)]) for h, s in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "h long, size int, prefix array<long>")
+    alike = lambda a, b: root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if alike(a, b)}
+    for few in (1, 8):
+        parts = neardup.alike_or_near(texts, roots, 0.8, lambda w: full.join(w, "h", "left_semi"), few)
+        got = [tuple(r) for p in parts for r in p.collect()]
+        assert len(parts) == 3 and len(got) == len(set(got)) and all(a < b and root[a] != root[b] for a, b in got)
+        assert want and want <= set(got)
